@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions.scalars import hash60, micros, predict, remap_prediction, time_literal
 from pulsegrid.operators.rollup import in_range, of_series
-from pulsegrid.operators.selection import mark_first_k
-from pulsegrid.session import broadcast_if_small
+from pulsegrid.operators.selection import GroupSizes, mark_first_k
 
 SERIES = ("service", "metric")
 
@@ -29,8 +28,8 @@ def discover_pairs(metrics: DataFrame, since) -> DataFrame:
 
 def min_sample_gate(metrics: DataFrame, min_samples: int = V.MIN_SAMPLES) -> DataFrame:
     """Only rows of series with at least ``min_samples`` rows."""
-    sizes = metrics.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples)
-    return metrics.join(broadcast_if_small(sizes.select(*SERIES)), list(SERIES), "left_semi")
+    sizes = GroupSizes.of(metrics, SERIES).at_least(min_samples)
+    return metrics.join(sizes.table.select(*SERIES), list(SERIES), "left_semi")
 
 
 def _ordered(df: DataFrame, text: str, first: Column | None = None) -> tuple[DataFrame, list[str]]:
@@ -40,33 +39,43 @@ def _ordered(df: DataFrame, text: str, first: Column | None = None) -> tuple[Dat
     return df.withColumns(order), list(order)
 
 
-def chrono_split(metrics: DataFrame, holdout: float = V.HOLDOUT_FRACTION) -> DataFrame:
+def n_train(n: Column, holdout: float = V.HOLDOUT_FRACTION) -> Column:
+    return F.ceil(n * F.lit(1.0 - holdout))
+
+
+def chrono_split(
+    metrics: DataFrame, holdout: float = V.HOLDOUT_FRACTION, sizes: GroupSizes | None = None
+) -> DataFrame:
     """``part`` = train for the first ceil(n * (1 - holdout)) rows of a series by time, else holdout.
 
     Equal times are ordered by the md5 of the event id.
     """
     df, order = _ordered(metrics, "event_id", micros("timestamp"))
-    keep = 1.0 - holdout
-    marked = mark_first_k(df, SERIES, order, lambda n: F.ceil(n * F.lit(keep)), "_train")
+    marked = mark_first_k(df, SERIES, order, lambda n: n_train(n, holdout), "_train", sizes)
     return marked.withColumn("part", F.when(F.col("_train"), "train").otherwise("holdout")).drop("_train", *order)
 
 
-def sample_rows(df: DataFrame, seed: int, fraction: float = V.INJECT_FRACTION, flag: str = "sampled") -> DataFrame:
+def sample_rows(
+    df: DataFrame, seed: int, fraction: float = V.INJECT_FRACTION, flag: str = "sampled",
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
     """Flag max(1, floor(n * fraction)) rows per series, in md5 order of seed and event id."""
     keyed = df.withColumn("_key", F.concat_ws(":", F.lit(str(seed)), "event_id"))
     keyed, order = _ordered(keyed, "_key")
     marked = mark_first_k(
-        keyed, SERIES, order, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), flag
+        keyed, SERIES, order, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), flag, sizes
     )
     return marked.drop("_key", *order)
 
 
-def inject_anomalies(df: DataFrame, seed: int, fraction: float = V.INJECT_FRACTION) -> DataFrame:
+def inject_anomalies(
+    df: DataFrame, seed: int, fraction: float = V.INJECT_FRACTION, sizes: GroupSizes | None = None
+) -> DataFrame:
     """Multiply the sampled rows by a factor in [5, 10); ``truth`` marks them. The input is unchanged."""
     share = hash60(F.concat_ws(":", F.lit("factor"), F.lit(str(seed)), F.col("event_id"))) / F.lit(float(2**60))
     factor = F.lit(V.SPIKE_LOW) + F.lit(V.SPIKE_HIGH - V.SPIKE_LOW) * share
     return (
-        sample_rows(df, seed, fraction, "_hit")
+        sample_rows(df, seed, fraction, "_hit", sizes)
         .withColumn("value", F.when(F.col("_hit"), F.col("value") * factor).otherwise(F.col("value")))
         .withColumn("truth", F.when(F.col("_hit"), 1).otherwise(0))
         .drop("_hit")

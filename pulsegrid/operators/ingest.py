@@ -21,7 +21,9 @@ def parse_events(messages: DataFrame, data: str = "data") -> DataFrame:
     redelivered message keeps it.
     """
     fields = F.from_json(F.col(data), WIRE_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    j = messages.withColumn("j", fields).select(
+    # As a generated row the parsed struct is computed once; as a plain column a later filter on it
+    # would be pushed down with one more parse for every field it names.
+    j = messages.withColumn("j", F.explode(F.array(fields))).select(
         "*", F.col("j.value").try_cast("double").alias("value"), parse_event_time("j.timestamp").alias("timestamp")
     )
     labels = F.from_json("j.labels", "map<string,string>")

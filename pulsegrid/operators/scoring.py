@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions.forest import fit_surface, lookup
 from pulsegrid.functions.scalars import is_anomaly
-from pulsegrid.operators.selection import mark_first_k, quantile, weighted_quantile
+from pulsegrid.operators.selection import GroupSizes, mark_first_k, quantile, weighted_quantile
 from pulsegrid.session import broadcast_if_small, cut_lineage
 
 SERIES = ("service", "metric")
@@ -30,7 +30,8 @@ FIT_SCHEMA = (
 
 
 def fit_isolation_forest(
-    train: DataFrame, n_trees: int = V.N_TREES, max_rows: int = V.MAX_TREE_ROWS, seed: int = V.FOREST_SEED
+    train: DataFrame, n_trees: int = V.N_TREES, max_rows: int = V.MAX_TREE_ROWS, seed: int = V.FOREST_SEED,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """One forest per series as a score surface without offset.
 
@@ -40,13 +41,14 @@ def fit_isolation_forest(
     """
     if "value" not in train.columns:
         raise ValueError("training rows need a 'value' column")
-    if train.isEmpty():
+    sizes = sizes or GroupSizes.of(train, SERIES)
+    if sizes.is_empty():
         raise ValueError("training rows must not be empty")
     keyed = train.select(
         *SERIES, "value", F.xxhash64("event_id").alias("_h1"), F.xxhash64(F.lit(seed), "event_id").alias("_h2")
     )
     wanted = n_trees * max_rows
-    drawn = mark_first_k(keyed, SERIES, ["_h1", "_h2"], lambda n: F.least(n, F.lit(wanted)), "_in").where("_in")
+    drawn = mark_first_k(keyed, SERIES, ["_h1", "_h2"], lambda n: F.least(n, F.lit(wanted)), "_in", sizes).where("_in")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         began = time.perf_counter()
@@ -71,6 +73,10 @@ def attach_current_model(events: DataFrame, current: DataFrame) -> DataFrame:
     return events.join(broadcast_if_small(current.select(*SERIES, "model_id")), list(SERIES))
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [row.values.to_numpy(zero_copy_only=False) for chunk in column.chunks for row in chunk]
+
+
 def score_events(events: DataFrame, surfaces: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """``score`` = raw score minus offset of the reading's model; below 0 means anomalous.
 
@@ -82,14 +88,9 @@ def score_events(events: DataFrame, surfaces: DataFrame, broadcast_edges: int =
         return _score_by_sorting(events, surfaces)
     spark = events.sparkSession
     rows = surfaces.select("model_id", "edges", "scores", "offset").toArrow()
-    ids = rows.column("model_id").to_pylist()
-    steps = [
-        (np.asarray(e, dtype=float), np.asarray(s, dtype=float) - o)
-        for e, s, o in zip(
-            rows.column("edges").to_pylist(), rows.column("scores").to_pylist(), rows.column("offset").to_pylist(),
-            strict=True,
-        )
-    ]
+    ids, offsets = rows.column("model_id").to_pylist(), rows.column("offset").to_pylist()
+    edges, scores = _arrays(rows.column("edges")), _arrays(rows.column("scores"))
+    steps = [(e, s - o) for e, s, o in zip(edges, scores, offsets, strict=True)]
     shared = spark.sparkContext.broadcast(steps)
     places = spark.createDataFrame(
         pa.table({"model_id": pa.array(ids, pa.string()), "_at": pa.array(range(len(ids)), pa.int32())})

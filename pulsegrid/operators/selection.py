@@ -11,6 +11,7 @@ enough rows are left to be ranked directly. Every step is a narrow scan plus a s
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -110,18 +111,40 @@ def _in_range(rows: DataFrame, state: DataFrame, keys: list[str], value: str) ->
     return rows.join(state, keys).where((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
 
 
-def _sizes(df: DataFrame, keys: list[str]) -> tuple[DataFrame, pa.Table | None, int]:
-    sizes, rows = pin_small(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    if rows is not None:
-        return sizes, rows, (pc.max(rows.column("n")).as_py() or 0)
-    return sizes, None, sizes.agg(F.max("n")).first()[0]
+@dataclass(frozen=True)
+class GroupSizes:
+    """Rows per group (keys, n) as a checked small table. Counting is a scan, so it is done once and passed on."""
+
+    table: DataFrame
+    rows: pa.Table | None
+    widest: int
+
+    @staticmethod
+    def pinned(table: DataFrame) -> GroupSizes:
+        pinned, rows = pin_small(table)
+        if rows is None:
+            return GroupSizes(pinned, None, pinned.agg(F.max("n")).first()[0])
+        return GroupSizes(pinned, rows, pc.max(rows.column("n")).as_py() or 0)
+
+    @staticmethod
+    def of(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
+        return GroupSizes.pinned(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+
+    def at_least(self, n: int) -> GroupSizes:
+        return GroupSizes.pinned(self.table.where(F.col("n") >= n))
+
+    def part(self, size: Column) -> GroupSizes:
+        """Sizes of a part of each group, from an expression over ``n``; empty parts drop out."""
+        return GroupSizes.pinned(self.table.withColumn("n", size.cast("bigint")).where(F.col("n") > 0))
+
+    def is_empty(self) -> bool:
+        return self.table.isEmpty() if self.rows is None else self.rows.num_rows == 0
 
 
 def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """Exact quantile with linear interpolation per group, as a checked small table."""
     keys = list(keys)
-    _, _, widest = _sizes(df, keys)
-    if widest <= DIRECT_ROWS:
+    if GroupSizes.of(df, keys).widest <= DIRECT_ROWS:
         return pin_small(df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name)))[0]
 
     def rule(n: Column) -> list[Column]:
@@ -150,20 +173,25 @@ def weighted_quantile(counts: DataFrame, keys: Sequence[str], value: str, weight
 
 
 def mark_first_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: Callable[[Column], Column], flag: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: Callable[[Column], Column], flag: str,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Add ``flag``: true for the first ``rank(n)`` rows of each group in the order of numeric columns.
 
     ``rank(n)`` must lie in 1..n, and ``order`` must make rows unique. The cut is found on the first
     column; only where it falls inside a run of equal values do those rows, and no others, go on to
-    the next column.
+    the next column. With ``sizes`` given, only the groups listed there remain.
     """
     keys = list(keys)
-    sizes, size_rows, widest = _sizes(df, keys)
-    if widest <= DIRECT_ROWS:
-        ranked = sizes.withColumn("_rank", rank(F.col("n")))
-        if size_rows is not None and ranked.where(F.col("_rank") < F.col("n")).isEmpty():
-            return df.withColumn(flag, F.lit(True))
+    if sizes is not None:
+        df = df.join(sizes.table.select(*keys), keys, "left_semi")
+    else:
+        sizes = GroupSizes.of(df, keys)
+    ranked = sizes.table.select(*keys, "n", rank(F.col("n")).alias("_rank"))
+    if sizes.rows is not None and ranked.where(F.col("_rank") < F.col("n")).isEmpty():
+        return df.withColumn(flag, F.lit(True))
+    if sizes.widest <= DIRECT_ROWS:
+        ranked = F.broadcast(ranked) if sizes.rows is not None else ranked
         at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.join(ranked.drop("n"), keys).withColumn(flag, at <= F.col("_rank")).drop("_rank")
     marked, tied = df, df.select(*keys, *order)

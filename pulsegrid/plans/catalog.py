@@ -615,7 +615,7 @@ def rank_detector(w: World) -> DataFrame:
 @query
 def fit_isolation_forest(w: World) -> DataFrame:
     split = training.split_window(w.readings, AS_OF)
-    out = scoring.fit_isolation_forest(split.where(F.col("part") == "train"))
+    out = scoring.fit_isolation_forest(split.train, sizes=split.train_sizes)
     return out.select(*SERIES, "n_fit", F.size("edges").alias("n_edges"))
 
 
