@@ -80,3 +80,17 @@ def fit_surface(values: np.ndarray, n_trees: int, max_rows: int, seed: int) -> t
 
 def lookup(edges: np.ndarray, scores: np.ndarray, values: np.ndarray) -> np.ndarray:
     return scores[np.searchsorted(edges, values, side="left")]
+
+
+def normal_core(edges: np.ndarray, decisions: np.ndarray, threshold: float) -> tuple[float, float]:
+    """Bounds of the longest run of steps at or above the threshold: values in (low, high] are normal for sure.
+
+    Without such a step the range is empty.
+    """
+    fine = np.concatenate([[0], (decisions >= threshold).astype(int), [0]])
+    begins, ends = np.flatnonzero(np.diff(fine) == 1), np.flatnonzero(np.diff(fine) == -1)
+    if len(begins) == 0:
+        return np.inf, -np.inf
+    best = int(np.argmax(ends - begins))
+    bounds = np.concatenate([[-np.inf], edges, [np.inf]])
+    return float(bounds[begins[best]]), float(bounds[ends[best]])

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fixed_values as V
-from pulsegrid.functions.forest import fit_surface, lookup
+from pulsegrid.functions.forest import fit_surface, lookup, normal_core
 from pulsegrid.functions.scalars import is_anomaly
 from pulsegrid.operators.selection import GroupSizes, mark_first_k, quantile, weighted_quantile
 from pulsegrid.session import broadcast_if_small, cut_lineage
@@ -73,28 +74,46 @@ def attach_current_model(events: DataFrame, current: DataFrame) -> DataFrame:
     return events.join(broadcast_if_small(current.select(*SERIES, "model_id")), list(SERIES))
 
 
+@dataclass(frozen=True)
+class LoadedSurfaces:
+    """Surfaces brought to the driver after their size was checked: ids and (edges, decision scores)."""
+
+    ids: list[str]
+    steps: list[tuple[np.ndarray, np.ndarray]]
+
+    def table(self, spark: SparkSession, **columns: pa.Array) -> DataFrame:
+        ids = pa.array(self.ids, pa.string())
+        return F.broadcast(spark.createDataFrame(pa.table({"model_id": ids, **columns})))
+
+
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [row.values.to_numpy(zero_copy_only=False) for chunk in column.chunks for row in chunk]
 
 
-def score_events(events: DataFrame, surfaces: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def load_surfaces(surfaces: DataFrame, max_edges: int | None = None) -> LoadedSurfaces | None:
+    """Surfaces for a broadcast, or None when they have more edges in all than the bound."""
+    total = surfaces.agg(F.sum(F.size("edges"))).first()[0] or 0
+    if total > (BROADCAST_EDGES if max_edges is None else max_edges):
+        return None
+    rows = surfaces.select("model_id", "edges", "scores", "offset").toArrow()
+    parts = zip(
+        _arrays(rows.column("edges")), _arrays(rows.column("scores")), rows.column("offset").to_pylist(), strict=True
+    )
+    return LoadedSurfaces(rows.column("model_id").to_pylist(), [(e, s - o) for e, s, o in parts])
+
+
+def score_events(events: DataFrame, surfaces: DataFrame, loaded: LoadedSurfaces | None = None) -> DataFrame:
     """``score`` = raw score minus offset of the reading's model; below 0 means anomalous.
 
     ``events`` carry model_id. While all surfaces fit the measured bound they are broadcast and a
     reading costs one binary search; beyond it readings and edges are merged by sorting.
     """
-    total = surfaces.agg(F.sum(F.size("edges"))).first()[0] or 0
-    if total > broadcast_edges:
+    loaded = loaded or load_surfaces(surfaces)
+    if loaded is None:
         return _score_by_sorting(events, surfaces)
     spark = events.sparkSession
-    rows = surfaces.select("model_id", "edges", "scores", "offset").toArrow()
-    ids, offsets = rows.column("model_id").to_pylist(), rows.column("offset").to_pylist()
-    edges, scores = _arrays(rows.column("edges")), _arrays(rows.column("scores"))
-    steps = [(e, s - o) for e, s, o in zip(edges, scores, offsets, strict=True)]
-    shared = spark.sparkContext.broadcast(steps)
-    places = spark.createDataFrame(
-        pa.table({"model_id": pa.array(ids, pa.string()), "_at": pa.array(range(len(ids)), pa.int32())})
-    )
+    shared = spark.sparkContext.broadcast(loaded.steps)
+    places = loaded.table(spark, _at=pa.array(range(len(loaded.ids)), pa.int32()))
 
     @F.pandas_udf("double")
     def decide(at: pd.Series, value: pd.Series) -> pd.Series:
@@ -106,7 +125,23 @@ def score_events(events: DataFrame, surfaces: DataFrame, broadcast_edges: int =
             out[rows_of] = lookup(*shared.value[model], x[rows_of])
         return pd.Series(out)
 
-    return events.join(F.broadcast(places), "model_id").withColumn("score", decide("_at", "value")).drop("_at")
+    return events.join(places, "model_id").withColumn("score", decide("_at", "value")).drop("_at")
+
+
+def score_anomalies(events: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD) -> DataFrame:
+    """Only the readings whose score is below the threshold, with their scores.
+
+    Nearly all readings lie in the range around a model's centre where every step is normal. Two
+    numbers per model settle those inside the JVM; only the rest goes to Python to be scored.
+    """
+    loaded = load_surfaces(surfaces)
+    if loaded is not None:
+        cores = [normal_core(edges, decisions, threshold) for edges, decisions in loaded.steps]
+        low, high = (pa.array([c[i] for c in cores], pa.float64()) for i in (0, 1))
+        bounds = loaded.table(events.sparkSession, _low=low, _high=high)
+        inside = (F.col("value") > F.col("_low")) & (F.col("value") <= F.col("_high"))
+        events = events.join(bounds, "model_id").where(~inside).drop("_low", "_high")
+    return keep_anomalies(score_events(events, surfaces, loaded), threshold)
 
 
 def _score_by_sorting(events: DataFrame, surfaces: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -10,14 +10,14 @@ from pulsegrid.functions.scalars import deterministic_id
 from pulsegrid.operators.incidents import group_incidents
 from pulsegrid.operators.overview import service_overview
 from pulsegrid.operators.registry import current_models
-from pulsegrid.operators.scoring import attach_current_model, keep_anomalies, score_events
+from pulsegrid.operators.scoring import attach_current_model, score_anomalies
 from pulsegrid.plans.training import train_all
+from pulsegrid.session import cut_lineage
 
 
 def detect(events: DataFrame, current: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD) -> DataFrame:
     """Anomaly rows of the readings that have a current model."""
-    scored = score_events(attach_current_model(events, current), surfaces)
-    return as_anomalies(keep_anomalies(scored, threshold))
+    return as_anomalies(score_anomalies(attach_current_model(events, current), surfaces, threshold))
 
 
 def as_anomalies(kept: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def as_anomalies(kept: DataFrame) -> DataFrame:
 def history_to_overview(metrics: DataFrame, as_of: str) -> DataFrame:
     """Train on the window, score it, group what is anomalous and report the health of each service."""
     run = train_all(metrics, as_of)
-    anomalies = detect(metrics, current_models(run.pointers), run.surfaces)
+    # Grouping and the overview both read the anomalies, a few per cent of the readings: store them once.
+    anomalies = cut_lineage(detect(metrics, current_models(run.pointers), run.surfaces))
     incidents = group_incidents(anomalies)
     return service_overview(metrics, incidents, anomalies)

@@ -19,6 +19,7 @@ from pulsegrid.operators.registry import with_current_flag
 from pulsegrid.operators.schedule import offset_to_window
 from pulsegrid.operators.scoring import keep_anomalies, rank_detector
 from pulsegrid.plans.detection import as_anomalies
+from pulsegrid.session import cut_lineage
 from pulsegrid.sources.adapters import load_metric_events, read_table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -55,7 +56,9 @@ class World:
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        return as_anomalies(keep_anomalies(self.scored.withColumn("model_id", deterministic_id("model", *SERIES))))
+        """Stored once, as the reports read a stored table."""
+        found = keep_anomalies(self.scored.withColumn("model_id", deterministic_id("model", *SERIES)))
+        return cut_lineage(as_anomalies(found))
 
     @cached_property
     def all_members(self) -> DataFrame:

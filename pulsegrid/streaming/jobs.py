@@ -16,8 +16,7 @@ from pulsegrid.functions import fixed_values as V
 from pulsegrid.operators.incidents import alert_cycle
 from pulsegrid.operators.ingest import insert_anomalies, insert_if_absent, parse_events, recent_target, validate_events
 from pulsegrid.operators.registry import current_models
-from pulsegrid.operators.scoring import attach_current_model, keep_anomalies, score_events
-from pulsegrid.plans.detection import as_anomalies, detect
+from pulsegrid.plans.detection import detect
 from pulsegrid.sources.tables import (
     ensure_table, load_models, load_runs, read_metrics_table, save_run, with_event_date, write_metrics_table,
 )
@@ -94,7 +93,7 @@ def stream_score(
     events: DataFrame, current: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD
 ) -> DataFrame:
     """Stream-static join with the current models; only anomalies come out."""
-    return as_anomalies(keep_anomalies(score_events(attach_current_model(events, current), surfaces), threshold))
+    return detect(events, current, surfaces, threshold)
 
 
 # --- running -------------------------------------------------------------------------------------

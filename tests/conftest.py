@@ -11,7 +11,7 @@ from pulsegrid.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", 4)
+    session = build_session("local[8]", 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import BASE, readings
 
-from pulsegrid.functions.forest import average_path, fit_surface, grow_tree, lookup
+from pulsegrid.functions.forest import average_path, fit_surface, grow_tree, lookup, normal_core
 from pulsegrid.operators import evaluation, scoring
 from pulsegrid.operators import selection as sel
 from pulsegrid.operators.registry import current_models
@@ -103,6 +103,25 @@ def test_sorted_scoring_equals_broadcast_scoring(spark, monkeypatch):
     assert len(rows) == len(wide) == 403
 
 
+def test_screened_anomalies_equal_scored_ones(spark):
+    df = two_series(spark)
+    _, models = fitted(spark, df)
+    bounds = [e for r in models.collect() for e in (r["edges"][0], r["edges"][-1], r["edges"][len(r["edges"]) // 2])]
+    probe = df.unionByName(readings(spark, bounds + [-1e9, 1e9], "a", "cpu", start=BASE)).dropDuplicates(["event_id", "value"])
+    events = scoring.attach_current_model(probe, models)
+    for threshold in (0.0, -0.05, 0.1, -9.0, 9.0):
+        want = scoring.keep_anomalies(scoring.score_events(events, models), threshold)
+        got = scoring.score_anomalies(events, models, threshold)
+        assert sorted(got.select("event_id", "value", "score").collect()) == sorted(want.select("event_id", "value", "score").collect())
+
+
+def test_normal_core():
+    edges = np.array([1.0, 2.0, 3.0, 4.0])
+    assert normal_core(edges, np.array([-1, 1, 1, -1, 1.0]), 0.0) == (1.0, 3.0)
+    assert normal_core(edges, np.ones(5), 0.0) == (-np.inf, np.inf)
+    assert normal_core(edges, -np.ones(5), 0.0) == (np.inf, -np.inf)
+
+
 def test_readings_without_model_are_skipped(spark):
     df = two_series(spark)
     _, models = fitted(spark, df.where("service = 'a'"))
