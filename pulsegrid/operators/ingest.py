@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import deterministic_id, labels_to_map, micros, parse_event_time, time_literal
 from pulsegrid.schemas import WIRE_EVENT
+from pulsegrid.session import broadcast_if_small
 
 SERIES = ("service", "metric")
 
@@ -78,9 +79,19 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) ->
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` to append to ``target``: new keys only, first arrival of each, stored row wins."""
-    return dedupe_first(batch, keys, arrival).join(target.select(*keys), list(keys), "left_anti")
+def insert_if_absent(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], arrival: Sequence[str], small_batch: bool = False
+) -> DataFrame:
+    """Rows of ``batch`` to append to ``target``: new keys only, first arrival of each, stored row wins.
+
+    With ``small_batch`` the keys of the batch are counted and, when few, broadcast: the target is then
+    only scanned for them and not shuffled.
+    """
+    firsts = dedupe_first(batch, keys, arrival)
+    stored = target.select(*keys)
+    if small_batch:
+        stored = stored.join(broadcast_if_small(firsts.select(*keys)), list(keys), "left_semi")
+    return firsts.join(stored, list(keys), "left_anti")
 
 
 def recent_target(target: DataFrame, batch: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -91,10 +102,10 @@ def recent_target(target: DataFrame, batch: DataFrame, column: str = "timestamp"
     return target.where(F.col("event_date").between(F.lit(span["a"]), F.lit(span["b"])))
 
 
-def insert_anomalies(target: DataFrame, scored: DataFrame) -> DataFrame:
+def insert_anomalies(target: DataFrame, scored: DataFrame, small_batch: bool = False) -> DataFrame:
     """New anomalies as open rows; one per event, the stored one wins."""
     rows = scored.withColumn("status", F.lit("open"))
-    return insert_if_absent(target, rows, ["event_id"], ["timestamp", "anomaly_id"])
+    return insert_if_absent(target, rows, ["event_id"], ["timestamp", "anomaly_id"], small_batch)
 
 
 def batch_accounting(parsed: DataFrame, target: DataFrame, batch_column: str) -> DataFrame:

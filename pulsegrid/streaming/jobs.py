@@ -131,8 +131,11 @@ class Store:
 
     def load(self, spark: SparkSession, table: str, without_run: str = "") -> DataFrame:
         """All runs but one: a repeated run must not see what its first attempt stored."""
-        rows = load_runs(spark, self.root, table, TABLES[table])
-        return rows.where(F.col("run_id") != without_run).drop("run_id")
+        return self.runs(spark, table).where(F.col("run_id") != without_run).drop("run_id")
+
+    def runs(self, spark: SparkSession, table: str) -> DataFrame:
+        """Rows with the run that stored them; run_id is a partition column, so a filter on it prunes."""
+        return load_runs(spark, self.root, table, TABLES[table])
 
     def metrics(self, spark: SparkSession) -> DataFrame:
         return read_metrics_table(spark, self.path("metrics"))
@@ -148,45 +151,51 @@ COUNTS = T.StructType(
 FIRED = T.StructType(
     [T.StructField(name, T.StringType()) for name in SERIES] + [T.StructField("last_fired", T.TimestampType())]
 )
+CYCLES = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("upto", T.StringType())])
 TABLES = {
-    "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
+    "cycles": CYCLES, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
     "fired": FIRED, "quarantine": QUARANTINE, "accounting": COUNTS, "score_surface": schemas.SCORE_SURFACE,
     "model_versions": schemas.MODEL_VERSION, "model_pointers": schemas.POINTER_EVENT,
 }
 
 
+def batch_run(batch_id: int) -> str:
+    """Run id of a micro-batch; run ids sort like batch numbers."""
+    return f"b{batch_id:012d}"
+
+
 def ingest_batch(store: Store) -> Callable[[DataFrame, int], None]:
     """Micro-batch: quarantine bad messages, append new events, score them, append new anomalies.
 
     A replayed batch finds its rows stored and adds nothing; a failed scoring fails the batch, so it
     is retried instead of being lost. Models are read again for every batch, so new ones are used at
-    once. Late readings are stored like any other: there is no watermark here.
+    once. Late readings are stored like any other: there is no watermark here. The accounting row
+    comes last and marks the batch as complete for the alert cycle.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, run_id = batch.sparkSession, batch_run(batch_id)
         parsed = parse_events(batch).persist()
+        valid, rejected = validate_events(parsed)
+        events = valid.select(*EVENT_COLUMNS)
+        target = recent_target(store.metrics(spark), events)
+        keys, rest = ["timestamp", "event_id"], [*SERIES, "value"]
+        fresh = insert_if_absent(target, events, keys, rest, small_batch=True).persist()
+        current = current_models(store.load(spark, "model_pointers"))
+        surfaces = load_models(spark, store.root, schemas.SCORE_SURFACE)
+        live = surfaces.join(F.broadcast(current.select("model_id")), "model_id", "left_semi")
+        found = detect(events, current, live).drop("status").persist()
         try:
-            valid, rejected = validate_events(parsed)
-            save_run(rejected.select("data", "source_file", "reason"), store.root, "quarantine", f"b{batch_id}")
-            events = valid.select(*EVENT_COLUMNS)
-            target = recent_target(store.metrics(spark), events)
-            fresh = insert_if_absent(target, events, ["timestamp", "event_id"], [*SERIES, "value"]).persist()
-            try:
-                inserted = fresh.count()
-                _account(parsed, inserted, store, batch_id)
-                current = current_models(store.load(spark, "model_pointers"))
-                surfaces = load_models(spark, store.root, schemas.SCORE_SURFACE)
-                live = surfaces.join(F.broadcast(current.select("model_id")), "model_id", "left_semi")
-                found = detect(events, current, live).drop("status")
-                new = insert_anomalies(store.load(spark, "anomalies", f"b{batch_id}"), found)
-                save_run(new.select(schemas.ANOMALY.names), store.root, "anomalies", f"b{batch_id}")
-                if inserted:
-                    write_metrics_table(fresh, store.path("metrics"))
-            finally:
-                fresh.unpersist()
+            save_run(rejected.select("data", "source_file", "reason"), store.root, "quarantine", run_id)
+            inserted = fresh.count()
+            new = insert_anomalies(store.load(spark, "anomalies", run_id), found, small_batch=True)
+            save_run(new.select(schemas.ANOMALY.names), store.root, "anomalies", run_id)
+            if inserted:
+                write_metrics_table(fresh, store.path("metrics"))
+            _account(parsed, inserted, store, batch_id)
         finally:
-            parsed.unpersist()
+            for df in (found, fresh, parsed):
+                df.unpersist()
 
     return each
 
@@ -199,16 +208,31 @@ def _account(parsed: DataFrame, inserted: int, store: Store, batch_id: int) -> N
         F.lit(inserted).cast("bigint").alias("inserted"),
         (received - bad - F.lit(inserted)).cast("bigint").alias("skipped"),
     )
-    save_run(counts, store.root, "accounting", f"b{batch_id}")
+    save_run(counts, store.root, "accounting", batch_run(batch_id))
 
 
 def run_alert_cycle(spark: SparkSession, store: Store, now: datetime | str, run_id: str) -> dict[str, int]:
-    """One stored alert cycle; returns how many incidents it created and how many groups must wait."""
-    result = alert_cycle(
-        store.load(spark, "anomalies"), store.load(spark, "incident_members", run_id),
-        store.load(spark, "fired", run_id), now,
-    )
-    save_run(result.members.select(schemas.INCIDENT_MEMBER.names), store.root, "incident_members", run_id)
+    """One stored alert cycle; returns how many incidents it created and how many groups must wait.
+
+    A cycle reads the anomalies its predecessor left waiting and those of batches completed since, not
+    the whole history. A cycle that broke off is repeated under the same run id.
+    """
+    done = store.runs(spark, "cycles").where(F.col("run_id") != run_id)
+    last = done.agg(F.max(F.struct("at", "upto", "run_id")).alias("c")).first()["c"]
+    upto = store.runs(spark, "accounting").agg(F.max("run_id")).first()[0] or ""
+    seen = last["upto"] if last else ""
+    batches = F.col("run_id").startswith("b") & (F.col("run_id") > seen) & (F.col("run_id") <= upto)
+    fresh = store.runs(spark, "anomalies").where(batches).drop("run_id")
+    left = store.runs(spark, "waiting").where(F.col("run_id") == (last["run_id"] if last else "")).drop("run_id")
+    waiting = left.unionByName(fresh)
+    nobody = spark.createDataFrame([], schemas.INCIDENT_MEMBER)
+    result = alert_cycle(waiting, nobody, store.load(spark, "fired", run_id), now)
+    members = result.members.select(schemas.INCIDENT_MEMBER.names)
+    save_run(members, store.root, "incident_members", run_id)
     save_run(result.incidents.select(schemas.INCIDENT.names), store.root, "incidents", run_id)
     save_run(result.fired, store.root, "fired", run_id)
+    stored = store.runs(spark, "incident_members").where(F.col("run_id") == run_id)
+    save_run(waiting.join(stored.select("anomaly_id"), "anomaly_id", "left_anti").select(schemas.ANOMALY.names), store.root, "waiting", run_id)
+    cycle = spark.range(1).select(F.lit(str(now)).cast("timestamp").alias("at"), F.lit(upto).alias("upto"))
+    save_run(cycle, store.root, "cycles", run_id)
     return result.counts.first().asDict()

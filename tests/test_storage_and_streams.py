@@ -155,6 +155,10 @@ def test_ingest_stores_quarantines_scores_and_alerts(spark, tmp_path, run):
     assert jobs.run_alert_cycle(spark, store, now + timedelta(seconds=299), "c2") == {"created": 0, "suppressed": 1}
     assert jobs.run_alert_cycle(spark, store, now + timedelta(seconds=300), "c3") == {"created": 1, "suppressed": 0}
     assert store.load(spark, "incidents").count() == 2
+    # A cycle reads what is left and what is new, never the whole history.
+    assert store.runs(spark, "waiting").where("run_id = 'c2'").count() == 1
+    assert store.runs(spark, "waiting").where("run_id = 'c3'").isEmpty()
+    assert jobs.run_alert_cycle(spark, store, now + timedelta(days=1), "c4") == {"created": 0, "suppressed": 0}
 
 
 def test_a_replayed_batch_adds_nothing(spark, tmp_path, run):
