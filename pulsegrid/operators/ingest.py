@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scalars import deterministic_id, labels_to_map, micros, parse_event_time, time_literal
+from pulsegrid.functions.scalars import deterministic_id, micros, parse_event_time, time_literal
 from pulsegrid.schemas import WIRE_EVENT
 from pulsegrid.session import broadcast_if_small
 
@@ -21,32 +21,33 @@ def parse_events(messages: DataFrame, data: str = "data") -> DataFrame:
     The raw text stays in the row. An event without an id gets one from its own content, so a
     redelivered message keeps it.
     """
-    fields = F.from_json(F.col(data), WIRE_EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    # As a generated row the parsed struct is computed once; as a plain column a later filter on it
-    # would be pushed down with one more parse for every field it names.
-    j = messages.withColumn("j", F.explode(F.array(fields))).select(
-        "*", F.col("j.value").try_cast("double").alias("value"), parse_event_time("j.timestamp").alias("timestamp")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    # As generated rows the parsed parts are computed once; as plain columns they would be computed
+    # again for every later use, filters included.
+    parsed = messages.withColumn("j", F.explode(F.array(F.from_json(F.col(data), WIRE_EVENT, options))))
+    typed = F.struct(
+        F.coalesce("j.event_id", deterministic_id("event", data)).alias("event_id"),
+        F.col("j.value").try_cast("double").alias("value"),
+        parse_event_time("j.timestamp").alias("timestamp"),
+        F.from_json("j.labels", "map<string,string>").alias("labels"),
     )
-    labels = F.from_json("j.labels", "map<string,string>")
+    parsed = parsed.withColumn("e", F.explode(F.array(typed)))
     reason = (
         F.when(F.col(data).isNull(), "missing data")
         .when(F.col("j").isNull() | F.col("j._corrupt").isNotNull(), "bad json")
         .when(F.col("j.service").isNull(), "missing service")
         .when(F.col("j.metric").isNull(), "missing metric")
         .when(F.col("j.value").isNull(), "missing value")
-        .when(F.col("value").isNull() | F.isnan("value"), "bad value")
+        .when(F.col("e.value").isNull() | F.isnan("e.value"), "bad value")
         .when(F.col("j.timestamp").isNull(), "missing timestamp")
-        .when(F.col("timestamp").isNull(), "bad timestamp")
-        .when(F.col("j.labels").isNotNull() & labels.isNull(), "bad labels")
+        .when(F.col("e.timestamp").isNull(), "bad timestamp")
+        .when(F.col("j.labels").isNotNull() & F.col("e.labels").isNull(), "bad labels")
     )
-    return j.select(
+    no_labels = F.create_map().cast("map<string,string>")
+    return parsed.select(
         *messages.columns,
-        F.coalesce("j.event_id", deterministic_id("event", data)).alias("event_id"),
-        F.col("j.service").alias("service"),
-        F.col("j.metric").alias("metric"),
-        "value",
-        "timestamp",
-        labels_to_map("j.labels").alias("labels"),
+        "e.event_id", "j.service", "j.metric", "e.value", "e.timestamp",
+        F.coalesce("e.labels", no_labels).alias("labels"),
         reason.alias("reason"),
     )
 

@@ -616,7 +616,7 @@ def rank_detector(w: World) -> DataFrame:
 def fit_isolation_forest(w: World) -> DataFrame:
     split = training.split_window(w.readings, AS_OF)
     out = scoring.fit_isolation_forest(split.train, sizes=split.train_sizes)
-    return out.select(*SERIES, "n_fit", F.size("edges").alias("n_edges"))
+    return out.select(*SERIES, "n_fit", (F.size("scores") == F.size("edges") + 1).alias("whole"))
 
 
 @query
@@ -640,7 +640,12 @@ def evaluate_holdout(w: World) -> DataFrame:
 @query
 def train_all(w: World) -> DataFrame:
     run = training.train_all(w.readings, AS_OF)
-    return registry.with_current_flag(run.versions, run.pointers)
+    positives = run.evaluation.select(*SERIES, (F.col("tp") + F.col("fn")).alias("n_injected"))
+    rows = registry.with_current_flag(run.versions, run.pointers).join(positives, list(SERIES))
+    unit = [F.col(c).between(0.0, 1.0) for c in ("eval_precision", "eval_recall", "eval_f1")]
+    return rows.withColumn("evaluated", unit[0] & unit[1] & unit[2]).drop(
+        "fit_seconds", "eval_precision", "eval_recall", "eval_f1"
+    )
 
 
 @query

@@ -412,6 +412,21 @@ oracle("predict", "scored", """
 oracle("deterministic_id", "me", "SELECT event_id, md5(concat_ws(':', 'event', service, metric, event_id)) AS id FROM me")
 oracle("rank_detector", "scored", "SELECT event_id, round(score, 4) AS score FROM scored")
 
+# --- models: what does not depend on the random splits ----------------------------------------------
+
+_window = f"timestamp >= {AS_OF} - INTERVAL 30 DAY AND timestamp < {AS_OF}"
+oracle("fit_isolation_forest", "me", f"""
+    SELECT service, metric, CAST(least(25600, ceil(count(*) * (1.0::DOUBLE - 0.2::DOUBLE))) AS BIGINT) AS n_fit, true AS whole
+    FROM me WHERE {_window} GROUP BY ALL HAVING count(*) >= 10""")
+oracle("train_all", "me", f"""
+    SELECT service, metric, md5(concat_ws(':', 'model', service, metric, '2024-01-31 00:00:00')) AS model_id,
+           concat_ws('/', 'models', service, metric, md5(concat_ws(':', 'model', service, metric, '2024-01-31 00:00:00'))) AS artifact_path,
+           'isolation_forest' AS algorithm, {AS_OF} AS trained_at, {AS_OF} - INTERVAL 30 DAY AS window_start, {AS_OF} AS window_end,
+           CAST(n_train AS BIGINT) AS n_samples, true AS is_current, true AS evaluated,
+           CAST(greatest(1, floor((n - n_train) * 0.05::DOUBLE)) AS BIGINT) AS n_injected
+    FROM (SELECT service, metric, count(*) AS n, ceil(count(*) * (1.0::DOUBLE - 0.2::DOUBLE)) AS n_train
+          FROM me WHERE {_window} GROUP BY ALL HAVING count(*) >= 10)""")
+
 # --- streams ------------------------------------------------------------------------------------
 
 oracle("stream_dedup", "me", "SELECT * EXCLUDE (labels) FROM me")

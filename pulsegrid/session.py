@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it was counted and has at most this many rows.
+# A side is broadcast only when it was measured and has at most this many rows and bytes.
 SMALL_ROWS = 200_000
+SMALL_BYTES = 256 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -20,6 +21,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -49,12 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def pin_small(df: DataFrame, bound: int = SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """Materialise a table that is expected to be small, checking that it is.
 
-    Up to ``bound`` rows come back as a local relation marked for broadcast, with its rows as
+    Up to ``bound`` rows (and ``SMALL_BYTES``) come back as a local relation marked for broadcast, with its rows as
     an Arrow table. A larger table is checkpointed and left to a shuffled (skew-split) join.
     """
     spark = df.sparkSession
     rows = df.limit(bound + 1).toArrow()
-    if rows.num_rows <= bound:
+    if rows.num_rows <= bound and rows.nbytes <= SMALL_BYTES:
         return F.broadcast(spark.createDataFrame(rows, schema=df.schema)), rows
     return cut_lineage(df), None
 
