@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions.scalars import deterministic_id, from_micros, micros, time_literal
 from pulsegrid.operators.selection import number_rows
+from pulsegrid.session import broadcast_if_small
 
 SERIES = ("service", "metric")
 
@@ -68,8 +69,12 @@ def group_incidents(anomalies: DataFrame, gap_seconds: int = V.GROUPING_SECONDS)
 
 
 def incident_members(anomalies: DataFrame, gap_seconds: int = V.GROUPING_SECONDS) -> DataFrame:
-    """(anomaly_id, incident_id) of all anomalies: an equi join on the slot, which splits when skewed."""
-    slots = session_slots(anomalies, gap_seconds).select(*SERIES, "slot", "incident_id")
+    """(anomaly_id, incident_id) of all anomalies: an equi join on the slot.
+
+    Slots that were counted and are few are broadcast, so the anomalies do not move; otherwise the
+    join shuffles and a slot with very many anomalies is split.
+    """
+    slots = broadcast_if_small(session_slots(anomalies, gap_seconds).select(*SERIES, "slot", "incident_id"))
     keyed = anomalies.select("anomaly_id", *SERIES, "timestamp", _slot(gap_seconds).alias("slot"))
     return keyed.join(slots, [*SERIES, "slot"]).select("anomaly_id", "incident_id")
 
@@ -179,7 +184,7 @@ def alert_cycle(
     like = anomalies.schema["timestamp"].dataType
     at = time_literal(anomalies, "timestamp", now)
     waiting = ungrouped_anomalies(anomalies, members)
-    slots = session_slots(waiting, gap_seconds)
+    slots = broadcast_if_small(session_slots(waiting, gap_seconds))
     groups = _incidents(slots, like)
     heads = groups.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n_groups"), F.min(F.struct("started_at", "incident_id")).alias("head")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions.scalars import health_status
+from pulsegrid.session import broadcast_if_small
 
 
 def optional_filter(df: DataFrame, column: str, value) -> DataFrame:
@@ -60,8 +61,8 @@ def incident_feed(
     limit: int = V.FEED_LIMIT, offset: int = 0,
 ) -> DataFrame:
     """A page of incidents with anomaly counts. The page is cut first, so only its members are counted."""
-    page = incident_page(incidents, status, limit, offset)
-    hits = members.join(F.broadcast(page.select("incident_id")), "incident_id", "left_semi")
+    page = broadcast_if_small(incident_page(incidents, status, limit, offset))
+    hits = members.join(page.select("incident_id"), "incident_id", "left_semi")
     return incident_anomaly_count(page, hits).orderBy(F.desc("started_at"), "incident_id")
 
 
