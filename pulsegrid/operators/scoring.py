@@ -128,13 +128,16 @@ def score_events(events: DataFrame, surfaces: DataFrame, loaded: LoadedSurfaces
     return events.join(places, "model_id").withColumn("score", decide("_at", "value")).drop("_at")
 
 
-def score_anomalies(events: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD) -> DataFrame:
+def score_anomalies(
+    events: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD,
+    loaded: LoadedSurfaces | None = None,
+) -> DataFrame:
     """Only the readings whose score is below the threshold, with their scores.
 
     Nearly all readings lie in the range around a model's centre where every step is normal. Two
     numbers per model settle those inside the JVM; only the rest goes to Python to be scored.
     """
-    loaded = load_surfaces(surfaces)
+    loaded = loaded or load_surfaces(surfaces)
     if loaded is not None:
         cores = [normal_core(edges, decisions, threshold) for edges, decisions in loaded.steps]
         low, high = (pa.array([c[i] for c in cores], pa.float64()) for i in (0, 1))

@@ -10,14 +10,17 @@ from pulsegrid.functions.scalars import deterministic_id
 from pulsegrid.operators.incidents import group_incidents
 from pulsegrid.operators.overview import service_overview
 from pulsegrid.operators.registry import current_models
-from pulsegrid.operators.scoring import attach_current_model, score_anomalies
+from pulsegrid.operators.scoring import LoadedSurfaces, attach_current_model, score_anomalies
 from pulsegrid.plans.training import train_all
 from pulsegrid.session import cut_lineage
 
 
-def detect(events: DataFrame, current: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD) -> DataFrame:
+def detect(
+    events: DataFrame, current: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD,
+    loaded: LoadedSurfaces | None = None,
+) -> DataFrame:
     """Anomaly rows of the readings that have a current model."""
-    return as_anomalies(score_anomalies(attach_current_model(events, current), surfaces, threshold))
+    return as_anomalies(score_anomalies(attach_current_model(events, current), surfaces, threshold, loaded))
 
 
 def as_anomalies(kept: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from pulsegrid.functions import fixed_values as V
 from pulsegrid.operators.incidents import alert_cycle
 from pulsegrid.operators.ingest import insert_anomalies, insert_if_absent, parse_events, recent_target, validate_events
 from pulsegrid.operators.registry import current_models
+from pulsegrid.operators.scoring import LoadedSurfaces, load_surfaces
 from pulsegrid.plans.detection import detect
+from pulsegrid.session import pin_small
 from pulsegrid.sources.tables import (
     ensure_table, load_models, load_runs, read_metrics_table, save_run, with_event_date, write_metrics_table,
 )
@@ -168,11 +170,13 @@ def ingest_batch(store: Store) -> Callable[[DataFrame, int], None]:
     """Micro-batch: quarantine bad messages, append new events, score them, append new anomalies.
 
     A replayed batch finds its rows stored and adds nothing; a failed scoring fails the batch, so it
-    is retried instead of being lost. Models are read again for every batch, so new ones are used at
-    once. Late readings are stored like any other: there is no watermark here. The accounting row
+    is retried instead of being lost. The registry is read for every batch, so new models are used at
+    once; their surfaces are loaded again only when the current models changed. Late readings are stored like any other: there is no watermark here. The accounting row
     comes last and marks the batch as complete for the alert cycle.
     """
 
+    cache: dict[frozenset[str], LoadedSurfaces] = {}
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark, run_id = batch.sparkSession, batch_run(batch_id)
         parsed = parse_events(batch).persist()
@@ -181,10 +185,15 @@ def ingest_batch(store: Store) -> Callable[[DataFrame, int], None]:
         target = recent_target(store.metrics(spark), events)
         keys, rest = ["timestamp", "event_id"], [*SERIES, "value"]
         fresh = insert_if_absent(target, events, keys, rest, small_batch=True).persist()
-        current = current_models(store.load(spark, "model_pointers"))
+        current, rows = pin_small(current_models(store.load(spark, "model_pointers")).select(*SERIES, "model_id"))
         surfaces = load_models(spark, store.root, schemas.SCORE_SURFACE)
-        live = surfaces.join(F.broadcast(current.select("model_id")), "model_id", "left_semi")
-        found = detect(events, current, live).drop("status").persist()
+        live = surfaces.join(current.select("model_id"), "model_id", "left_semi")
+        ids = frozenset(rows.column("model_id").to_pylist()) if rows is not None else None
+        loaded = cache.get(ids) or load_surfaces(live)
+        cache.clear()
+        if ids is not None and loaded is not None and len(loaded.ids) == len(ids):
+            cache[ids] = loaded
+        found = detect(events, current, live, loaded=loaded).drop("status").persist()
         try:
             save_run(rejected.select("data", "source_file", "reason"), store.root, "quarantine", run_id)
             inserted = fresh.count()

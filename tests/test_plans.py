@@ -3,30 +3,33 @@
 import re
 
 import pytest
+from compare import plan
 
 from __spark_entry__ import queries
 from pulsegrid.operators import ingest, rollup
-from pulsegrid.plans.fixtures import World
+from pulsegrid.plans import detection, training
+from pulsegrid.plans.fixtures import AS_OF, World
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {
-    "fit_isolation_forest", "model_fit_stats", "score_events", "evaluate_holdout", "train_all",
-    "save_and_load_models", "detect", "history_to_overview",
-}
-BATCH = sorted(n for n in queries() if not n.startswith("stream_"))
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", [n for n in BATCH if n not in PYTHON])
-def test_no_cross_join_and_no_python(spark, name):
+@pytest.mark.parametrize("name", ["parse_events", "chrono_split", "inject_anomalies", "alert_cycle", "incident_feed"])
+def test_no_python_where_the_jvm_suffices(spark, name):
     text = plan(queries()[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas", text)
 
 
+def test_detection_screens_before_python(spark):
+    """Readings inside a model's core are filtered below the Python step."""
+    w = World(spark, SF)
+    split = training.split_window(w.readings, AS_OF)
+    models = training.fit_models(split, AS_OF)
+    text = plan(detection.detect(w.readings, models, models))
+    assert text.count("ArrowEvalPython") == 1
+    below = text[text.index("ArrowEvalPython"):]
+    assert "_low" in below and "_high" in below
+
+
 def test_scans_read_only_what_they_need(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     w = World(spark, SF)

@@ -176,11 +176,12 @@ def test_new_models_are_used_by_the_next_batch(spark, tmp_path, run):
     store = jobs.Store(str(tmp_path / "store"))
     store.prepare(spark)
     one = lambda i: spark.createDataFrame([(event(i, i, 999.0), "f")], "data string, source_file string")
-    jobs.ingest_batch(store)(one(1), 0)
+    each = jobs.ingest_batch(store)
+    each(one(1), 0)
     assert store.load(spark, "anomalies").isEmpty()
     tables.save_models(run.surfaces.select(schemas.SCORE_SURFACE.names), store.root, "r1")
     tables.save_run(run.pointers.select(schemas.POINTER_EVENT.names), store.root, "model_pointers", "r1")
-    jobs.ingest_batch(store)(one(2), 1)
+    each(one(2), 1)
     assert [r["event_id"] for r in store.load(spark, "anomalies").collect()] == ["e2"]
 
 
