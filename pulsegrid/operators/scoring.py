@@ -125,7 +125,9 @@ def score_events(events: DataFrame, surfaces: DataFrame, loaded: LoadedSurfaces
             out[rows_of] = lookup(*shared.value[model], x[rows_of])
         return pd.Series(out)
 
-    return events.join(places, "model_id").withColumn("score", decide("_at", "value")).drop("_at")
+    # Marked non-deterministic only so that a filter on the score does not evaluate it a second time.
+    score = decide.asNondeterministic()
+    return events.join(places, "model_id").withColumn("score", score("_at", "value")).drop("_at")
 
 
 def score_anomalies(
