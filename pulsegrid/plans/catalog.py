@@ -13,7 +13,7 @@ from pulsegrid import schemas
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators import evaluation, incidents, ingest, overview, registry, rollup, schedule, scoring
 from pulsegrid.plans import detection, training
-from pulsegrid.plans.fixtures import AS_OF, GAP, SIM_START, World
+from pulsegrid.plans.fixtures import AS_OF, GAP, World
 from pulsegrid.session import broadcast_if_small, shared_folder
 from pulsegrid.sources import tables
 from pulsegrid.sources.adapters import lineitem_readings

@@ -20,7 +20,7 @@ from pulsegrid.operators.scoring import LoadedSurfaces, load_surfaces
 from pulsegrid.plans.detection import detect
 from pulsegrid.session import pin_small
 from pulsegrid.sources.tables import (
-    ensure_table, load_models, load_runs, read_metrics_table, save_run, with_event_date, write_metrics_table,
+    ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
 )
 
 SERIES = ("service", "metric")
