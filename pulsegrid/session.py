@@ -32,10 +32,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder, or a new one where none is set."""
+    """Folder all executors can reach: the cluster's checkpoint folder.
+
+    Where none is set, a temporary folder serves in local mode only; on a cluster that is an error, as executors could
+    not read each other's files.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)

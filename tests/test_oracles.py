@@ -4,9 +4,11 @@ import pytest
 from compare import compare, open_tables
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pulsegrid.plans.catalog import QUERIES
+from pulsegrid.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -15,17 +17,17 @@ def con():
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(queries())
+    assert set(oracle_sql()) <= set(queries()) and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, SF, queries()[name], SQL[name]) == ""
+    assert compare(spark, con, SF, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(SQL) - {"history_to_overview"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"history_to_overview"}))
 def test_query_gives_rows(spark, name):
-    assert queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
