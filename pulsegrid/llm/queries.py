@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import read_table
+from pulsegrid.llm.packing import pack_documents
+from pulsegrid.llm.sentencepiece_spans import encode_digests
 from pulsegrid.llm.sharding import assign_shards
 from pulsegrid.llm.sql import SHARDS_SQL
+from pulsegrid.llm.token_files import token_positions, write_token_files
 
 SHARDS = 40
+WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+RECORD_END, PACK_END = 2, 0
+
+
+def vocabulary(name: str) -> str:
+    """Where this machine keeps a public tokenizer's file; the same place on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +34,27 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token records in files, and what the files hold."""
+    manifest = write_token_files(read_table(spark, sf_dir, "documents"), vocabulary(WORD_TOKENIZER), RECORD_END)
+    return token_positions(manifest)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(WORD_TOKENIZER), PACK_END)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces with spans, and decoded again."""
+    return encode_digests(read_table(spark, sf_dir, "documents"), vocabulary(PIECE_MODEL))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
+    "op4_token_files": op4_token_files,
+    "op8_packing": op8_packing,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 LLM_ORACLES: dict[str, str] = {
