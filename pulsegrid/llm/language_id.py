@@ -149,13 +149,13 @@ def judge(filters: LanguageFilters, texts: list[str]) -> tuple[list[str], np.nda
     return names, score, np.where(lettered, np.minimum(top, 1.0), 0.0)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, lang_score and lang_known to every row, replacing columns of those names.
+def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
+    """Adds pred, score and known (after ``prefix``) to every row, replacing columns of those names.
 
     Whole texts, no shuffle. A null text or one without letters is ``und`` with score 0; so is every text if no language
     was learned. A text with letters but no known gram gets the language with most training text and score 0.
     """
-    added = {"lang_pred": pa.string(), "lang_score": pa.float64(), "lang_known": pa.float64()}
+    added = [f"{prefix}{name}" for name in ("pred", "score", "known")]
     kept = docs.drop(*added)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
@@ -165,4 +165,4 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text")
             columns = [pa.array(names, pa.string()), pa.array(score), pa.array(known)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_known double")
+    return kept.mapInArrow(run, f"{schema}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` double")

@@ -76,17 +76,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """All columns of every row, the text without repeated chunks, and n_lines, n_chunks, removed_lines, removed_chunks.
 
     Kept: the first chunk by id (nulls first), then by row and place; so repeated rows and ids, and passages repeated
     within one text, lose all but one. Blank chunks stay. A null text stays null, an empty one empty; a text of which
-    all is repeated elsewhere becomes empty, but the row stays. Columns with the four added names are replaced.
+    all is repeated elsewhere becomes empty, but the row stays. Columns named as the four added ones (after ``prefix``)
+    are replaced.
     Order of work: chunk hashes are counted; only chunks whose hash repeats are compared byte by byte (grouped by hash and
     text, combined before the shuffle); what they tell is joined by hash, where the adaptive join splits a hot passage;
     texts are put together again per row. The text moves through one shuffle, repeated passages through two more.
     """
-    added = ("n_lines", "n_chunks", "removed_lines", "removed_chunks")
+    added = [f"{prefix}{name}" for name in ("n_lines", "n_chunks", "removed_lines", "removed_chunks")]
     others = [c for c in docs.columns if c not in (text_col, *added)]
     numbered = docs.select(
         F.monotonically_increasing_id().alias("uid"),
@@ -124,8 +125,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = {c: F.col(f"rest.c{n}") for n, c in enumerate(others)} | {text_col: F.when(~missing, text)}
     return rows.select(
         *(out[c].alias(c) for c in docs.columns if c not in added),
-        lines(1).alias("n_lines"),
-        F.when(missing, 0).otherwise(count(1)).cast("long").alias("n_chunks"),
-        lines(0).alias("removed_lines"),
-        count(0).alias("removed_chunks"),
+        lines(1).alias(added[0]),
+        F.when(missing, 0).otherwise(count(1)).cast("long").alias(added[1]),
+        lines(0).alias(added[2]),
+        count(0).alias(added[3]),
     )
