@@ -16,7 +16,7 @@ from pulsegrid.llm.ngram_join import Measure, ngram_join
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.sentencepiece_spans import encode_digests
 from pulsegrid.llm.sharding import assign_shards
-from pulsegrid.llm.sql import SHARDS_SQL
+from pulsegrid.llm.sql import LINE_DEDUP_SQL, NGRAM_JOIN_SQL, SHARDS_SQL
 from pulsegrid.llm.token_files import token_positions, write_token_files
 from pulsegrid.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
@@ -113,4 +113,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 LLM_ORACLES: dict[str, str] = {
     "op1_shards": SHARDS_SQL,
+    "op2_line_dedup": LINE_DEDUP_SQL,
+    "op3_ngram_join": NGRAM_JOIN_SQL,
 }

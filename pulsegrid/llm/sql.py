@@ -33,3 +33,50 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        (n - min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM cut
 """
+
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no
+    FROM documents WHERE text IS NOT NULL),
+hashed AS (
+    SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+cut AS (
+    SELECT *, ((h + 257 * lag(h, 1, 0) OVER o) % 2147483647) % 4 = 0 OR words >= 50 OR lead(words, 1, 0) OVER o >= 50 AS ends
+    FROM hashed WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
+numbered AS (
+    SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+    FROM cut),
+chunks AS (
+    SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY no) AS part, count(*) AS n,
+           sum(words) >= 50 OR (count(*) > 1 AND sum(words) > 0) AS movable
+    FROM numbered GROUP BY doc_id, chunk),
+judged AS (
+    SELECT *, NOT movable OR row_number() OVER (PARTITION BY movable, part ORDER BY doc_id, chunk) = 1 AS kept FROM chunks),
+rebuilt AS (
+    SELECT doc_id, coalesce(string_agg(part, chr(10) ORDER BY chunk) FILTER (kept), '') AS text, sum(n)::BIGINT AS n_lines,
+           count(*) AS n_chunks, coalesce(sum(n) FILTER (NOT kept), 0)::BIGINT AS removed_lines, count(*) FILTER (NOT kept) AS removed_chunks
+    FROM judged GROUP BY doc_id)
+SELECT * FROM rebuilt
+UNION ALL SELECT doc_id, NULL, 0, 0, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+                        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+    FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS other FROM linked UNION SELECT r.doc_id, b.b FROM reach r JOIN linked b ON b.a = r.other)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.other), s.doc_id) AS component_id
+FROM sizes s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+"""
