@@ -173,7 +173,7 @@ class SpanEncoder:
         """First and past-the-end byte of the original text for each id of a text."""
         text, places = self.normalizer.align(data)
         if self.unknown is not None and (ids == self.unknown).any():  # an unknown id has no width of its own
-            proto = self.processor.encode(data.decode(), out_type="immutable_proto")
+            proto = self.processor.encode(data.decode(), return_type="proto")
             width = np.array([len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
         else:
             width = self.width[ids]
