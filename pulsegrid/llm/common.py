@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.session import shared_folder
 
@@ -36,11 +37,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def flat_texts(column: pa.Array) -> pa.Array:
-    """Strings without nulls: a null text counts as an empty one."""
-    if column.null_count:
-        column = pc.fill_null(column, "")
-    return column
+# Rows of a few numbers each: at most some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_not(rows: DataFrame, bound: int | None = None) -> DataFrame:
+    """Marked for broadcast if counted to have at most so many short rows; else left to a shuffled join."""
+    bound = BROADCAST_ROWS if bound is None else bound
+    return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

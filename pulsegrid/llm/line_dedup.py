@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import slices, stage
+from pulsegrid.llm.common import BROADCAST_ROWS, slices, small_or_not, stage
 
 # A chunk ends after a line whose rolling hash is a multiple of this, so short lines form chunks of about as many.
 DIVISOR = 4
@@ -51,29 +51,47 @@ def chunk_rows(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _movable(n_lines: int, n_words: int) -> bool:
+    return n_words >= LONG_WORDS or (n_lines > 1 and n_words > 0)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds lines, chunks and the hash of each chunk (null where it must stay) to rows with a text."""
+    for batch in slices(batches, "text"):
+        n_lines, hashes = [], []
+        for text in batch.column("text").to_pylist():
+            chunks = chunk_rows(text) if text is not None else []
+            n_lines.append(sum(n for n, _, _ in chunks))
+            hashes.append([hashlib.md5(part.encode()).digest() if _movable(n, w) else None for n, w, part in chunks])
+        columns = [pa.array(n_lines, pa.int64()), pa.array(hashes, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lines", "hashes"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks that may be removed, with their text."""
     for batch in slices(batches, "text"):
-        rows, numbers, counts, hashes, texts = [], [], [], [], []
-        for n, text in enumerate(batch.column("text").to_pylist()):
-            for k, (n_lines, n_words, part) in enumerate(chunk_rows(text) if text is not None else [(0, 0, None)]):
-                rows.append(n)
-                numbers.append(k)
-                counts.append(n_lines)
-                movable = n_words >= LONG_WORDS or (n_lines > 1 and n_words > 0)
-                hashes.append(hashlib.md5(part.encode()).digest() if movable else None)
-                texts.append(part)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("uid").take(pa.array(rows)),
-                batch.column("id").take(pa.array(rows)),
-                pa.array(numbers, pa.int32()),
-                pa.array(counts, pa.int64()),
-                pa.array(hashes, pa.binary()),
-                pa.array(texts, pa.string()),
-                batch.column("rest").take(pa.array([n if k == 0 else None for n, k in zip(rows, numbers, strict=True)], pa.int64())),
-            ],
-            names=["uid", "id", "no", "n_lines", "hash", "text", "rest"],
-        )
+        rows, out = [], {"no": [], "n": [], "hash": [], "part": []}
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            for no, (n, w, part) in enumerate(chunk_rows(text) if text is not None else []):
+                if _movable(n, w):
+                    rows.append(row)
+                    for name, value in zip(out, (no, n, hashlib.md5(part.encode()).digest(), part), strict=True):
+                        out[name].append(value)
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.string())
+        own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("uid", "id")]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["uid", "id", *out])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the chunks named in ``gone``."""
+    for batch in slices(batches, "text"):
+        texts = batch.column("text").to_pylist()
+        for row, gone in enumerate(batch.column("gone").to_pylist()):
+            if gone:
+                gone = set(gone)
+                texts[row] = "\n".join(part for no, (_, _, part) in enumerate(chunk_rows(texts[row])) if no not in gone)
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -85,7 +103,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced.
     Order of work: chunk hashes are counted; only chunks whose hash repeats are compared byte by byte (grouped by hash and
     text, combined before the shuffle); what they tell is joined by hash, where the adaptive join splits a hot passage;
-    texts are put together again per row. The text moves through one shuffle, repeated passages through two more.
+    then each row drops its own. Repeated hashes and rows to change are broadcast while they are counted to be few, so
+    that only repeated passages move; beyond that the same joins shuffle.
     """
     added = [f"{prefix}{name}" for name in ("n_lines", "n_chunks", "removed_lines", "removed_chunks")]
     others = [c for c in docs.columns if c not in (text_col, *added)]
@@ -95,38 +114,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(text_col).alias("text"),
         F.struct(*(F.col(c).alias(f"c{n}") for n, c in enumerate(others))).alias("rest"),
     )
-    schema = f"uid long, id {docs.schema[id_col].dataType.simpleString()}, no int, n_lines long, hash binary, text string, rest {numbered.schema['rest'].dataType.simpleString()}"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields)
     # Stored once, so that row numbers cannot change when a task is repeated; narrow steps read only the hashes.
-    chunks = stage(numbered.mapInArrow(_chunks, schema), "chunks")
+    rows = stage(numbered.mapInArrow(_hashed, f"{schema}, lines long, hashes array<binary>"), "lines")
 
-    repeated = chunks.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash")
+    hashes = rows.select(F.explode("hashes").alias("hash")).where(F.col("hash").isNotNull())
+    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    parts = rows.select("uid", "id", "text").mapInArrow(_parts, f"uid long, id {id_type}, no int, n long, hash binary, part string")
+    candidates = stage(parts.join(small_or_not(stage(repeated, "hashes")), "hash"), "repeated")
     place = F.struct("id", "uid", "no")
-    candidates = chunks.select("uid", "id", "no", "n_lines", "hash", "text").join(repeated, "hash")
-    firsts = candidates.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    firsts = firsts.select("hash", F.col("text").alias("same"), "first")
-    removed = candidates.join(firsts, "hash").where((F.col("text") == F.col("same")) & (place != F.col("first")))
-
-    # A mark sorts right before the chunk it removes.
-    marks = removed.select("uid", F.struct("no", F.lit(0).alias("kind"), "n_lines", F.lit(None).cast("string").alias("text")).alias("c"))
-    parts = chunks.select("uid", F.struct("no", F.lit(1).alias("kind"), "n_lines", "text").alias("c"), "rest")
-    rows = marks.unionByName(parts, allowMissingColumns=True).groupBy("uid").agg(
-        F.sort_array(F.collect_list("c")).alias("c"), F.first("rest", ignorenulls=True).alias("rest")
-    )
-    kept = F.filter("c", lambda x, i: (x["kind"] == 1) & F.coalesce(F.get("c", i - 1)["kind"] == 1, F.lit(True)))
-    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
-    missing = F.exists("c", lambda x: (x["kind"] == 1) & x["text"].isNull())
-
-    def lines(kind: int):
-        return F.aggregate(F.filter("c", lambda x: x["kind"] == kind), F.lit(0).cast("long"), lambda total, x: total + x["n_lines"])
-
-    def count(kind: int):
-        return F.size(F.filter("c", lambda x: x["kind"] == kind)).cast("long")
-
-    out = {c: F.col(f"rest.c{n}") for n, c in enumerate(others)} | {text_col: F.when(~missing, text)}
-    return rows.select(
+    firsts = candidates.groupBy("hash", "part").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    firsts = firsts.select("hash", F.col("part").alias("same"), "first")
+    removed = candidates.join(firsts, "hash").where((F.col("part") == F.col("same")) & (place != F.col("first")))
+    removed = stage(removed.select("uid", "no", "n"), "removed")
+    gone = removed.groupBy("uid").agg(F.collect_list("no").alias("gone"), F.sum("n").alias("gone_lines"))
+    gone = F.broadcast(gone) if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+
+    joined = rows.drop("id").withColumn("chunks", F.size("hashes").cast("long")).drop("hashes").join(gone, "uid", "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
+    cleaned = joined.mapInArrow(_without, schema)
+    out = {c: F.col(f"rest.c{n}") for n, c in enumerate(others)} | {text_col: F.col("text")}
+    return cleaned.select(
         *(out[c].alias(c) for c in docs.columns if c not in added),
-        lines(1).alias(added[0]),
-        F.when(missing, 0).otherwise(count(1)).cast("long").alias(added[1]),
-        lines(0).alias(added[2]),
-        count(0).alias(added[3]),
+        F.col("lines").alias(added[0]),
+        F.col("chunks").alias(added[1]),
+        F.coalesce("gone_lines", F.lit(0)).alias(added[2]),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(added[3]),
     )

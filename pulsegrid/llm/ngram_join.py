@@ -19,14 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import mix64, slices, stage
+from pulsegrid.llm.common import mix64, slices, small_or_not, stage
 from pulsegrid.llm.components import components
 
 GROWTH = 1.3  # sizes of a band's own documents span this factor
 BLOCKS = 1.16  # blocks for each n-gram that may differ, so that most blocks that hold one n-gram or none can be left out
 BITS = 4  # bits of the compact sketch for each n-gram, at least
 PIECE = 1024  # members of a block that are compared in one go
-BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -292,11 +291,6 @@ def _compare(measure: Measure):
     return run
 
 
-def _small_or_not(rows: DataFrame) -> DataFrame:
-    """Marked for broadcast if it was counted to have at most BROADCAST_ROWS short rows; else left to a shuffled join."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 class NgramJoin:
     """The join over one table; each step is a stored table in the shared folder."""
 
@@ -312,7 +306,7 @@ class NgramJoin:
         narrow = self.features.select("uid", "id", "th", "n", "d1", "d2")
         self.rows = stage(narrow.join(sets, ["d1", "d2", "n"], "left").select("uid", "id", "th", "n", "node", "low"), "rows")
         copies = self.rows.where(F.col("uid") != F.col("node")).select("uid")
-        nodes = self.features.where(F.col("n") > 0).join(_small_or_not(copies), "uid", "left_anti")
+        nodes = self.features.where(F.col("n") > 0).join(small_or_not(copies), "uid", "left_anti")
         self.nodes = nodes.withColumnRenamed("uid", "node")
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -325,7 +319,7 @@ class NgramJoin:
         """Pairs whose sets, built again from the texts, reach the similarity."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = stage(self.rows.where(F.col("uid") == F.col("node")).select("node", F.col("id").alias("own"), F.col("th").alias("own_th")).join(wanted, "node", "left_semi"), "wanted")
-        texts = self.docs.join(_small_or_not(wanted), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text")
+        texts = self.docs.join(small_or_not(wanted), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text")
         words = self.measure.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import pytest
 from cases import documents, frame
 from compare import compare, open_tables
 
+from pulsegrid.llm import common
 from pulsegrid.llm import ngram_join as module
 from pulsegrid.llm.ngram_join import Measure, keep_one, ngram_join
 from pulsegrid.llm.queries import LLM_ORACLES, LLM_QUERIES
@@ -69,7 +70,7 @@ def test_second_round_with_small_pieces(spark, monkeypatch):
     base = [rng.choice(pool) for _ in range(120)]
     rows = [(n, " ".join(rng.choice(pool) if rng.random() < 0.025 else w for w in base)) for n in range(60)]
     monkeypatch.setattr(module, "PIECE", 8)
-    monkeypatch.setattr(module, "BROADCAST_ROWS", 5)  # beyond this the shuffled way is taken
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)  # beyond this the shuffled way is taken
     assert found(spark, rows, Measure(4, 85)) == Counter(by_hand(rows, Measure(4, 85)))
 
 
