@@ -17,51 +17,6 @@ STATUSES = ("open", "resolved", "suppressed")
 # Anomaly kinds of a schedule.
 ANOMALY_TYPES = ("spike", "dip", "level_shift", "gradual_drift")
 
-# Weekday weights, Monday to Sunday.
-WEEKLY_WEIGHTS = (0.5, 0.7, 0.8, 0.7, 0.5, -0.5, -0.8)
-
-# Signal defaults.
-SIGNAL_DEFAULTS = {"daily_amp": 0.30, "weekly_amp": 0.15, "noise_std": 1.0, "min_val": 0.0, "max_val": None}
-
-# Signal catalog (service, metric, base, daily_amp, weekly_amp, noise_std, max_val).
-SIGNAL_CATALOG = (
-    ("payment-api", "cpu_percent", 42.0, 0.35, 0.20, 3.5, None),
-    ("payment-api", "memory_percent", 58.0, 0.08, 0.05, 1.5, 100.0),
-    ("payment-api", "request_rate", 120.0, 0.55, 0.30, 8.0, None),
-    ("payment-api", "latency_p50", 45.0, 0.25, 0.10, 4.0, None),
-    ("payment-api", "latency_p95", 120.0, 0.30, 0.10, 12.0, None),
-    ("payment-api", "latency_p99", 280.0, 0.35, 0.12, 28.0, None),
-    ("payment-api", "error_rate", 0.005, 0.20, 0.10, 0.001, 1.0),
-    ("auth-service", "cpu_percent", 28.0, 0.30, 0.15, 2.5, None),
-    ("auth-service", "memory_percent", 45.0, 0.06, 0.04, 1.2, 100.0),
-    ("auth-service", "request_rate", 80.0, 0.50, 0.25, 5.0, None),
-    ("auth-service", "latency_p50", 30.0, 0.20, 0.08, 3.0, None),
-    ("auth-service", "latency_p95", 85.0, 0.25, 0.08, 8.0, None),
-    ("auth-service", "latency_p99", 180.0, 0.30, 0.10, 18.0, None),
-    ("auth-service", "error_rate", 0.003, 0.15, 0.08, 0.0008, 1.0),
-    ("inventory-db", "cpu_percent", 22.0, 0.20, 0.10, 2.0, None),
-    ("inventory-db", "memory_percent", 72.0, 0.05, 0.03, 1.0, 100.0),
-    ("inventory-db", "request_rate", 35.0, 0.40, 0.20, 3.0, None),
-    ("inventory-db", "latency_p50", 8.0, 0.15, 0.05, 1.0, None),
-    ("inventory-db", "latency_p95", 22.0, 0.18, 0.05, 3.0, None),
-    ("inventory-db", "latency_p99", 55.0, 0.22, 0.07, 7.0, None),
-    ("inventory-db", "error_rate", 0.001, 0.10, 0.05, 0.0003, 1.0),
-    ("notification-service", "cpu_percent", 15.0, 0.25, 0.12, 2.0, None),
-    ("notification-service", "memory_percent", 38.0, 0.07, 0.04, 1.2, 100.0),
-    ("notification-service", "request_rate", 20.0, 0.45, 0.22, 2.5, None),
-    ("notification-service", "latency_p50", 60.0, 0.20, 0.08, 6.0, None),
-    ("notification-service", "latency_p95", 180.0, 0.25, 0.08, 18.0, None),
-    ("notification-service", "latency_p99", 420.0, 0.30, 0.10, 40.0, None),
-    ("notification-service", "error_rate", 0.008, 0.18, 0.08, 0.002, 1.0),
-    ("api-gateway", "cpu_percent", 55.0, 0.40, 0.22, 4.0, None),
-    ("api-gateway", "memory_percent", 48.0, 0.06, 0.03, 1.5, 100.0),
-    ("api-gateway", "request_rate", 380.0, 0.60, 0.35, 20.0, None),
-    ("api-gateway", "latency_p50", 25.0, 0.22, 0.08, 3.0, None),
-    ("api-gateway", "latency_p95", 70.0, 0.28, 0.09, 8.0, None),
-    ("api-gateway", "latency_p99", 160.0, 0.32, 0.10, 18.0, None),
-    ("api-gateway", "error_rate", 0.006, 0.22, 0.10, 0.0012, 1.0),
-)
-
 # Default schedule (service, metric, type, start_offset_hours, duration_minutes, duration_hours, magnitude).
 DEFAULT_SCHEDULE = (
     ("payment-api", "cpu_percent", "spike", 24.0, 30.0, None, 5.0),
@@ -95,7 +50,6 @@ DEFAULT_WINDOW_HOURS = 3
 FUTURE_SLACK_SECONDS = 60
 FRESH_SECONDS = 300
 ROLLUP_REFRESH = "3 hours"
-STREAM_BATCH = 500
 MIN_AVG_F1 = 0.60
 
 # Look-back presets in hours.

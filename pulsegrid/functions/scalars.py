@@ -76,14 +76,6 @@ def hash60(text: ColumnOrName, offset: int = 0) -> Column:
     return F.conv(F.substring(F.md5(_c(text)), offset + 1, 15), 16, 10).cast("bigint")
 
 
-def md5_order(text: ColumnOrName) -> list[Column]:
-    """Numbers whose lexicographic order is the md5 order of ``text`` (120 of its 128 bits)."""
-    return [hash60(text), hash60(text, 15)]
-
-
-# --- labels -------------------------------------------------------------------------------------
-
-
 def labels_to_map(text: ColumnOrName) -> Column:
     """JSON object to map; no labels means an empty map."""
     empty = F.create_map().cast("map<string,string>")
@@ -130,31 +122,6 @@ def remap_prediction(prediction: ColumnOrName) -> Column:
 # --- signal model -------------------------------------------------------------------------------
 
 
-def daily_seasonality(ts: ColumnOrName) -> Column:
-    """Sine over the day: +1 at 14:00, -1 at 02:00. Seconds do not count."""
-    t = _c(ts)
-    hours = F.hour(t) + F.minute(t) / F.lit(60.0)
-    return F.sin(F.lit(2.0) * F.pi() * (hours - F.lit(8.0)) / F.lit(24.0))
-
-
-def weekly_seasonality(ts: ColumnOrName) -> Column:
-    weights = F.array(*[F.lit(w) for w in V.WEEKLY_WEIGHTS])
-    return F.element_at(weights, F.weekday(_c(ts)) + 1)
-
-
-def expected_baseline(ts: ColumnOrName) -> Column:
-    """Noise-free value of the signal model, from the columns of ``SIGNAL_CONFIG``."""
-    base = F.col("base")
-    value = (
-        base
-        + base * F.col("daily_amp") * daily_seasonality(ts)
-        + base * F.col("weekly_amp") * weekly_seasonality(ts)
-    )
-    value = F.greatest(value, F.col("min_val"))
-    value = F.when(F.col("max_val").isNotNull(), F.least(value, F.col("max_val"))).otherwise(value)
-    return F.round(value, 4)
-
-
 def perturb(value: Column, ts: Column, spec: Column) -> Column:
     """Value changed by one schedule row (a struct with anomaly_type, start_us, end_us, magnitude)."""
     m = spec["magnitude"]

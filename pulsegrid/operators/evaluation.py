@@ -44,26 +44,27 @@ def n_train(n: Column, holdout: float = V.HOLDOUT_FRACTION) -> Column:
 
 
 def chrono_split(
-    metrics: DataFrame, holdout: float = V.HOLDOUT_FRACTION, sizes: GroupSizes | None = None
+    metrics: DataFrame, holdout: float = V.HOLDOUT_FRACTION, sizes: GroupSizes | None = None,
+    direct_rows: int | None = None,
 ) -> DataFrame:
     """``part`` = train for the first ceil(n * (1 - holdout)) rows of a series by time, else holdout.
 
     Equal times are ordered by the md5 of the event id.
     """
     df, order = _ordered(metrics, "event_id", micros("timestamp"))
-    marked = mark_first_k(df, SERIES, order, lambda n: n_train(n, holdout), "_train", sizes)
+    marked = mark_first_k(df, SERIES, order, lambda n: n_train(n, holdout), "_train", sizes, direct_rows)
     return marked.withColumn("part", F.when(F.col("_train"), "train").otherwise("holdout")).drop("_train", *order)
 
 
 def sample_rows(
     df: DataFrame, seed: int, fraction: float = V.INJECT_FRACTION, flag: str = "sampled",
-    sizes: GroupSizes | None = None,
+    sizes: GroupSizes | None = None, direct_rows: int | None = None,
 ) -> DataFrame:
     """Flag max(1, floor(n * fraction)) rows per series, in md5 order of seed and event id."""
     keyed = df.withColumn("_key", F.concat_ws(":", F.lit(str(seed)), "event_id"))
     keyed, order = _ordered(keyed, "_key")
     marked = mark_first_k(
-        keyed, SERIES, order, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), flag, sizes
+        keyed, SERIES, order, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), flag, sizes, direct_rows
     )
     return marked.drop("_key", *order)
 

@@ -7,9 +7,12 @@ bounded rows, never on the anomalies themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +35,21 @@ def session_slots(anomalies: DataFrame, gap_seconds: int = V.GROUPING_SECONDS) -
     inside each task first; only the slots, one row each, are ordered per series. A gap equal to
     the limit still joins, and it is measured from the previous anomaly.
     """
-    gap_us = gap_seconds * 1_000_000
-    slots = anomalies.groupBy(*SERIES, _slot(gap_seconds).alias("slot")).agg(
+    return join_slots(slot_counts(anomalies, gap_seconds), gap_seconds)
+
+
+def slot_counts(anomalies: DataFrame, gap_seconds: int) -> DataFrame:
+    """First and last time and number of anomalies per slot; counts of parts of a table can be merged."""
+    return anomalies.groupBy(*SERIES, _slot(gap_seconds).alias("slot")).agg(
         F.min(micros("timestamp")).alias("first_us"),
         F.max(micros("timestamp")).alias("last_us"),
         F.count(F.lit(1)).alias("n"),
     )
+
+
+def join_slots(slots: DataFrame, gap_seconds: int) -> DataFrame:
+    """Slots with the start and id of the session each belongs to."""
+    gap_us = gap_seconds * 1_000_000
     ordered = Window.partitionBy(*SERIES).orderBy("slot")
     previous = F.lag("last_us").over(ordered)
     opens = previous.isNull() | (F.col("first_us") - previous > gap_us)
@@ -139,30 +151,37 @@ def incident_of_event(events: DataFrame, anomalies: DataFrame, members: DataFram
 def suppress_cooldown(incidents: DataFrame, cooldown_seconds: int) -> DataFrame:
     """Event-time replay of suppression: an incident fires unless one fired less than the cooldown ago.
 
-    Exactly at the cooldown it fires. The fold runs over the start times of one series, a list
-    bounded by time span / grouping gap.
+    Exactly at the cooldown it fires. The starts of a series, at most time span / grouping gap, pass
+    through their task in order as a stream of batches; only the last firing is kept between them,
+    and the next one is found by binary search.
     """
     like = incidents.schema["started_at"].dataType
     wait = cooldown_seconds * 1_000_000
-    starts = incidents.groupBy(*SERIES).agg(
-        F.sort_array(F.collect_list(F.struct(micros("started_at").alias("us"), "incident_id"))).alias("xs")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        fires = acc["last"].isNull() | (x["us"] - acc["last"] >= wait)
-        return F.struct(
-            F.when(fires, x["us"]).otherwise(acc["last"]).alias("last"),
-            F.when(fires, F.concat(acc["fired"], F.array(x))).otherwise(acc["fired"]).alias("fired"),
-        )
 
-    empty = F.struct(
-        F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<struct<us:bigint,incident_id:string>>").alias("fired"),
-    )
-    fired = F.aggregate("xs", empty, step)["fired"]
-    return starts.select(*SERIES, F.explode(fired).alias("f")).select(
-        F.col("f.incident_id").alias("incident_id"), *SERIES, from_micros(F.col("f.us"), like).alias("started_at")
-    )
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, last = None, None
+        for batch in batches:
+            us = batch.column("us").to_numpy()
+            names = list(zip(*(batch.column(c).to_pylist() for c in SERIES), strict=True))
+            starts = [n for n in range(len(names)) if n == 0 or names[n] != names[n - 1]]
+            fired = []
+            for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
+                if names[start] != series:
+                    series, last = names[start], None
+                at = start
+                while at < end:
+                    if last is not None:
+                        at += int(np.searchsorted(us[at:end], last + wait))
+                    if at < end:
+                        fired.append(at)
+                        last = us[at]
+                        at += 1
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    starts = incidents.select(*SERIES, micros("started_at").alias("us"), "incident_id")
+    ordered = starts.repartition(*SERIES).sortWithinPartitions(*SERIES, "us", "incident_id")
+    fired = ordered.mapInArrow(fire, "service string, metric string, us bigint, incident_id string")
+    return fired.select("incident_id", *SERIES, from_micros(F.col("us"), like).alias("started_at"))
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import deterministic_id, micros, parse_event_time, time_literal
@@ -15,6 +15,15 @@ from pulsegrid.session import broadcast_if_small
 SERIES = ("service", "metric")
 
 
+def _absent(name: str) -> Column:
+    return F.col(f"j.{name}").isNull() | F.is_variant_null(f"j.{name}")
+
+
+def _is_text(name: str) -> Column:
+    """Numbers, objects and lists are no names, although they could be written as text."""
+    return F.schema_of_variant(f"j.{name}") == "STRING"
+
+
 def parse_events(messages: DataFrame, data: str = "data") -> DataFrame:
     """JSON text to typed events plus ``reason``, which is NULL for a good event.
 
@@ -27,6 +36,8 @@ def parse_events(messages: DataFrame, data: str = "data") -> DataFrame:
     parsed = messages.withColumn("j", F.explode(F.array(F.from_json(F.col(data), WIRE_EVENT, options))))
     typed = F.struct(
         F.coalesce("j.event_id", deterministic_id("event", data)).alias("event_id"),
+        F.try_variant_get("j.service", "$", "string").alias("service"),
+        F.try_variant_get("j.metric", "$", "string").alias("metric"),
         F.col("j.value").try_cast("double").alias("value"),
         parse_event_time("j.timestamp").alias("timestamp"),
         F.from_json("j.labels", "map<string,string>").alias("labels"),
@@ -35,10 +46,12 @@ def parse_events(messages: DataFrame, data: str = "data") -> DataFrame:
     reason = (
         F.when(F.col(data).isNull(), "missing data")
         .when(F.col("j").isNull() | F.col("j._corrupt").isNotNull(), "bad json")
-        .when(F.col("j.service").isNull(), "missing service")
-        .when(F.col("j.metric").isNull(), "missing metric")
+        .when(_absent("service"), "missing service")
+        .when(_absent("metric"), "missing metric")
+        .when(~_is_text("service"), "bad service")
+        .when(~_is_text("metric"), "bad metric")
         .when(F.col("j.value").isNull(), "missing value")
-        .when(F.col("e.value").isNull() | F.isnan("e.value"), "bad value")
+        .when(F.col("e.value").isNull() | F.isnan("e.value") | (F.abs("e.value") == float("inf")), "bad value")
         .when(F.col("j.timestamp").isNull(), "missing timestamp")
         .when(F.col("e.timestamp").isNull(), "bad timestamp")
         .when(F.col("j.labels").isNotNull() & F.col("e.labels").isNull(), "bad labels")
@@ -46,7 +59,7 @@ def parse_events(messages: DataFrame, data: str = "data") -> DataFrame:
     no_labels = F.create_map().cast("map<string,string>")
     return parsed.select(
         *messages.columns,
-        "e.event_id", "j.service", "j.metric", "e.value", "e.timestamp",
+        "e.event_id", "e.service", "e.metric", "e.value", "e.timestamp",
         F.coalesce("e.labels", no_labels).alias("labels"),
         reason.alias("reason"),
     )
@@ -69,30 +82,40 @@ def accept_request(parsed: DataFrame, request: str) -> DataFrame:
     )
 
 
-def dedupe_first(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+def accepted_events(parsed: DataFrame, request: str) -> DataFrame:
+    """Events of the requests without any bad event; a request with one passes on nothing."""
+    bad = parsed.where(F.col("reason").isNotNull()).select(request).distinct()
+    return parsed.join(bad, request, "left_anti").drop("reason")
+
+
+def dedupe_first(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], numbered: bool = False) -> DataFrame:
     """First arrival wins per key.
 
-    ``min_by`` combines inside each task before the shuffle, so a key with very many copies
-    reaches its reducer as one row per task.
+    A key with very many copies reaches its reducer as one row per task. With ``numbered``, ``arrival``
+    is one number that no two rows share: then only keys and numbers are combined, by hashing and
+    without a sort, and the winners are looked up by both.
     """
+    if numbered:
+        first = df.groupBy(*keys).agg(F.min(arrival[0]).alias(arrival[0]))
+        return df.join(first, [*keys, arrival[0]], "left_semi")
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*arrival)).alias("row")
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def insert_if_absent(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], arrival: Sequence[str], small_batch: bool = False
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], arrival: Sequence[str], small_batch: bool = False,
+    numbered: bool = False,
 ) -> DataFrame:
     """Rows of ``batch`` to append to ``target``: new keys only, first arrival of each, stored row wins.
 
     With ``small_batch`` the keys of the batch are counted and, when few, broadcast: the target is then
     only scanned for them and not shuffled.
     """
-    firsts = dedupe_first(batch, keys, arrival)
     stored = target.select(*keys)
     if small_batch:
-        stored = stored.join(broadcast_if_small(firsts.select(*keys)), list(keys), "left_semi")
-    return firsts.join(stored, list(keys), "left_anti")
+        stored = stored.join(broadcast_if_small(batch.select(*keys).distinct()), list(keys), "left_semi")
+    return dedupe_first(batch.join(stored, list(keys), "left_anti"), keys, arrival, numbered)
 
 
 def recent_target(target: DataFrame, batch: DataFrame, column: str = "timestamp") -> DataFrame:

@@ -49,7 +49,7 @@ def incident_page(
 ) -> DataFrame:
     """Newest first; incident_id orders equal starts."""
     if status is not None and status not in V.STATUSES:
-        raise ValueError(f"status must be one of {sorted(V.STATUSES)}")
+        raise ValueError(f"no incidents can have status {status!r}; ask for None or one of {', '.join(V.STATUSES)}")
     if not 1 <= limit <= V.FEED_LIMIT_MAX or offset < 0:
         raise ValueError(f"limit must be 1..{V.FEED_LIMIT_MAX} and offset must not be negative")
     rows = optional_filter(incidents, "status", status)

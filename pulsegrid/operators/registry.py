@@ -29,7 +29,7 @@ def rollback_model(
         (F.col("model_id") == model_id) & (F.col("service") == service) & (F.col("metric") == metric)
     )
     if target.limit(1).count() == 0:
-        raise ValueError(f"model_id {model_id} not found in registry for {service}/{metric}")
+        raise ValueError(f"series {service}/{metric} has no version {model_id}: roll back to one of its own versions")
     return target.select(
         *SERIES, "model_id", F.lit("rollback").alias("kind"),
         F.lit(str(at)).cast(versions.schema["trained_at"].dataType).alias("event_ts"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions.scalars import time_bucket, time_literal
+from pulsegrid.session import broadcast_if_small
 
 SERIES = ("service", "metric")
 
@@ -134,3 +135,37 @@ def relative_window(df: DataFrame, preset: str, as_of, column: str = "timestamp"
         raise ValueError(f"window must be one of {sorted(V.WINDOW_PRESETS)}")
     end = as_datetime(as_of)
     return in_range(df, end - timedelta(hours=V.WINDOW_PRESETS[preset]), end, column)
+
+
+def seasonal_profile(metrics: DataFrame) -> DataFrame:
+    """How a series moves over the day and the week: its mean (part ``all``) and, by hour and by weekday
+    (0 is Monday), the mean of those readings over the mean of all.
+
+    Readings are summed per hour of the week first, at most 168 rows a series.
+    """
+    hour, weekday = F.hour("timestamp"), F.weekday("timestamp")
+    cells = metrics.groupBy("service", "metric", hour.alias("hour"), weekday.alias("weekday")).agg(
+        F.sum("value").alias("total"), F.count("value").alias("n")
+    )
+    parts = F.array(
+        F.struct(F.lit("all").alias("part"), F.lit(0).alias("step")),
+        F.struct(F.lit("hour").alias("part"), F.col("hour").alias("step")),
+        F.struct(F.lit("weekday").alias("part"), F.col("weekday").alias("step")),
+    )
+    means = cells.withColumn("p", F.explode(parts)).groupBy("service", "metric", "p.part", "p.step").agg(
+        (F.sum("total") / F.sum("n")).alias("mean")
+    )
+    whole = F.max(F.when(F.col("part") == "all", F.col("mean"))).over(Window.partitionBy("service", "metric"))
+    factor = F.when(F.col("part") == "all", F.col("mean")).otherwise(F.col("mean") / F.nullif("whole", F.lit(0.0)))
+    return means.withColumn("whole", whole).select("service", "metric", "part", "step", factor.alias("factor"))
+
+
+def expected_baseline(metrics: DataFrame, profile: DataFrame) -> DataFrame:
+    """Readings with what their series usually shows at that hour and weekday (``baseline``)."""
+    profile = broadcast_if_small(profile)
+    out = metrics.withColumns({"_all": F.lit(0), "_hour": F.hour("timestamp"), "_weekday": F.weekday("timestamp")})
+    for part in ("all", "hour", "weekday"):
+        one = profile.where(F.col("part") == part).select("service", "metric", F.col("step").alias(f"_{part}"), F.col("factor").alias(f"_f_{part}"))
+        out = out.join(one, ["service", "metric", f"_{part}"], "left")
+    baseline = F.col("_f_all") * F.coalesce("_f_hour", F.lit(1.0)) * F.coalesce("_f_weekday", F.lit(1.0))
+    return out.withColumn("baseline", baseline).select(*metrics.columns, "baseline")

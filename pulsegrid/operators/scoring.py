@@ -20,8 +20,9 @@ from pulsegrid.session import broadcast_if_small, cut_lineage
 
 SERIES = ("service", "metric")
 
-# Score surfaces go to every executor only up to this many edges in all (16 bytes each).
-BROADCAST_EDGES = 16_000_000
+# Score surfaces go to every executor only up to this many edges (16 bytes each) and models in all.
+BROADCAST_EDGES = 4_000_000
+BROADCAST_MODELS = 100_000
 # Readings per sorted group when surfaces are too many to broadcast.
 GROUP_ROWS = 4_000_000
 
@@ -91,9 +92,9 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def load_surfaces(surfaces: DataFrame, max_edges: int | None = None) -> LoadedSurfaces | None:
-    """Surfaces for a broadcast, or None when they have more edges in all than the bound."""
-    total = surfaces.agg(F.sum(F.size("edges"))).first()[0] or 0
-    if total > (BROADCAST_EDGES if max_edges is None else max_edges):
+    """Surfaces for a broadcast, or None when they have more edges or models in all than the bounds."""
+    total = surfaces.agg(F.sum(F.size("edges")).alias("edges"), F.count(F.lit(1)).alias("models")).first()
+    if (total["edges"] or 0) > (BROADCAST_EDGES if max_edges is None else max_edges) or total["models"] > BROADCAST_MODELS:
         return None
     rows = surfaces.select("model_id", "edges", "scores", "offset").toArrow()
     parts = zip(
@@ -102,13 +103,17 @@ def load_surfaces(surfaces: DataFrame, max_edges: int | None = None) -> LoadedSu
     return LoadedSurfaces(rows.column("model_id").to_pylist(), [(e, s - o) for e, s, o in parts])
 
 
-def score_events(events: DataFrame, surfaces: DataFrame, loaded: LoadedSurfaces | None = None) -> DataFrame:
+def score_events(
+    events: DataFrame, surfaces: DataFrame, loaded: LoadedSurfaces | None = None, max_edges: int | None = None
+) -> DataFrame:
     """``score`` = raw score minus offset of the reading's model; below 0 means anomalous.
 
-    ``events`` carry model_id. While all surfaces fit the measured bound they are broadcast and a
-    reading costs one binary search; beyond it readings and edges are merged by sorting.
+    ``events`` carry model_id; a reading without a value cannot be scored and drops out. While all
+    surfaces fit the measured bound they are broadcast and a reading costs one binary search; beyond
+    it readings and edges are merged by sorting, with the same scores.
     """
-    loaded = loaded or load_surfaces(surfaces)
+    events = events.where(F.col("value").isNotNull())
+    loaded = loaded or load_surfaces(surfaces, max_edges)
     if loaded is None:
         return _score_by_sorting(events, surfaces)
     spark = events.sparkSession
@@ -132,21 +137,35 @@ def score_events(events: DataFrame, surfaces: DataFrame, loaded: LoadedSurfaces
 
 def score_anomalies(
     events: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD,
-    loaded: LoadedSurfaces | None = None,
+    loaded: LoadedSurfaces | None = None, max_edges: int | None = None,
 ) -> DataFrame:
     """Only the readings whose score is below the threshold, with their scores.
 
     Nearly all readings lie in the range around a model's centre where every step is normal. Two
-    numbers per model settle those inside the JVM; only the rest goes to Python to be scored.
+    numbers per model settle those inside the JVM; only the rest is scored, whichever way that goes.
     """
-    loaded = loaded or load_surfaces(surfaces)
+    loaded = loaded or load_surfaces(surfaces, max_edges)
     if loaded is not None:
         cores = [normal_core(edges, decisions, threshold) for edges, decisions in loaded.steps]
         low, high = (pa.array([c[i] for c in cores], pa.float64()) for i in (0, 1))
         bounds = loaded.table(events.sparkSession, _low=low, _high=high)
-        inside = (F.col("value") > F.col("_low")) & (F.col("value") <= F.col("_high"))
-        events = events.join(bounds, "model_id").where(~inside).drop("_low", "_high")
-    return keep_anomalies(score_events(events, surfaces, loaded), threshold)
+    else:
+        bounds = broadcast_if_small(surface_cores(surfaces, threshold))
+    inside = (F.col("value") > F.col("_low")) & (F.col("value") <= F.col("_high"))
+    rest = events.join(bounds, "model_id").where(F.col("value").isNotNull() & ~inside).drop("_low", "_high")
+    return keep_anomalies(score_events(rest, surfaces, loaded, max_edges), threshold)
+
+
+def surface_cores(surfaces: DataFrame, threshold: float) -> DataFrame:
+    """model_id, _low, _high: the normal range of each model, found where its surface lies."""
+
+    def cores(batches):
+        for batch in batches:
+            steps = zip(batch["edges"], batch["scores"], batch["offset"], strict=True)
+            bounds = [normal_core(np.asarray(e, dtype=float), np.asarray(s, dtype=float) - o, threshold) for e, s, o in steps]
+            yield pd.DataFrame({"model_id": batch["model_id"], "_low": [b[0] for b in bounds], "_high": [b[1] for b in bounds]})
+
+    return surfaces.select("model_id", "edges", "scores", "offset").mapInPandas(cores, "model_id string, _low double, _high double")
 
 
 def _score_by_sorting(events: DataFrame, surfaces: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

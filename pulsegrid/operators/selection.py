@@ -2,10 +2,11 @@
 
 A window ordered inside (service, metric) would put a hot series, possibly a third of all rows,
 into one task. Group sizes are therefore counted first. Up to ``DIRECT_ROWS`` rows per group, Spark's
-own window or ``percentile`` is used. Beyond that the wanted rank is narrowed down: rows are counted
-in equal-width bins of the remaining value range (partial counts per task, at most ``BINS`` rows per
-group cross the network), the bin that holds the rank becomes the next range, and so on until few
-enough rows are left to be ranked directly. Every step is a narrow scan plus a small aggregate.
+own window or ``percentile`` is used, on the ordering columns alone. Beyond that the wanted rank is
+narrowed down: Spark's mergeable quantile sketch gives cut points of the remaining rows, exact counts
+tell which of them enclose the rank, and so on until few enough rows are left to be ranked directly.
+Cut points follow the rows and not the value range, so any distribution narrows, infinite values
+included; where copies of one value stop it, the last step counts those per value anyway.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.session import cut_lineage, pin_small
 
-BINS = 65_536
+CUT_POINTS = 200
+SKETCH_ACCURACY = 20_000
 DIRECT_ROWS = 2_000_000
-MAX_PASSES = 64
 
 RankRule = Callable[[Column], Sequence[Column]]
 
@@ -38,7 +39,8 @@ def _pin(state: DataFrame) -> tuple[DataFrame, int]:
 
 
 def select_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, rule: RankRule | None, wanted: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], value: str, rule: RankRule | None, wanted: DataFrame | None = None,
+    direct_rows: int | None = None,
 ) -> DataFrame:
     """Value at given 1-based ranks of each group, in ascending order of a numeric column.
 
@@ -67,29 +69,34 @@ def select_ranks(
     state, widest = _pin(state)
     ordered = Window.partitionBy(*keys, "target")
 
-    for _ in range(MAX_PASSES):
-        if widest <= DIRECT_ROWS:
-            break
-        low, high, v = (F.col(c).cast("double") for c in ("lo", "hi", value))
-        position = F.floor((v - low) / (high - low) * BINS)
-        counts = (
-            _in_range(rows, state, keys, value)
-            .withColumn("bin", F.when(high > low, F.least(position, F.lit(BINS - 1))).otherwise(0))
-            .groupBy(*keys, "target", "bin")
-            .agg(
-                F.count(F.lit(1)).alias("c"), F.min(value).alias("b_lo"), F.max(value).alias("b_hi"),
-                F.max("n").alias("n"), F.max("rank").alias("rank"), F.max("base").alias("base"),
-            )
+    direct = DIRECT_ROWS if direct_rows is None else direct_rows
+    before = None
+    # A pass that does not halve the widest range met copies of one value, which the last step counts once.
+    while widest > direct and (before is None or 2 * widest <= before):
+        before = widest
+        share = F.array(*[F.lit(i / CUT_POINTS) for i in range(CUT_POINTS + 1)])
+        inside = _in_range(rows, state, keys, value)
+        cuts = inside.groupBy(*keys, "target").agg(F.percentile_approx(value, share, F.lit(SKETCH_ACCURACY)).alias("cuts"))
+        at = F.col("rank") - F.col("base")
+        first = F.greatest(F.floor(at * CUT_POINTS / F.col("left")).cast("int") - 1, F.lit(0))
+        last = F.least(F.ceil(at * CUT_POINTS / F.col("left")).cast("int") + 1, F.lit(CUT_POINTS))
+        near = state.join(cuts, [*keys, "target"], "left").select(
+            *keys, "n", "lo", "hi", "target", "rank", "base", "left",
+            F.coalesce(F.get("cuts", first), "lo").alias("a"), F.coalesce(F.get("cuts", last), "hi").alias("b"),
+        )
+        near = _pin(near)[0]
+        v = F.col(value)
+        counted = _in_range(rows, near, keys, value).groupBy(*keys, "target").agg(
+            F.count_if(v < F.col("a")).alias("below"), F.count_if((v >= F.col("a")) & (v <= F.col("b"))).alias("within")
         )
-        upto = F.col("base") + F.sum("c").over(ordered.orderBy("bin"))
-        state = (
-            counts.withColumn("upto", upto)
-            .where((F.col("upto") - F.col("c") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-            .select(
-                *keys, "n", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "target", "rank",
-                (F.col("upto") - F.col("c")).alias("base"),
-                F.when(F.col("b_hi") > F.col("b_lo"), F.col("c")).otherwise(F.lit(1).cast("bigint")).alias("left"),
-            )
+        below, within = F.coalesce("below", F.lit(0)), F.coalesce("within", F.lit(0))
+        # A sketch that missed the rank narrows nothing.
+        good = (F.col("base") + below < F.col("rank")) & (F.col("rank") <= F.col("base") + below + within)
+        state = near.join(counted, [*keys, "target"], "left").select(
+            *keys, "n", F.when(good, F.col("a")).otherwise(F.col("lo")).alias("lo"),
+            F.when(good, F.col("b")).otherwise(F.col("hi")).alias("hi"), "target", "rank",
+            (F.col("base") + F.when(good, below).otherwise(0)).alias("base"),
+            F.when(good & (F.col("a") == F.col("b")), F.lit(1).cast("bigint")).when(good, within).otherwise(F.col("left")).alias("left"),
         )
         state, widest = _pin(state)
 
@@ -141,17 +148,19 @@ class GroupSizes:
         return self.table.isEmpty() if self.rows is None else self.rows.num_rows == 0
 
 
-def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+def quantile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, direct_rows: int | None = None
+) -> DataFrame:
     """Exact quantile with linear interpolation per group, as a checked small table."""
     keys = list(keys)
-    if GroupSizes.of(df, keys).widest <= DIRECT_ROWS:
+    if GroupSizes.of(df, keys).widest <= (DIRECT_ROWS if direct_rows is None else direct_rows):
         return pin_small(df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name)))[0]
 
     def rule(n: Column) -> list[Column]:
         at = (n - 1) * F.lit(q)
         return [F.floor(at) + 1, F.ceil(at) + 1]
 
-    ranks = select_ranks(df, keys, value, rule)
+    ranks = select_ranks(df, keys, value, rule, direct_rows=direct_rows)
     at = F.lit(q) * (F.max("n") - 1)
     low = F.max(F.when(F.col("target") == 0, F.col("value")))
     high = F.max(F.when(F.col("target") == 1, F.col("value")))
@@ -174,13 +183,15 @@ def weighted_quantile(counts: DataFrame, keys: Sequence[str], value: str, weight
 
 def mark_first_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: Callable[[Column], Column], flag: str,
-    sizes: GroupSizes | None = None,
+    sizes: GroupSizes | None = None, direct_rows: int | None = None,
 ) -> DataFrame:
     """Add ``flag``: true for the first ``rank(n)`` rows of each group in the order of numeric columns.
 
-    ``rank(n)`` must lie in 1..n, and ``order`` must make rows unique. The cut is found on the first
-    column; only where it falls inside a run of equal values do those rows, and no others, go on to
-    the next column. With ``sizes`` given, only the groups listed there remain.
+    ``rank(n)`` must lie in 1..n, and ``order`` must make rows unique. The last row that is in, one per
+    group, is found from the ordering columns alone; it is a small table, computed once, and the flag
+    is a comparison with it, so whole rows are never shuffled. In large groups the cut is found on the
+    first column; only where it falls inside a run of equal values do those rows, and no others, go on
+    to the next column. With ``sizes`` given, only the groups listed there remain.
     """
     keys = list(keys)
     if sizes is not None:
@@ -190,16 +201,22 @@ def mark_first_k(
     ranked = sizes.table.select(*keys, "n", rank(F.col("n")).alias("_rank"))
     if sizes.rows is not None and ranked.where(F.col("_rank") < F.col("n")).isEmpty():
         return df.withColumn(flag, F.lit(True))
-    if sizes.widest <= DIRECT_ROWS:
+    if sizes.widest <= (DIRECT_ROWS if direct_rows is None else direct_rows):
         ranked = F.broadcast(ranked) if sizes.rows is not None else ranked
         at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.join(ranked.drop("n"), keys).withColumn(flag, at <= F.col("_rank")).drop("_rank")
+        last = df.select(*keys, *order).withColumn("_at", at).join(ranked, keys).where(F.col("_at") == F.col("_rank"))
+        last = pin_small(last.select(*keys, *[F.col(c).alias(f"_last{i}") for i, c in enumerate(order)]))[0]
+        inside: Column = F.lit(True)
+        for i, c in reversed(list(enumerate(order))):
+            inside = (F.col(c) < F.col(f"_last{i}")) | ((F.col(c) == F.col(f"_last{i}")) & inside)
+        marked = df.join(last, keys, "left").withColumn(flag, F.coalesce(inside, F.lit(False)))
+        return marked.drop(*[f"_last{i}" for i in range(len(order))])
     marked, tied = df, df.select(*keys, *order)
     rule: RankRule | None = lambda n: [rank(n)]
     wanted: DataFrame | None = None
     levels = 0
     for column in order:
-        found = select_ranks(tied, keys, column, rule, wanted).select(
+        found = select_ranks(tied, keys, column, rule, wanted, direct_rows).select(
             *keys,
             F.col("value").alias(f"_cut{levels}"),
             (F.col("n_below") + F.col("n_equal") <= F.col("rank")).alias(f"_whole{levels}"),
@@ -213,7 +230,7 @@ def mark_first_k(
         split = cut.where(~F.col(f"_whole{levels - 1}")).select(*keys, F.col(f"_cut{levels - 1}").alias("_cut"), "rank")
         wanted, rule = split.drop("_cut"), None
         tied = tied.join(split.drop("rank"), keys).where(F.col(column) == F.col("_cut")).drop("_cut")
-    inside: Column = F.lit(True)
+    inside = F.lit(True)
     for level in reversed(range(levels)):
         value, cut_value = F.col(order[level]), F.col(f"_cut{level}")
         inside = (value < cut_value) | ((value == cut_value) & (F.col(f"_whole{level}") | inside))

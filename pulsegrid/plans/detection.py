@@ -17,10 +17,10 @@ from pulsegrid.session import cut_lineage
 
 def detect(
     events: DataFrame, current: DataFrame, surfaces: DataFrame, threshold: float = V.ANOMALY_THRESHOLD,
-    loaded: LoadedSurfaces | None = None,
+    loaded: LoadedSurfaces | None = None, max_edges: int | None = None,
 ) -> DataFrame:
     """Anomaly rows of the readings that have a current model."""
-    return as_anomalies(score_anomalies(attach_current_model(events, current), surfaces, threshold, loaded))
+    return as_anomalies(score_anomalies(attach_current_model(events, current), surfaces, threshold, loaded, max_edges))
 
 
 def as_anomalies(kept: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ AS_OF = "2024-01-31 00:00:00"
 SIM_START = "2024-01-01 00:00:00"
 GAP = 36_000
 SERIES = ("service", "metric")
+EVENT_TYPES = ("view", "signup", "error", "click", "purchase")
 
 
 class World:
@@ -167,21 +168,17 @@ class World:
         return offset_to_window(self.schedule, SIM_START, "timestamp_ntz")
 
     @cached_property
-    def signal(self) -> DataFrame:
-        """Signal catalog under the names of the given series."""
-        names = {s: f"svc-{i}" for i, s in enumerate(dict.fromkeys(r[0] for r in V.SIGNAL_CATALOG))}
-        metrics = dict(zip(V.METRIC_TYPES, ("view", "signup", "error", "click", "purchase"), strict=False))
-        rows = [
-            (names[s], metrics[m], base, daily, weekly, V.SIGNAL_DEFAULTS["min_val"], top)
-            for s, m, base, daily, weekly, _, top in V.SIGNAL_CATALOG if m in metrics
-        ]
-        return self.spark.createDataFrame(
-            rows, "service string, metric string, base double, daily_amp double, weekly_amp double, min_val double, max_val double"
-        )
+    def default_schedule(self) -> DataFrame:
+        """The default schedule with its services and metrics under the names of the given series."""
+        services = {s: f"svc-{i}" for i, s in enumerate(dict.fromkeys(r[0] for r in V.DEFAULT_SCHEDULE))}
+        kinds = {m: EVENT_TYPES[i % len(EVENT_TYPES)] for i, m in enumerate(V.METRIC_TYPES)}
+        rows = [(n, services[s], kinds[m], *rest) for n, (s, m, *rest) in enumerate(V.DEFAULT_SCHEDULE)]
+        names = "start_offset_hours double, duration_minutes double, duration_hours double, magnitude double"
+        return self.spark.createDataFrame(rows, f"spec_idx int, service string, metric string, anomaly_type string, {names}")
 
     @cached_property
     def messages(self) -> DataFrame:
-        """One queue message per event, some of them cut off, without a value, or delivered twice."""
+        """One queue message per event, some of them cut off, without a value, with names or values of a wrong kind, or delivered twice."""
         text = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         whole = F.to_json(F.struct("event_id", *SERIES, "value", text.alias("timestamp"), "labels"))
         rows = self.events.select(
@@ -190,7 +187,10 @@ class World:
         kind, text = F.col("kind"), F.col("text")
         data = (
             F.when(kind == 0, F.left(text, F.length(text) - 4))
-            .when(kind == 1, F.regexp_replace(text, '"value":[^,]*,', "")).otherwise(text)
+            .when(kind == 1, F.regexp_replace(text, '"value":[^,]*,', ""))
+            .when(kind == 3, F.regexp_replace(text, '"service":"[^"]*"', '"service":5'))
+            .when(kind == 4, F.regexp_replace(text, '"metric":"([^"]*)"', '"metric":["$1"]'))
+            .when(kind == 5, F.regexp_replace(text, '"value":[^,]*,', '"value":"Infinity",')).otherwise(text)
         )
         copies = F.when(kind == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         return rows.select("n", data.alias("data"), F.explode(copies).alias("copy")).select(

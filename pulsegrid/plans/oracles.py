@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pulsegrid.functions import fixed_values as V
+from pulsegrid.plans.fixtures import EVENT_TYPES
 
 ORACLES: dict[str, str] = {}
 
@@ -32,7 +33,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM me, (VALUES (0), (1)) AS c(copy)
         WHERE copy = 0 OR {h60('event_id')} % 50 = 2"""),
     "msg": (("raw_messages",), """
-        SELECT *, CASE kind WHEN 0 THEN 'bad json' WHEN 1 THEN 'missing value' END AS reason FROM raw_messages"""),
+        SELECT *, CASE kind WHEN 0 THEN 'bad json' WHEN 1 THEN 'missing value' WHEN 3 THEN 'bad service' WHEN 4 THEN 'bad metric' WHEN 5 THEN 'bad value' END AS reason FROM raw_messages"""),
     "opened": (("ses36000",), """
         SELECT incident_id, service, metric, min(timestamp) AS started_at, max(timestamp) AS last_at, count(*) AS n
         FROM ses36000 GROUP BY ALL"""),
@@ -187,8 +188,7 @@ oracle("completeness_audit", "me", """
     FROM (SELECT service, metric, count(*) FILTER (timestamp >= TIMESTAMP '2024-01-10 00:00:00'
                  AND timestamp < TIMESTAMP '2024-01-20 00:00:00') AS n FROM me GROUP BY ALL)""")
 oracle("write_metrics_table", "me", """
-    SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS n, max(value) AS top FROM me
-    WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-25 12:00:00' GROUP BY ALL""")
+    SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS n, max(value) AS top FROM me GROUP BY ALL""")
 oracle("jsonl_round_trip", "me", "SELECT * FROM me")
 oracle("save_and_load_tables", "opened", """
     SELECT CASE WHEN started_at < TIMESTAMP '2024-01-16 00:00:00' THEN 'r1' ELSE 'r2' END AS run_id, service, metric,
@@ -256,7 +256,7 @@ oracle("service_overview", "me inc an", """
     LEFT JOIN (SELECT service, max(timestamp) AS last_anomaly_at FROM an GROUP BY service) USING (service)""")
 oracle("incident_feed", "feed", "SELECT * FROM feed ORDER BY started_at DESC, incident_id LIMIT 50 OFFSET 10")
 oracle("attach_current_model", "me cur", """
-    SELECT service, metric, model_id, count(*) AS n FROM me JOIN cur USING (service, metric) WHERE metric <> 'view' GROUP BY ALL""")
+    SELECT service, metric, model_id, count(*) AS n FROM me JOIN cur USING (service, metric) GROUP BY ALL""")
 oracle("apply_anomaly_schedule", "hit", """
     SELECT event_id, spec_idx IS NOT NULL AS is_anomalous, round(CASE anomaly_type
              WHEN 'spike' THEN value * magnitude WHEN 'dip' THEN value * (1.0::DOUBLE - magnitude)
@@ -332,8 +332,7 @@ oracle("incident_members", "ses36000", "SELECT anomaly_id, incident_id FROM ses3
 oracle("chrono_split", "ranked", """
     SELECT event_id, CASE WHEN rn <= ceil(n * (1.0::DOUBLE - 0.2::DOUBLE)) THEN 'train' ELSE 'holdout' END AS part FROM ranked""")
 oracle("min_sample_gate", "me", """
-    SELECT service, metric, count(*) AS n FROM me
-    WHERE timestamp >= TIMESTAMP '2024-01-01 00:00:00' AND timestamp < TIMESTAMP '2024-01-02 00:00:00'
+    SELECT service, concat_ws('@', metric, strftime(timestamp, '%Y-%m-%d')) AS metric, count(*) AS n FROM me
     GROUP BY ALL HAVING count(*) >= 14""")
 oracle("current_models", "cur", "SELECT * FROM cur")
 oracle("rollback_model", "cur ver", """
@@ -390,18 +389,18 @@ oracle("anomaly_markers", "an", """
 
 oracle("time_bucket", "me", """
     SELECT event_id, time_bucket(INTERVAL '1 minute', timestamp) AS minute, time_bucket(INTERVAL '10 seconds', timestamp) AS ten FROM me""")
-_daily = "sin(2.0::DOUBLE * pi() * (hour(timestamp) + minute(timestamp) / 60.0::DOUBLE - 8) / 24)"
-_weekly = f"([{', '.join(str(x) for x in V.WEEKLY_WEIGHTS)}]::DOUBLE[])[isodow(timestamp)]"
-oracle("seasonality", "me", f"SELECT event_id, round({_daily}, 6) AS daily, {_weekly} AS weekly FROM me")
-_names = {s: f"svc-{i}" for i, s in enumerate(dict.fromkeys(r[0] for r in V.SIGNAL_CATALOG))}
-_metrics = dict(zip(V.METRIC_TYPES, ("view", "signup", "error", "click", "purchase"), strict=False))
-_signal = ", ".join(
-    f"('{_names[s]}', '{_metrics[m]}', {b}::DOUBLE, {d}::DOUBLE, {k}::DOUBLE, {'NULL' if t is None else t}::DOUBLE)"
-    for s, m, b, d, k, _, t in V.SIGNAL_CATALOG if m in _metrics
-)
+_profile = """(
+    SELECT service, metric, part, step, CASE WHEN part = 'all' THEN mean ELSE mean / nullif(max(mean) FILTER (part = 'all') OVER s, 0) END AS factor
+    FROM (SELECT service, metric, part, step, avg(value) AS mean FROM (
+              SELECT service, metric, value, unnest(['all', 'hour', 'weekday']) AS part,
+                     unnest([0, hour(timestamp), isodow(timestamp) - 1])::INTEGER AS step FROM me) GROUP BY ALL)
+    WINDOW s AS (PARTITION BY service, metric))"""
+oracle("seasonality", "me", f"SELECT service, metric, part, step, round(factor, 6) AS factor FROM {_profile}")
 oracle("expected_baseline", "me", f"""
-    SELECT event_id, round(least(coalesce(top, 1e300), greatest(0.0, base + base * d * {_daily} + base * k * {_weekly})), 4) AS baseline
-    FROM me JOIN (VALUES {_signal}) AS c(service, metric, base, d, k, top) USING (service, metric)""")
+    SELECT event_id, round(a.factor * h.factor * d.factor, 4) AS baseline FROM me
+    JOIN {_profile} a ON a.service = me.service AND a.metric = me.metric AND a.part = 'all'
+    JOIN {_profile} h ON h.service = me.service AND h.metric = me.metric AND h.part = 'hour' AND h.step = hour(timestamp)
+    JOIN {_profile} d ON d.service = me.service AND d.metric = me.metric AND d.part = 'weekday' AND d.step = isodow(timestamp) - 1""")
 oracle("labels_round_trip", "", "SELECT CAST(event_id AS VARCHAR) AS event_id, json_extract_string(props, '$.k') AS k FROM events")
 oracle("offset_to_window", "win", """
     SELECT spec_idx, service, metric, anomaly_type, start, "end", duration_seconds, magnitude FROM win""")
@@ -427,16 +426,65 @@ oracle("train_all", "me", f"""
     FROM (SELECT service, metric, count(*) AS n, ceil(count(*) * (1.0::DOUBLE - 0.2::DOUBLE)) AS n_train
           FROM me WHERE {_window} GROUP BY ALL HAVING count(*) >= 10)""")
 
+_models = f"(SELECT service, metric, count(*) AS n FROM me WHERE {_window} GROUP BY ALL HAVING count(*) >= 10)"
+oracle("model_fit_stats", "me", f"""
+    SELECT service, metric, CAST(ceil(n * (1.0::DOUBLE - 0.2::DOUBLE)) AS BIGINT) AS n_samples, true AS timed FROM {_models}""")
+for _name in ("score_events", "score_events_sorted"):
+    oracle(_name, "me", f"SELECT service, metric, count(*) AS n, 0::BIGINT AS n_wrong FROM me JOIN (SELECT service, metric FROM {_models}) USING (service, metric) GROUP BY ALL")
+oracle("evaluate_holdout", "me", f"""
+    SELECT service, metric, CAST(greatest(1, floor((n - ceil(n * (1.0::DOUBLE - 0.2::DOUBLE))) * 0.05::DOUBLE)) AS BIGINT) AS n_injected,
+           true AS sound FROM {_models}""")
+oracle("trained_quality", "me", f"SELECT count(*) AS n_evaluated, true AS useful, true AS gate_agrees FROM {_models}")
+oracle("save_and_load_models", "me", f"SELECT service, metric, true AS same FROM {_models}")
+for _name in ("detect", "detect_sorted", "stream_score"):
+    oracle(_name, "me", f"""
+        SELECT service, metric, count(*) AS n_readings, 0::BIGINT AS n_missed, 0::BIGINT AS n_extra, true AS few
+        FROM me JOIN (SELECT service, metric FROM {_models}) USING (service, metric) GROUP BY ALL""")
+
 # --- streams ------------------------------------------------------------------------------------
 
 oracle("stream_dedup", "me", "SELECT * EXCLUDE (labels) FROM me")
-oracle("stream_rollup_1min", "me", f"""
-    SELECT * FROM ({rollup_sql('1 minute')})
-    WHERE bucket + INTERVAL 1 MINUTE <= (SELECT max(timestamp) FROM me) - INTERVAL 3 HOUR""")
+oracle("stream_dedup_late", "me", "SELECT * EXCLUDE (labels) FROM me")
+oracle("stream_rollup_1min", "me", rollup_sql("1 minute"))
+oracle("stream_late_data", "me", rollup_sql("1 minute"))
+oracle("stream_rollup_fresh", "me", rollup_sql("1 minute", where="timestamp < TIMESTAMP '2024-01-20 12:00:00'"))
 oracle("stream_incidents", "ses36000", """
     SELECT service, metric, min(timestamp) AS started_at, max(timestamp) AS last_at, count(*) AS n_anomalies
-    FROM ses36000 GROUP BY service, metric, incident_id
-    HAVING max(timestamp) + INTERVAL 36000 SECOND <= (SELECT max(timestamp) FROM an) - INTERVAL 3 HOUR""")
+    FROM ses36000 GROUP BY service, metric, incident_id""")
+oracle("stream_model_refresh", "", "SELECT h AS half, 0::BIGINT AS n_by_other_models, true AS any FROM (VALUES (0), (1)) AS x(h)")
+oracle("stream_alert_cycle", "", "SELECT c AS cycle, true AS created_right, true AS waiting_right FROM (VALUES (0), (1), (2), (3)) AS x(c)")
+oracle("stream_ingest_restart", "msg", """
+    SELECT unnest(['received', 'rejected', 'inserted', 'skipped', 'stored', 'ids', 'quarantined']) AS what,
+           unnest([2 * n, 2 * bad, ids, 2 * (n - bad) - ids, ids, ids, 2 * bad]) AS n
+    FROM (SELECT count(*) AS n, count(reason) AS bad, count(DISTINCT event_id) FILTER (reason IS NULL) AS ids FROM msg)""")
+oracle("dead_letters", "msg", """
+    SELECT unnest(['kept', 'ids', 'inserted', 'dead_lettered']) AS what, unnest([ids, ids, 0, ids]) AS n
+    FROM (SELECT count(DISTINCT event_id) FILTER (reason IS NULL) AS ids FROM msg)""")
+oracle("insert_first_arrival", "msg", "SELECT DISTINCT event_id, round(value + 1000, 4) AS value FROM msg WHERE reason IS NULL")
+oracle("accepted_events", "msg", """
+    SELECT msg_id // 40 AS request, msg_id, event_id, value FROM msg
+    WHERE msg_id // 40 NOT IN (SELECT msg_id // 40 FROM msg WHERE reason IS NOT NULL)""")
+_default = ", ".join(
+    f"({n}, 'svc-{list(dict.fromkeys(r[0] for r in V.DEFAULT_SCHEDULE)).index(r[0])}', '{EVENT_TYPES[V.METRIC_TYPES.index(r[1]) % 5]}', '{r[2]}', {r[3]}::DOUBLE, {r[4] * 60 if r[4] else r[5] * 3600}::DOUBLE, {r[6]}::DOUBLE)"
+    for n, r in enumerate(V.DEFAULT_SCHEDULE)
+)
+oracle("apply_default_schedule", "me", f"""
+    SELECT service, metric, spec_idx, count(*) AS n, round(sum(CASE kind WHEN 'spike' THEN value * amount - value WHEN 'dip' THEN value * (1.0::DOUBLE - amount) - value
+             WHEN 'level_shift' THEN amount WHEN 'gradual_drift' THEN amount * (epoch_us(timestamp) - begin_us) / (length * 1000000) ELSE 0 END), 3) AS moved
+    FROM (SELECT me.service, me.metric, me.value, me.timestamp, c.spec_idx, c.kind, c.amount, c.length, c.begin_us
+          FROM me LEFT JOIN (SELECT *, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + start * 3600000000 AS begin_us FROM (VALUES {_default}) AS d(spec_idx, service, metric, kind, start, length, amount)) c
+          ON c.service = me.service AND c.metric = me.metric AND epoch_us(me.timestamp) >= c.begin_us AND epoch_us(me.timestamp) < c.begin_us + c.length * 1000000
+          QUALIFY row_number() OVER (PARTITION BY me.event_id ORDER BY c.spec_idx) = 1) GROUP BY ALL""")
+oracle("quantile_narrowed", "", f"SELECT service, metric, round(quantile_cont(value, 0.95), 4) AS q FROM {LONG_LINEITEM} GROUP BY ALL")
+_long = LONG_LINEITEM.replace("l_shipdate AS timestamp,", "l_shipdate AS timestamp, l_orderkey || '-' || l_linenumber || '-' AS line_id,")
+oracle("chrono_split_narrowed", "", f"""
+    SELECT service, metric, CASE WHEN pos <= ceil(total * (1.0::DOUBLE - 0.2::DOUBLE)) THEN 'train' ELSE 'holdout' END AS part,
+           count(*) AS n, min(timestamp) AS first, max(timestamp) AS last
+    FROM (SELECT *, row_number() OVER (PARTITION BY service, metric ORDER BY timestamp, md5(line_id || metric)) AS pos,
+                 count(*) OVER (PARTITION BY service, metric) AS total FROM {_long}) GROUP BY ALL""")
+oracle("sample_rows_narrowed", "inj42", "SELECT event_id, sampled FROM inj42")
+oracle("number_rows_spread", "me", """
+    SELECT event_id, row_number() OVER (PARTITION BY service, metric ORDER BY timestamp, event_id) AS n FROM me""")
 oracle("stream_ingest", "msg", "SELECT DISTINCT event_id, service, metric, value, timestamp FROM msg WHERE reason IS NULL")
 oracle("stream_quarantine", "msg", "SELECT reason, count(*) AS n FROM msg WHERE reason IS NOT NULL GROUP BY ALL")
 oracle("stream_accounting", "msg", """

@@ -25,10 +25,11 @@ METRIC_EVENT = _table(
     ("value", D, False), ("timestamp", TS, False), ("labels", LABELS, False),
 )
 
-# Every field arrives as text and is cast afterwards: a quoted number is accepted,
+# Most fields arrive as text and are cast afterwards: a quoted number is accepted,
 # and a bad one is rejected with a reason instead of silently becoming NULL.
+# The names keep their JSON type, as a number or an object is no name.
 WIRE_EVENT = _table(
-    ("event_id", S, True), ("service", S, True), ("metric", S, True),
+    ("event_id", S, True), ("service", T.VariantType(), True), ("metric", T.VariantType(), True),
     ("value", S, True), ("timestamp", S, True), ("labels", S, True), ("_corrupt", S, True),
 )
 
@@ -72,8 +73,3 @@ SCHEDULE = _table(
     ("start_offset_hours", D, False), ("duration_minutes", D, True), ("duration_hours", D, True),
     ("magnitude", D, False),
 )
-
-SIGNAL_CONFIG = _table(
-    ("service", S, False), ("metric", S, False), ("base", D, False), ("daily_amp", D, False),
-    ("weekly_amp", D, False), ("noise_std", D, False), ("min_val", D, False), ("max_val", D, True),
-)

@@ -13,12 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid import schemas
 from pulsegrid.functions import fixed_values as V
-from pulsegrid.operators.incidents import alert_cycle
+from pulsegrid.operators.incidents import alert_cycle, join_slots, slot_counts
 from pulsegrid.operators.ingest import insert_anomalies, insert_if_absent, parse_events, recent_target, validate_events
 from pulsegrid.operators.registry import current_models
 from pulsegrid.operators.scoring import LoadedSurfaces, load_surfaces
 from pulsegrid.plans.detection import detect
-from pulsegrid.session import pin_small
+from pulsegrid.session import broadcast_if_small, pin_small
 from pulsegrid.sources.tables import (
     ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
 )
@@ -28,24 +28,33 @@ EVENT_COLUMNS = ("event_id", *SERIES, "value", "timestamp", "labels")
 
 
 def read_metric_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Queued events, one JSON text per line, as rows (data, source_file)."""
+    """Queued events, one JSON text per line, as rows (data, source_file, arrival); arrival sorts as files and lines came."""
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    place = F.struct(
+        F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("part"),
+    )
     return reader.text(folder).select(
-        F.col("value").alias("data"), F.col("_metadata.file_path").alias("source_file")
+        F.col("value").alias("data"), F.col("_metadata.file_path").alias("source_file"), place.alias("arrival")
     )
 
 
 def read_kafka_stream(
-    spark: SparkSession, servers: str, topic: str, max_offsets: int = V.STREAM_BATCH
+    spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None
 ) -> DataFrame:
-    """The same from Kafka, where its connector is on the class path."""
-    rows = (
-        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets).load()
+    """The same from Kafka, where its connector is on the class path. Order holds within a Kafka partition."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    if max_offsets:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+    place = F.struct(
+        F.unix_micros("timestamp").alias("at"), F.col("topic").alias("source"),
+        F.col("partition").cast("bigint").alias("part"), F.col("offset"),
+    )
+    return reader.load().select(
+        F.col("value").cast("string").alias("data"), F.col("topic").alias("source_file"), place.alias("arrival")
     )
-    return rows.select(F.col("value").cast("string").alias("data"), F.col("topic").alias("source_file"))
 
 
 def read_table_stream(spark: SparkSession, folder: str, file_name: str, schema: T.StructType) -> DataFrame:
@@ -61,13 +70,11 @@ def event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
-def stream_dedup(events: DataFrame, horizon: str = V.ROLLUP_REFRESH) -> DataFrame:
-    """At-least-once input made idempotent; an id is remembered for the watermark horizon."""
-    return event_time(events).withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def stream_rollup_1min(events: DataFrame, horizon: str = V.ROLLUP_REFRESH) -> DataFrame:
-    """1-minute rollup; a bucket is final, and emitted in append mode, once the watermark passed it."""
+    """Final buckets only: append mode emits a bucket once the watermark passed it, and readings later than that are lost.
+
+    ``rollup_batch`` and ``stored_rollup`` give every bucket within a minute.
+    """
     return (
         event_time(events).withWatermark("timestamp", horizon)
         .groupBy(F.window("timestamp", "1 minute").alias("w"), *SERIES)
@@ -82,7 +89,7 @@ def stream_rollup_1min(events: DataFrame, horizon: str = V.ROLLUP_REFRESH) -> Da
 def stream_incidents(
     anomalies: DataFrame, gap_seconds: int = V.GROUPING_SECONDS, horizon: str = V.ROLLUP_REFRESH
 ) -> DataFrame:
-    """Incremental sessions per series; append mode emits a session once no reading can extend it."""
+    """Final sessions only, emitted once no reading can extend them; ``slots_batch`` and ``stored_sessions`` give all."""
     return (
         event_time(anomalies).withWatermark("timestamp", horizon)
         .groupBy(F.session_window("timestamp", f"{gap_seconds} seconds").alias("w"), *SERIES)
@@ -148,43 +155,152 @@ QUARANTINE = T.StructType(
 )
 COUNTS = T.StructType(
     [T.StructField("batch_id", T.LongType())]
-    + [T.StructField(name, T.LongType()) for name in ("received", "rejected", "inserted", "skipped")]
+    + [T.StructField(name, T.LongType()) for name in ("received", "rejected", "inserted", "skipped", "dead_lettered")]
 )
 FIRED = T.StructType(
     [T.StructField(name, T.StringType()) for name in SERIES] + [T.StructField("last_fired", T.TimestampType())]
 )
-CYCLES = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("upto", T.StringType())])
+CYCLES = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("seq", T.LongType())])
+TAKEN = T.StructType([T.StructField("batch_run", T.StringType())])
+DEAD = T.StructType([*schemas.METRIC_EVENT.fields, T.StructField("error", T.StringType())])
+ROLLUP_PART = T.StructType(
+    [T.StructField("bucket", T.TimestampType())] + [T.StructField(name, T.StringType()) for name in SERIES]
+    + [T.StructField(name, T.DoubleType()) for name in ("sum_value", "min_value", "max_value")]
+    + [T.StructField("sample_count", T.LongType())]
+)
+SLOT_PART = T.StructType(
+    [T.StructField(name, T.StringType()) for name in SERIES]
+    + [T.StructField(name, T.LongType()) for name in ("slot", "first_us", "last_us", "n")]
+)
+WRITE_ATTEMPTS = 3
 TABLES = {
-    "cycles": CYCLES, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
+    "cycles": CYCLES, "cycle_batches": TAKEN, "dead_letters": DEAD, "rollup_parts": ROLLUP_PART, "slot_parts": SLOT_PART, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
     "fired": FIRED, "quarantine": QUARANTINE, "accounting": COUNTS, "score_surface": schemas.SCORE_SURFACE,
     "model_versions": schemas.MODEL_VERSION, "model_pointers": schemas.POINTER_EVENT,
 }
 
 
-def batch_run(batch_id: int) -> str:
-    """Run id of a micro-batch; run ids sort like batch numbers."""
-    return f"b{batch_id:012d}"
+def stream_name(spark: SparkSession) -> str:
+    """Id of the running streaming query, which its checkpoint keeps over restarts; a new checkpoint has a new one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
+def batch_run(stream: str, batch_id: int) -> str:
+    """Run id of a micro-batch: only the same batch of the same stream, repeated, has the same."""
+    return f"b-{stream}-{batch_id:012d}"
+
+
+def rollup_parts(events: DataFrame) -> DataFrame:
+    """Mergeable 1-minute aggregates of some readings."""
+    minute = F.window(F.col("timestamp").cast("timestamp"), "1 minute")["start"]
+    return events.groupBy(minute.alias("bucket"), *SERIES).agg(
+        F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.count(F.lit(1)).alias("sample_count"),
+    )
+
+
+def rollup_batch(store: Store) -> Callable[[DataFrame, int], None]:
+    """Micro-batch of new readings: store its part of each bucket. Late readings count like any other."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        save_run(rollup_parts(batch), store.root, "rollup_parts", batch_run(stream_name(batch.sparkSession), batch_id))
+
+    return each
+
+
+def stored_rollup(spark: SparkSession, store: Store, as_of: datetime | str | None = None) -> DataFrame:
+    """The 1-minute rollup as stored by now; with ``as_of`` the minute that is not yet over is withheld.
+
+    A bucket has one part per micro-batch that brought readings for it, so merging reads little.
+    """
+    parts = store.load(spark, "rollup_parts")
+    if as_of is not None:
+        parts = parts.where(F.col("bucket") + F.expr("INTERVAL 1 MINUTE") <= F.lit(str(as_of)).cast("timestamp"))
+    n = F.sum("sample_count")
+    return parts.groupBy("bucket", *SERIES).agg(
+        (F.sum("sum_value") / n).alias("avg_value"), F.min("min_value").alias("min_value"),
+        F.max("max_value").alias("max_value"), n.alias("sample_count"),
+    )
+
+
+def slots_batch(store: Store, gap_seconds: int = V.GROUPING_SECONDS) -> Callable[[DataFrame, int], None]:
+    """Micro-batch of anomalies: store which time slots they fill."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = slot_counts(event_time(batch), gap_seconds)
+        save_run(rows, store.root, "slot_parts", batch_run(stream_name(batch.sparkSession), batch_id))
+
+    return each
+
+
+def stored_sessions(spark: SparkSession, store: Store, gap_seconds: int = V.GROUPING_SECONDS) -> DataFrame:
+    """All sessions as known by now, those that may still grow included."""
+    merged = store.load(spark, "slot_parts").groupBy(*SERIES, "slot").agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")
+    )
+    sessions = join_slots(merged, gap_seconds).groupBy(*SERIES, "started_us").agg(
+        F.max("last_us").alias("last_us"), F.sum("n").alias("n_anomalies")
+    )
+    return sessions.select(
+        *SERIES, F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("last_us").alias("last_at"), "n_anomalies"
+    )
+
+
+def _in_arrival_order(batch: DataFrame) -> DataFrame:
+    """``arrival`` completed by the row's place in the batch, which keeps the order of lines within a file."""
+    known = [F.col("arrival")] if "arrival" in batch.columns else []
+    return batch.withColumn("arrival", F.struct(*known, F.monotonically_increasing_id().alias("line")))
+
+
+def dedup_batch(store: Store) -> Callable[[DataFrame, int], None]:
+    """Micro-batch of events: append those whose (timestamp, event_id) is not stored, however late they come.
+
+    A repeated batch finds its own rows stored and appends nothing.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        events = event_time(_in_arrival_order(batch)).select(*EVENT_COLUMNS, "arrival")
+        target = recent_target(store.metrics(batch.sparkSession), events)
+        new = insert_if_absent(target, events, ["timestamp", "event_id"], ["arrival"], small_batch=True)
+        write_metrics_table(new.select(*EVENT_COLUMNS), store.path("metrics"))
+
+    return each
+
+
+def _write_or_give_up(write: Callable[[DataFrame, str], None], rows: DataFrame, path: str) -> str | None:
+    """None when written, else the error of the last of some attempts."""
+    error = None
+    for _ in range(WRITE_ATTEMPTS):
+        try:
+            write(rows, path)
+            return None
+        except Exception as failure:  # whatever the storage says; the events are kept as dead letters
+            error = f"{type(failure).__name__}: {str(failure)[:500]}"
+    return error
 
 
-def ingest_batch(store: Store) -> Callable[[DataFrame, int], None]:
+def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_metrics_table) -> Callable[[DataFrame, int], None]:
     """Micro-batch: quarantine bad messages, append new events, score them, append new anomalies.
 
     A replayed batch finds its rows stored and adds nothing; a failed scoring fails the batch, so it
-    is retried instead of being lost. The registry is read for every batch, so new models are used at
-    once; their surfaces are loaded again only when the current models changed. Late readings are stored like any other: there is no watermark here. The accounting row
+    is retried instead of being lost. Events that cannot be written go to the dead letters with the
+    error, are counted, and are scored like the others. The registry is read for every batch, so new
+    models are used at once; their surfaces are loaded again only when the current models changed.
+    Late readings are stored like any other: there is no watermark here. The accounting row
     comes last and marks the batch as complete for the alert cycle.
     """
 
     cache: dict[frozenset[str], LoadedSurfaces] = {}
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark, run_id = batch.sparkSession, batch_run(batch_id)
-        parsed = parse_events(batch).persist()
+        spark = batch.sparkSession
+        run_id = batch_run(stream_name(spark), batch_id)
+        parsed = parse_events(_in_arrival_order(batch)).persist()
         valid, rejected = validate_events(parsed)
-        events = valid.select(*EVENT_COLUMNS)
+        events = valid.select(*EVENT_COLUMNS, "arrival")
         target = recent_target(store.metrics(spark), events)
-        keys, rest = ["timestamp", "event_id"], [*SERIES, "value"]
-        fresh = insert_if_absent(target, events, keys, rest, small_batch=True).persist()
+        fresh = insert_if_absent(target, events, ["timestamp", "event_id"], ["arrival"], small_batch=True).drop("arrival").persist()
+        events = events.drop("arrival")
         current, rows = pin_small(current_models(store.load(spark, "model_pointers")).select(*SERIES, "model_id"))
         surfaces = load_models(spark, store.root, schemas.SCORE_SURFACE)
         live = surfaces.join(current.select("model_id"), "model_id", "left_semi")
@@ -197,11 +313,20 @@ def ingest_batch(store: Store) -> Callable[[DataFrame, int], None]:
         try:
             save_run(rejected.select("data", "source_file", "reason"), store.root, "quarantine", run_id)
             inserted = fresh.count()
-            new = insert_anomalies(store.load(spark, "anomalies", run_id), found, small_batch=True)
+            # Only days that the batch has readings of can hold its anomalies.
+            known = recent_target(store.load(spark, "anomalies", run_id).withColumn("event_date", F.to_date("timestamp")), events)
+            new = insert_anomalies(known, found, small_batch=True)
             save_run(new.select(schemas.ANOMALY.names), store.root, "anomalies", run_id)
+            save_run(slot_counts(new, V.GROUPING_SECONDS), store.root, "slot_parts", run_id)
+            error = None
             if inserted:
-                write_metrics_table(fresh, store.path("metrics"))
-            _account(parsed, inserted, store, batch_id)
+                # The parts come first: a batch repeated after its readings were stored finds none of them new.
+                save_run(rollup_parts(fresh), store.root, "rollup_parts", run_id)
+                error = _write_or_give_up(write, fresh, store.path("metrics"))
+            if error:
+                save_run(rollup_parts(fresh.limit(0)), store.root, "rollup_parts", run_id)
+                save_run(fresh.withColumn("error", F.lit(error)).select(DEAD.names), store.root, "dead_letters", run_id)
+            _account(parsed, 0 if error else inserted, inserted if error else 0, store, batch_id, run_id)
         finally:
             for df in (found, fresh, parsed):
                 df.unpersist()
@@ -209,29 +334,33 @@ def ingest_batch(store: Store) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def _account(parsed: DataFrame, inserted: int, store: Store, batch_id: int) -> None:
+def _account(parsed: DataFrame, inserted: int, dead: int, store: Store, batch_id: int, run_id: str) -> None:
     bad = F.count_if(F.col("reason").isNotNull())
     received = F.count(F.lit(1))
     counts = parsed.agg(
         F.lit(batch_id).cast("bigint").alias("batch_id"), received.alias("received"), bad.alias("rejected"),
         F.lit(inserted).cast("bigint").alias("inserted"),
-        (received - bad - F.lit(inserted)).cast("bigint").alias("skipped"),
+        (received - bad - F.lit(inserted + dead)).cast("bigint").alias("skipped"),
+        F.lit(dead).cast("bigint").alias("dead_lettered"),
     )
-    save_run(counts, store.root, "accounting", batch_run(batch_id))
+    save_run(counts, store.root, "accounting", run_id)
 
 
 def run_alert_cycle(spark: SparkSession, store: Store, now: datetime | str, run_id: str) -> dict[str, int]:
     """One stored alert cycle; returns how many incidents it created and how many groups must wait.
 
-    A cycle reads the anomalies its predecessor left waiting and those of batches completed since, not
-    the whole history. A cycle that broke off is repeated under the same run id.
+    A cycle reads the anomalies its predecessor left waiting and those of batches that no earlier cycle
+    took, not the whole history. Cycles follow each other by a running number, not by the caller's clock.
+    A cycle that broke off is repeated under the same run id.
     """
     done = store.runs(spark, "cycles").where(F.col("run_id") != run_id)
-    last = done.agg(F.max(F.struct("at", "upto", "run_id")).alias("c")).first()["c"]
-    upto = store.runs(spark, "accounting").agg(F.max("run_id")).first()[0] or ""
-    seen = last["upto"] if last else ""
-    batches = F.col("run_id").startswith("b") & (F.col("run_id") > seen) & (F.col("run_id") <= upto)
-    fresh = store.runs(spark, "anomalies").where(batches).drop("run_id")
+    last = done.agg(F.max(F.struct("seq", "run_id")).alias("c")).first()["c"]
+    earlier = store.load(spark, "cycle_batches", run_id)
+    complete = store.runs(spark, "accounting").where(F.col("run_id").startswith("b-")).select(F.col("run_id").alias("batch_run")).distinct()
+    # One row per batch since the last cycle; stored, so that all steps below see the same batches.
+    save_run(complete.join(earlier, "batch_run", "left_anti"), store.root, "cycle_batches", run_id)
+    taken = store.runs(spark, "cycle_batches").where(F.col("run_id") == run_id).select(F.col("batch_run").alias("run_id"))
+    fresh = store.runs(spark, "anomalies").join(broadcast_if_small(taken), "run_id", "left_semi").drop("run_id")
     left = store.runs(spark, "waiting").where(F.col("run_id") == (last["run_id"] if last else "")).drop("run_id")
     waiting = left.unionByName(fresh)
     nobody = spark.createDataFrame([], schemas.INCIDENT_MEMBER)
@@ -242,6 +371,7 @@ def run_alert_cycle(spark: SparkSession, store: Store, now: datetime | str, run_
     save_run(result.fired, store.root, "fired", run_id)
     stored = store.runs(spark, "incident_members").where(F.col("run_id") == run_id)
     save_run(waiting.join(stored.select("anomaly_id"), "anomaly_id", "left_anti").select(schemas.ANOMALY.names), store.root, "waiting", run_id)
-    cycle = spark.range(1).select(F.lit(str(now)).cast("timestamp").alias("at"), F.lit(upto).alias("upto"))
+    seq = last["seq"] + 1 if last else 0
+    cycle = spark.range(1).select(F.lit(str(now)).cast("timestamp").alias("at"), F.lit(seq).cast("bigint").alias("seq"))
     save_run(cycle, store.root, "cycles", run_id)
     return result.counts.first().asDict()

@@ -147,3 +147,11 @@ def test_resolving_and_latest_status(spark):
     assert inc.resolve_incident(opened, unknown, at, 2).isEmpty()
     bad = opened.withColumn("status", F.lit("closed"))
     assert inc.status_domain_audit(bad).first()["n_invalid"] == 2
+
+
+def test_cooldown_of_a_million_incidents_of_one_series(spark):
+    opened = spark.range(1_000_000).select(
+        F.col("id").cast("string").alias("incident_id"), F.lit("s").alias("service"), F.lit("m").alias("metric"),
+        F.timestamp_seconds(F.col("id") * 601).alias("started_at"),
+    )
+    assert inc.suppress_cooldown(opened, 3005).count() == 200_000

@@ -1,3 +1,4 @@
+import pytest
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -105,3 +106,33 @@ def test_completeness_counts_absent_series(spark):
     got = {r["metric"]: r for r in ingest.completeness_audit(metrics, catalog, BASE, end, 60).collect()}
     assert (got["m"]["expected"], got["m"]["stored"], got["m"]["complete"]) == (5, 5, True)
     assert (got["silent"]["stored"], got["silent"]["complete"]) == (0, False)
+
+
+def test_numbered_rows_are_combined_without_a_sort(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("n"), F.lit("x").alias("payload"))
+    out = ingest.dedupe_first(df, ["k"], ["n"], numbered=True)
+    assert sorted(r["n"] for r in out.collect()) == list(range(7))
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "reason"),
+    [
+        ('"service": "s"', '"service": 5', "bad service"), ('"service": "s"', '"service": {"a": 1}', "bad service"),
+        ('"metric": "m"', '"metric": [1]', "bad metric"), ('"service": "s"', '"service": null', "missing service"),
+        ('"value": 1.5', '"value": "Infinity"', "bad value"), ('"value": 1.5', '"value": "-Infinity"', "bad value"),
+        ('"value": 1.5', '"value": "NaN"', "bad value"),
+    ],
+)
+def test_wrong_kinds_are_rejected(spark, old, new, reason):
+    text = '{"event_id": "a", "service": "s", "metric": "m", "value": 1.5, "timestamp": "2024-01-01T00:00:00Z"}'
+    assert old in text
+    rows = spark.createDataFrame([(text.replace(old, new),)], "data string")
+    assert [r["reason"] for r in ingest.parse_events(rows).collect()] == [reason]
+
+
+def test_only_whole_requests_pass(spark):
+    text = '{{"event_id": "e{}", "service": "s", "metric": "m", "value": 1.5, "timestamp": "2024-01-01T00:00:00Z"}}'
+    rows = [(1, text.format(1)), (1, "junk"), (2, text.format(2)), (2, text.format(3))]
+    parsed = ingest.parse_events(spark.createDataFrame(rows, "request int, data string"))
+    assert sorted(r["event_id"] for r in ingest.accepted_events(parsed, "request").collect()) == ["e2", "e3"]

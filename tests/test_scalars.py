@@ -14,28 +14,6 @@ def one(spark, column, **cols):
     return df.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("hour", "wanted"), [(14, 1.0), (2, -1.0), (8, 0.0)])
-def test_daily_peak_trough_and_zero(spark, hour, wanted):
-    got = one(spark, S.daily_seasonality("t"), t=datetime(2025, 1, 6, hour))
-    assert math.isclose(got, wanted, abs_tol=1e-12)
-
-
-def test_weekdays_positive_weekend_negative(spark):
-    got = [one(spark, S.weekly_seasonality("t"), t=datetime(2025, 1, 6 + d)) for d in range(7)]
-    assert got == [0.5, 0.7, 0.8, 0.7, 0.5, -0.5, -0.8]
-
-
-def test_baseline_is_clamped(spark):
-    cols = {"base": 95.0, "daily_amp": 0.4, "weekly_amp": 0.2, "min_val": 0.0, "max_val": 100.0}
-    assert one(spark, S.expected_baseline("t"), t=datetime(2025, 1, 8, 14), **cols) == 100.0
-    cols |= {"base": 100.0, "daily_amp": 2.0, "max_val": None}
-    df = spark.createDataFrame(
-        [(datetime(2025, 1, 8, 2), 100.0, 2.0, 0.2, 0.0, None)],
-        "t timestamp, base double, daily_amp double, weekly_amp double, min_val double, max_val double",
-    )
-    assert df.select(S.expected_baseline("t")).first()[0] == 0.0
-
-
 @pytest.mark.parametrize(
     ("n", "wanted"), [(0, "healthy"), (1, "degraded"), (2, "degraded"), (3, "critical"), (10, "critical")]
 )

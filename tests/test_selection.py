@@ -13,7 +13,7 @@ KEYS = ["service"]
 def narrow(monkeypatch):
     """Force the narrowing passes on small data."""
     monkeypatch.setattr(sel, "DIRECT_ROWS", 20)
-    monkeypatch.setattr(sel, "BINS", 8)
+    monkeypatch.setattr(sel, "CUT_POINTS", 8)
 
 
 def table(spark, groups):
@@ -44,7 +44,7 @@ def test_both_quantile_paths_agree(spark, monkeypatch):
     df = table(spark, samples())
     direct = sorted((r["service"], round(r["q"], 9)) for r in sel.quantile(df, KEYS, "v", 0.3, "q").collect())
     monkeypatch.setattr(sel, "DIRECT_ROWS", 10)
-    monkeypatch.setattr(sel, "BINS", 4)
+    monkeypatch.setattr(sel, "CUT_POINTS", 4)
     narrowed = sorted((r["service"], round(r["q"], 9)) for r in sel.quantile(df, KEYS, "v", 0.3, "q").collect())
     assert direct == narrowed
 
@@ -64,7 +64,7 @@ def test_select_ranks_counts_below_and_equal(spark, narrow):
 def test_first_k_with_heavy_ties(spark, monkeypatch, forced):
     if forced:
         monkeypatch.setattr(sel, "DIRECT_ROWS", 20)
-        monkeypatch.setattr(sel, "BINS", 8)
+        monkeypatch.setattr(sel, "CUT_POINTS", 8)
     groups = samples()
     df = table(spark, groups)
     got = sel.mark_first_k(df, KEYS, ["v", "i"], lambda n: F.ceil(n * 0.37), "first").where("first").collect()

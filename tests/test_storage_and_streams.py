@@ -83,10 +83,59 @@ def finish(spark, stream, tmp_path, name="out"):
 
 
 def test_dedup_across_batches(spark, tmp_path):
-    q = str(tmp_path / "q")
-    drop_files(q, [[event(1, 0), event(2, 1), event(1, 0)], [event(2, 1), event(3, 2)]])
-    out = finish(spark, jobs.stream_dedup(parsed_stream(spark, q)), tmp_path)
-    assert sorted(r["event_id"] for r in out.collect()) == ["e1", "e2", "e3"]
+    """Nothing is dropped for being late, and the first arrival stays whatever its value."""
+    q, store = str(tmp_path / "q"), jobs.Store(str(tmp_path / "store"))
+    store.prepare(spark)
+    late = [event(n, -600 * n) for n in range(10, 14)]
+    drop_files(q, [[event(1, 0, 9.0), event(2, 1), event(1, 0, 2.0)], [event(2, 1, 0.5), event(3, 2)], late, late])
+    jobs.run_batches(parsed_stream(spark, q), jobs.dedup_batch(store), str(tmp_path / "cp")).awaitTermination()
+    out = store.metrics(spark).collect()
+    assert sorted(r["event_id"] for r in out) == ["e1", "e10", "e11", "e12", "e13", "e2", "e3"]
+    assert {r["event_id"]: r["value"] for r in out}["e1"] == 9.0
+
+
+def test_a_second_stream_replaces_nothing(spark, tmp_path, run):
+    store = store_with_models(spark, tmp_path, run)
+    for n, junk in enumerate(("junk-one", "junk-two")):
+        q = str(tmp_path / f"q{n}")
+        drop_files(q, [[event(n, n, 999.0), junk]])
+        jobs.run_batches(jobs.read_metric_stream(spark, q), jobs.ingest_batch(store), str(tmp_path / f"cp{n}")).awaitTermination()
+    assert sorted(r["data"] for r in store.load(spark, "quarantine").collect()) == ["junk-one", "junk-two"]
+    assert store.load(spark, "accounting").count() == 2 and store.load(spark, "anomalies").count() == 2
+    # Cycles follow their number although the second clock runs behind.
+    assert jobs.run_alert_cycle(spark, store, BASE + timedelta(minutes=10), "c1") == {"created": 1, "suppressed": 0}
+    assert jobs.run_alert_cycle(spark, store, BASE + timedelta(minutes=9), "c2") == {"created": 0, "suppressed": 0}
+
+
+def test_unwritable_events_become_dead_letters(spark, tmp_path, run):
+    store = store_with_models(spark, tmp_path, run)
+    tries = []
+
+    def broken(rows, path):
+        tries.append(path)
+        raise OSError("no space left")
+
+    batch = spark.createDataFrame([(x, "f") for x in (event(1, 0, 50.0), event(2, 1, 999.0), "junk")], "data string, source_file string")
+    jobs.ingest_batch(store, broken)(batch, 0)
+    dead = store.load(spark, "dead_letters").collect()
+    assert len(tries) == jobs.WRITE_ATTEMPTS and sorted(r["event_id"] for r in dead) == ["e1", "e2"] and "no space left" in dead[0]["error"]
+    counts = store.load(spark, "accounting").first()
+    assert (counts["received"], counts["rejected"], counts["inserted"], counts["skipped"], counts["dead_lettered"]) == (3, 1, 0, 0, 2)
+    assert store.load(spark, "anomalies").count() == 1 and jobs.stored_rollup(spark, store).isEmpty()
+
+
+def test_stored_rollup_is_fresh_and_keeps_late_readings(spark, tmp_path):
+    store = jobs.Store(str(tmp_path / "store"))
+    store.prepare(spark)
+    each = jobs.rollup_batch(store)
+    first = readings(spark, [1.0, 2.0, 3.0, 4.0], step=30)  # two minutes
+    each(first, 0)
+    each(first, 0)  # a repeated batch replaces itself
+    each(readings(spark, [9.0], start=BASE + timedelta(seconds=10)), 1)  # late, into the first minute
+    out = {r["bucket"]: (r["avg_value"], r["sample_count"]) for r in jobs.stored_rollup(spark, store).collect()}
+    assert sorted(out.values()) == [(3.5, 2), (4.0, 3)]
+    at = BASE.replace(tzinfo=None) + timedelta(seconds=90)
+    assert jobs.stored_rollup(spark, store, at).count() == 1
 
 
 def test_streamed_rollup_equals_batch_and_ignores_late_rows(spark, tmp_path):
