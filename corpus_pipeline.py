@@ -6,10 +6,12 @@ as Parquet and read again as the next stage's docs. All but the last return the
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import read_table, stage
+from pulsegrid.llm.common import drop_staged, read_table, stage, staged_into
 from pulsegrid.llm.language_id import UNKNOWN, identify, learn_filters
 from pulsegrid.llm.line_dedup import dedup_lines
 from pulsegrid.llm.ngram_join import Measure, keep_one
@@ -21,7 +23,22 @@ LEAST_KNOWN = 0.2
 NEAR = Measure(words=5, percent=80)
 OWN = "__stage_"  # stands before columns that a stage adds for itself
 
+_left: list[str] = []  # tables that the operator of the last stage left behind
+
+
+def tidy(function):
+    """A stage begins when its predecessor's result is written: what that one had staged can go."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_staged(spark, _left)
+        with staged_into(_left):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those in no learned language.
 
@@ -35,6 +52,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col(f"{OWN}pred") != UNKNOWN) & (F.col(f"{OWN}known") >= LEAST_KNOWN)).select(*docs.columns)
 
 
+@tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; a document of which all was repeated elsewhere goes. ``n_chars`` follows the text."""
     cleaned = dedup_lines(docs, prefix=OWN)
@@ -45,11 +63,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*docs.columns)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
     return keep_one(docs, NEAR)
 
 
+@tidy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 2048 tokens."""
     return pack_documents(docs, vocabulary(WORD_TOKENIZER), PACK_END)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +30,40 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/pulsegrid-{name}-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the stored rows.
 
     Cuts lineage: a lost executor costs only its own running tasks, and a result that depends on how rows were dealt
-    out is computed once. The files stay as long as the returned frame may be read; the shared folder owns them.
+    out is computed once. The files stay as long as the returned frame may be read: inside ``staged_into`` until the
+    caller drops them, else as long as the shared folder's owner keeps them.
     """
     path = new_shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged_into(paths: list[str]) -> Iterator[None]:
+    """Collects in ``paths`` what is staged inside."""
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables whose frames nobody will read again; empties ``paths``."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Rows of a few numbers each: at most some tens of megabytes.
 BROADCAST_ROWS = 1_000_000
 
@@ -47,6 +74,18 @@ def small_or_not(rows: DataFrame, bound: int | None = None) -> DataFrame:
     return F.broadcast(rows) if rows.limit(bound + 1).count() <= bound else rows
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: idle Python workers share an executor's memory with the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_libc(), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a slice have about ``limit`` bytes; a longer text comes alone."""
     for batch in batches:
@@ -60,6 +99,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        release_memory()
 
 
 def mix64(values: np.ndarray) -> np.ndarray:

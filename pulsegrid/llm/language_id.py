@@ -28,6 +28,7 @@ MIN_SHARE = 1e-5
 KEEP_RATIO = 0.5
 SLOTS_PER_GRAM = 16
 BLANK = 0x20
+TEXT_BYTES = 2 * 1024 * 1024  # of a slice; its grams take about fifty times as much
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +87,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """lang, gram, n over all texts with a language. Counted per slice in Python, then combined before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             found, rows, _ = grams(batch.column("text").to_pylist())
             langs = batch.column("lang").dictionary_encode()
             code = langs.indices.to_numpy()[rows]
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, TEXT_BYTES):
             names, score, known = judge(filters, [t or "" for t in batch.column(text_col).to_pylist()])
             columns = [pa.array(names, pa.string()), pa.array(score), pa.array(known)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])

@@ -10,16 +10,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import BROADCAST_ROWS, slices, small_or_not, stage
+from pulsegrid.llm.common import BROADCAST_ROWS, slices, stage
 
 # A chunk ends after a line whose rolling hash is a multiple of this, so short lines form chunks of about as many.
 DIVISOR = 4
 BASE, MODULUS = 257, 2**31 - 1
 LONG_WORDS = 50
+MARK_BITS = 1 << 26
 
 
 def line_hash(line: str) -> int:
@@ -67,19 +69,37 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lines", "hashes"])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks that may be removed, with their text."""
-    for batch in slices(batches, "text"):
-        rows, out = [], {"no": [], "n": [], "hash": [], "part": []}
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            for no, (n, w, part) in enumerate(chunk_rows(text) if text is not None else []):
-                if _movable(n, w):
-                    rows.append(row)
-                    for name, value in zip(out, (no, n, hashlib.md5(part.encode()).digest(), part), strict=True):
-                        out[name].append(value)
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.string())
-        own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("uid", "id")]
-        yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["uid", "id", *out])
+def _marks(repeated: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the place of every repeated hash is set."""
+    place = F.conv(F.hex(F.substring("hash", 1, 4)), 16, 10).cast("long") % MARK_BITS
+    words = repeated.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w"))
+    # At most MARK_BITS / 64 rows reach the driver.
+    rows = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")).toArrow()
+    marks = np.zeros(MARK_BITS // 64, dtype=np.int64)
+    marks[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return marks.view(np.uint64)
+
+
+def _parts(marks: np.ndarray):
+    """The chunks that may be removed and whose hash may be repeated, with their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows, out = [], {"no": [], "n": [], "hash": [], "part": []}
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for no, (n, w, part) in enumerate(chunk_rows(text) if text is not None else []):
+                    if _movable(n, w):
+                        digest = hashlib.md5(part.encode()).digest()
+                        place = int.from_bytes(digest[:4], "big") % MARK_BITS
+                        if int(marks[place // 64]) >> place % 64 & 1:
+                            rows.append(row)
+                            for name, value in zip(out, (no, n, digest, part), strict=True):
+                                out[name].append(value)
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.string())
+            own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("uid", "id")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["uid", "id", *out])
+
+    return run
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +123,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced.
     Order of work: chunk hashes are counted; only chunks whose hash repeats are compared byte by byte (grouped by hash and
     text, combined before the shuffle); what they tell is joined by hash, where the adaptive join splits a hot passage;
-    then each row drops its own. Repeated hashes and rows to change are broadcast while they are counted to be few, so
-    that only repeated passages move; beyond that the same joins shuffle.
+    then each row drops its own. A bitmap of fixed size (8 MB) keeps nearly all other chunks from being shuffled at all.
+    Rows to change are broadcast while they are counted to be few; beyond that the same join shuffles.
     """
     added = [f"{prefix}{name}" for name in ("n_lines", "n_chunks", "removed_lines", "removed_chunks")]
     others = [c for c in docs.columns if c not in (text_col, *added)]
@@ -121,8 +141,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = rows.select(F.explode("hashes").alias("hash")).where(F.col("hash").isNotNull())
     repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash")
     id_type = docs.schema[id_col].dataType.simpleString()
-    parts = rows.select("uid", "id", "text").mapInArrow(_parts, f"uid long, id {id_type}, no int, n long, hash binary, part string")
-    candidates = stage(parts.join(small_or_not(stage(repeated, "hashes")), "hash"), "repeated")
+    repeated = stage(repeated, "hashes")
+    parts = rows.select("uid", "id", "text").mapInArrow(_parts(_marks(repeated)), f"uid long, id {id_type}, no int, n long, hash binary, part string")
+    candidates = stage(parts.join(repeated, "hash"), "repeated")
     place = F.struct("id", "uid", "no")
     firsts = candidates.groupBy("hash", "part").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     firsts = firsts.select("hash", F.col("part").alias("same"), "first")

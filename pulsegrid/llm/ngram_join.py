@@ -25,6 +25,7 @@ from pulsegrid.llm.components import components
 GROWTH = 1.3  # sizes of a band's own documents span this factor
 BLOCKS = 1.16  # blocks for each n-gram that may differ, so that most blocks that hold one n-gram or none can be left out
 BITS = 4  # bits of the compact sketch for each n-gram, at least
+BRIEF = 4  # how many times smaller the sketch is that members of a block carry
 PIECE = 1024  # members of a block that are compared in one go
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -164,7 +165,7 @@ def block_keys(grams: np.ndarray, rows: np.ndarray, sizes: np.ndarray, measure:
     return keys[order], owners[order]
 
 
-FEATURES = "uid long, id {id}, th long, n long, d1 long, d2 long, keys array<long>, sketch binary"
+FEATURES = "uid long, id {id}, th long, n long, d1 long, d2 long, keys array<long>, sketch binary, brief binary"
 
 
 def _features(measure: Measure):
@@ -176,15 +177,17 @@ def _features(measure: Measure):
             keys, owners = block_keys(grams, rows, sizes, measure)
             starts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=size))])
             digests = [_per_row(mix64(grams ^ _ODD[0]), rows, size, np.bitwise_xor), _per_row(mix64(grams ^ _ODD[4]), rows, size, np.add)]
+            full = sketches(grams, rows, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("uid", "id", "th")),
                     pa.array(sizes.astype(np.int64)),
                     *(pa.array(d.view(np.int64)) for d in digests),
                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys.view(np.int64))),
-                    pa.array(sketches(grams, rows, sizes), pa.binary()),
+                    pa.array(full, pa.binary()),
+                    pa.array([fold(np.frombuffer(x, dtype=np.uint64), max(1, len(x) // 8 // BRIEF)).tobytes() for x in full], pa.binary()),
                 ],
-                names=["uid", "id", "th", "n", "d1", "d2", "keys", "sketch"],
+                names=["uid", "id", "th", "n", "d1", "d2", "keys", "sketch", "brief"],
             )
 
     return run
@@ -258,7 +261,7 @@ def _linked(measure: Measure):
 
 
 def _compare(measure: Measure):
-    """Within each (key, lo, hi) run of sorted rows: pairs of different components that sizes and sketches allow."""
+    """Within each (key, lo, hi) run of sorted rows: pairs of different components that sizes and brief sketches allow."""
 
     def judge(run: list[tuple]) -> list[tuple[int, int]]:
         nodes, comps, sizes = (np.array([r[k] for r in run], dtype=np.int64) for k in (0, 1, 2))
@@ -279,7 +282,7 @@ def _compare(measure: Measure):
         place, held = None, []
         for batch in batches:
             found = []
-            for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "component", "n", "sketch")), strict=True):
+            for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "component", "n", "brief")), strict=True):
                 if (key, lo, hi) != place:
                     found += judge(held) if held else []
                     place, held = (key, lo, hi), []
@@ -354,9 +357,9 @@ class NgramJoin:
         members = placed.join(pieces, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("pieces")).cast("int"))
         spread = members.select("key", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
         spread = spread.select("key", "node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        spread = spread.join(self.nodes.select("node", "n", "sketch"), "node")
+        spread = spread.join(self.nodes.select("node", "n", "brief"), "node")
         compared = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_compare(self.measure), "a long, b long")
-        second = stage(compared.distinct(), "near")
+        second = self.near(stage(compared.distinct(), "pairs"))
         if second.isEmpty():
             return labels
         more = self.links(second)
@@ -392,11 +395,18 @@ def keep_one(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc_i
 
     Rows without words all stay. Of rows alike in id and text one stays.
     """
-    joined = ngram_join(docs, measure, id_col, text_col)
-    kept = joined.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id")))
+    joined = stage(ngram_join(docs, measure, id_col, text_col).select(F.col(id_col).alias("__id"), "n_shingles", "component_id", F.col("text_hash").alias("__hash")), "components")
+    worded = joined.where(F.col("n_shingles") > 0)
     # A component whose least id has several texts keeps one of them.
-    kept = kept.groupBy("component_id").agg(F.min("text_hash").alias("__hash")).withColumnRenamed("component_id", "__id")
-    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    least = F.col("__id").eqNullSafe(F.col("component_id"))
+    kept = worded.where(least).groupBy("component_id").agg(F.min("__hash").alias("__kept"))
+    kept = worded.join(kept.withColumnRenamed("component_id", "__component"), F.col("component_id").eqNullSafe(F.col("__component")))
+    dropped = stage(kept.where(~(least & (F.col("__hash") == F.col("__kept")))).select("__id", "__hash").distinct(), "dropped")
+    # Rows that repeat with their id, rare in a corpus with sound ids, are the only texts that must meet.
+    repeated = stage(worded.groupBy("__id", "__hash").count().where("count > 1").drop("count"), "repeated")
     matches = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
-    once = docs.where(worded).join(kept, matches, "left_semi").dropDuplicates([id_col, text_col])
-    return once.unionByName(docs.where(~worded))
+    left = docs.join(small_or_not(dropped), matches, "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(small_or_not(repeated), matches, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(small_or_not(repeated), matches, "left_anti").unionByName(once)
