@@ -21,13 +21,13 @@ from pulsegrid.llm.common import stage
 
 @dataclass(frozen=True)
 class GraphSettings:
-    neighbours: int = 20  # list length of a node, and of the reverse list joined with it
-    orders: int = 4  # random codes for the first lists
-    block: int = 256  # vectors compared with each other in the first lists
-    rounds: int = 8  # of NN-descent at most
+    neighbours: int = 32  # list length of a node, and of the reverse list joined with it
+    orders: int = 6  # random codes for the first lists
+    block: int = 512  # vectors compared with each other in the first lists
+    rounds: int = 10  # of NN-descent at most
     settled: float = 0.02  # stop when fewer entries than this share are new
-    pool: int = 40  # nodes a search keeps
-    expand: int = 10  # nodes a search expands at a time
+    pool: int = 160  # nodes a search keeps
+    expand: int = 40  # nodes a search expands at a time, at most the pool
     seed: int = 11
 
 
