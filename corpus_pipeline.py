@@ -23,6 +23,10 @@ LEAST_KNOWN = 0.2
 NEAR = Measure(words=5, percent=80)
 OWN = "__stage_"  # stands before columns that a stage adds for itself
 
+# Rows of a batch between the JVM and Python: some megabytes of texts, so that workers of several stages fit beside
+# each other in an executor.
+BATCH_ROWS = 1000
+
 _left: list[str] = []  # tables that the operator of the last stage left behind
 
 
@@ -32,6 +36,7 @@ def tidy(function):
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_staged(spark, _left)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         with staged_into(_left):
             return function(spark, docs, sf_dir)
 
