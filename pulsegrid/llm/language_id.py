@@ -1,9 +1,9 @@
 """Language identification with Bloom filters whose slots are language bitmasks.
 
-Character 3-grams are counted per language over all training texts. A gram belongs to each language in which it is at
-least half as common as in its commonest one. All languages share one Bloom filter: a slot holds one bit per language,
-and the AND of a gram's slots is the set of languages that contain it. Each language's hits over a text, less the hits
-its own filter density would give by chance, decide.
+Character 3-grams are counted per language over all training texts. A gram belongs to every language that has it, unless
+it is so much rarer there than elsewhere that wrong labels explain it. All languages share one Bloom filter: a slot holds
+one bit per language, and the AND of a gram's slots is the set of languages that contain it. Each language's hits over a
+text, less the hits its own filter density would give by chance, decide.
 """
 
 from __future__ import annotations
@@ -25,7 +25,10 @@ UNKNOWN = "und"
 HASHES = 3
 # A gram counts for a language from this share of the language's grams on, so a language has at most 1 / MIN_SHARE.
 MIN_SHARE = 1e-5
-KEEP_RATIO = 0.5
+# Up to this part of a gram's largest share it may come from texts with a wrong label.
+NOISE = 0.02
+# Added to a language's grams when shares are compared: a label with a few texts has no grams of a large share.
+SMOOTHING = 1 / MIN_SHARE
 SLOTS_PER_GRAM = 16
 BLANK = 0x20
 TEXT_BYTES = 2 * 1024 * 1024  # of a slice; its grams take about fifty times as much
@@ -106,14 +109,15 @@ def learn_filters(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     Rows without text or language teach nothing; without any the result knows no language. What reaches the driver
     is bounded by 1 / MIN_SHARE grams a language, whatever the size of the corpus. Languages are ordered by how much
-    text they have (then by name), which is also the order in which ties are decided.
+    text they have (then by name), which is also the order in which ties are decided. Shares are compared after adding
+    SMOOTHING to the language's total, so a label with little text cannot take grams from a language with much.
     """
     counts = gram_counts(docs, text_col, lang_col)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
-    shares = shares.where(F.col("share") >= MIN_SHARE)
+    shares = counts.join(F.broadcast(totals), "lang").where(F.col("n") / F.col("total") >= MIN_SHARE)
+    shares = shares.select("lang", "gram", (F.col("n") / (F.col("total") + SMOOTHING)).alias("share"))
     best = F.max("share").over(Window.partitionBy("gram"))  # at most one row per language
-    kept = shares.withColumn("best", best).where(F.col("share") >= KEEP_RATIO * F.col("best")).select("gram", "lang")
+    kept = shares.withColumn("best", best).where(F.col("share") >= NOISE * F.col("best")).select("gram", "lang")
     order = [r.lang for r in totals.orderBy(F.desc("total"), "lang").collect()]
     table = kept.toArrow()
     if not order or not table.num_rows:

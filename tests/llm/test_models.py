@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.fingerprints import as_text, compare_with_next, fingerprint_documents, likeness, phrases, signatures
 from pulsegrid.llm.graph_search import GraphSettings, nearest
-from pulsegrid.llm.language_id import UNKNOWN, identify, judge, learn_filters
+from pulsegrid.llm.language_id import UNKNOWN, grams, identify, judge, learn_filters
 from pulsegrid.llm.queries import LLM_QUERIES, URL_RULES
 from pulsegrid.llm.url_filter import ALLOW, BLOCK, judge_urls
 
@@ -88,6 +88,26 @@ def test_language_awkward(spark):
     assert identify(frame(spark, []), filters).collect() == []
 
 
+def test_rare_labels_take_no_grams(spark):
+    """Twenty labels of a few English texts each, as wrong or rare labels are, leave English right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    rows = [(r.text, r.lang) for r in docs.where("doc_id % 3 != 1").orderBy("doc_id").collect()]
+    held = [(r.text, r.lang) for r in docs.where("doc_id % 3 = 1").collect()]
+    english = [text for text, lang in rows if lang == "en"]
+    rare = [(text[:340], f"r{n % 20:02d}") for n, text in enumerate(english[:100])]
+    filters = learn_filters(spark.createDataFrame(rows + rare, "text string, lang string"))
+    names, _, _ = judge(filters, [text for text, _ in held])
+    assert len(filters.languages) == 24 and np.mean([name == lang for name, (_, lang) in zip(names, held, strict=True)]) >= 0.99
+
+
+def test_filters_hold_every_language_with_a_gram(spark):
+    """Two languages that share a word, one using it five times as often: both filters have its grams."""
+    rows = [("shared " + "alpha beta gamma " * 5, "a")] * 20 + [("shared " * 5 + "uno due tre " * 3, "b")] * 20
+    filters = learn_filters(spark.createDataFrame(rows, "text string, lang string"))
+    found, _, _ = grams(["shared"])
+    assert (filters.masks(found)[:, 0] == 3).all()
+
+
 def test_language_bits_over_one_byte(spark):
     rows = [(f"{chr(97 + n) * 3} {chr(97 + n) * 5}", f"l{n:02d}") for n in range(20)]
     filters = learn_filters(spark.createDataFrame(rows, "text string, lang string"))
