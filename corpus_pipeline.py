@@ -18,7 +18,8 @@ from pulsegrid.llm.ngram_join import Measure, keep_one
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.queries import PACK_END, WORD_TOKENIZER, vocabulary
 
-# A text of which a smaller share of 3-grams belongs to its language is in none of the learned ones.
+# A text is in none of the learned languages if the share of its grams that its language has is smaller than this part of
+# the usual share, that of the language's own training texts.
 LEAST_KNOWN = 0.2
 NEAR = Measure(words=5, percent=80)
 OWN = "__stage_"  # stands before columns that a stage adds for itself
@@ -53,8 +54,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = learn_filters(docs)
     if not filters.languages:
         return docs.where(F.col("text").isNotNull())
+    least = {lang: LEAST_KNOWN * usual for lang, usual in zip(filters.languages, filters.usual.tolist(), strict=True)}
     judged = identify(docs, filters, prefix=OWN)
-    return judged.where((F.col(f"{OWN}pred") != UNKNOWN) & (F.col(f"{OWN}known") >= LEAST_KNOWN)).select(*docs.columns)
+    enough = F.udf(lambda lang, known: known >= least[lang], "boolean")
+    return judged.where((F.col(f"{OWN}pred") != UNKNOWN) & enough(f"{OWN}pred", f"{OWN}known")).select(*docs.columns)
 
 
 @tidy

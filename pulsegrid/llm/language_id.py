@@ -3,7 +3,8 @@
 Character 3-grams are counted per language over all training texts. A gram belongs to every language that has it, unless
 it is so much rarer there than elsewhere that wrong labels explain it. All languages share one Bloom filter: a slot holds
 one bit per language, and the AND of a gram's slots is the set of languages that contain it. Each language's hits over a
-text, less the hits its own filter density would give by chance, decide.
+text, less the hits its own filter density would give by chance, decide. Where a script has thousands of letters, nearly
+every 3-gram is rare, so there a letter alone is the gram.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ NOISE = 0.02
 SMOOTHING = 1 / MIN_SHARE
 SLOTS_PER_GRAM = 16
 BLANK = 0x20
+# Scripts with thousands of letters: Han, Yi, Hangul, cuneiform, hieroglyphs, Tangut and Khitan, the Han supplements.
+LARGE_SCRIPTS = ((0x3400, 0x4DBF), (0x4E00, 0xA48F), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0x12000, 0x1467F), (0x17000, 0x18DFF), (0x20000, 0x3FFFF))
 TEXT_BYTES = 2 * 1024 * 1024  # of a slice; its grams take about fifty times as much
 
 
@@ -46,8 +49,20 @@ def _folding() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _large_scripts() -> np.ndarray:
+    """For each code point whether its script has thousands of letters."""
+    table = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for first, last in LARGE_SCRIPTS:
+        table[first : last + 1] = True
+    return table
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """3-grams of letters and single blanks: the grams, the row of each, and which rows have a letter."""
+    """3-grams of letters and single blanks: the grams, the row of each, and which rows have a letter.
+
+    A letter of a large script is a gram by itself and a blank to its neighbours.
+    """
     points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), dtype=np.uint32)
     rows = np.repeat(np.arange(len(texts) + 1), np.array([1, *(len(t) + 1 for t in texts)]))  # a row's blank comes after it
     folded = _folding()[points]
@@ -58,18 +73,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters, rows = folded[keep].astype(np.uint64), rows[keep]
     if len(letters) < 3:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), lettered
-    found = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    large = _large_scripts()[letters]
+    around = np.where(large, np.uint64(BLANK), letters)
+    found = (around[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | around[2:]
+    found = np.where(large[1:-1], letters[1:-1], found)
     inside = letters[1:-1] != BLANK  # grams with a blank in the middle would join words, and texts
     return found[inside], rows[1:-1][inside] - 1, lettered
 
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """``slots``: one row of language bits (eight to a byte) per slot; ``chance``: false positive rate per language."""
+    """``slots``: one row of language bits (eight to a byte) per slot; ``chance``: false positive rate per language.
+
+    ``usual``: known share of each language's own training texts, taken together.
+    """
 
     languages: list[str]
     slots: np.ndarray
     chance: np.ndarray
+    usual: np.ndarray
 
     def places(self, found: np.ndarray) -> Iterator[np.ndarray]:
         mixed = mix64(found)
@@ -115,22 +137,23 @@ def learn_filters(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counts = gram_counts(docs, text_col, lang_col)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").where(F.col("n") / F.col("total") >= MIN_SHARE)
-    shares = shares.select("lang", "gram", (F.col("n") / (F.col("total") + SMOOTHING)).alias("share"))
+    shares = shares.select("lang", "gram", (F.col("n") / F.col("total")).alias("own"), (F.col("n") / (F.col("total") + SMOOTHING)).alias("share"))
     best = F.max("share").over(Window.partitionBy("gram"))  # at most one row per language
-    kept = shares.withColumn("best", best).where(F.col("share") >= NOISE * F.col("best")).select("gram", "lang")
+    kept = shares.withColumn("best", best).where(F.col("share") >= NOISE * F.col("best")).select("gram", "lang", "own")
     order = [r.lang for r in totals.orderBy(F.desc("total"), "lang").collect()]
     table = kept.toArrow()
     if not order or not table.num_rows:
-        return LanguageFilters([], np.zeros((1, 1), dtype=np.uint8), np.zeros(0))
+        return LanguageFilters([], np.zeros((1, 1), dtype=np.uint8), np.zeros(0), np.zeros(0))
     found = table["gram"].to_numpy().astype(np.uint64)
     code = pc.index_in(table["lang"], pa.array(order)).to_numpy()
     size = 1 << max(16, int(SLOTS_PER_GRAM * len(np.unique(found)) - 1).bit_length())
     slots = np.zeros((size, (len(order) + 7) // 8), dtype=np.uint8)
-    filters = LanguageFilters(order, slots, np.zeros(len(order)))
+    usual = np.bincount(code, weights=table["own"].to_numpy(), minlength=len(order))
+    filters = LanguageFilters(order, slots, np.zeros(len(order)), usual)
     for place in filters.places(found):
         np.bitwise_or.at(slots, (place, code // 8), (1 << (code % 8)).astype(np.uint8))
     filled = np.array([((slots[:, n // 8] >> (n % 8)) & 1).mean() for n in range(len(order))])
-    return LanguageFilters(order, slots, filled**HASHES)
+    return LanguageFilters(order, slots, filled**HASHES, usual)
 
 
 def judge(filters: LanguageFilters, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:

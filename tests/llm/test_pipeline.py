@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from cases import documents, frame
 from test_line_dedup import by_hand as lines_by_hand
 from test_ngram_join import by_hand as groups_by_hand
@@ -51,6 +52,33 @@ def test_run_keeps_clean_documents(spark):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.select("doc_id").distinct().count() > 0.8 * docs.count()
 
 
+def test_large_alphabet_stays(spark):
+    """A language with thousands of letters and over 100,000 grams is kept as one with few; noise goes."""
+    rng = np.random.default_rng(4)
+    share = 1 / np.arange(1, 5001)
+    letters = rng.choice(5000, size=(400, 600), p=share / share.sum()) + 0x4E00
+    rows = [(n, "".join(map(chr, row)), "zh") for n, row in enumerate(letters)]
+    rows += [(1000 + n, "the quick brown fox jumps over the lazy dog " * 3, "en") for n in range(20)]
+    rows += [(2000, "".join(map(chr, range(0xAC00, 0xAC00 + 600))), None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    filters = learn_filters(docs)
+    assert filters.usual.min() > 0.9
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in rows} - {2000}
+    names, _, known = judge(filters, [rows[0][1], "the lazy fox"])
+    assert names == ["zh", "en"] and known[0] > 0.9
+
+
+def test_rare_grams_are_judged_by_their_language(spark):
+    """Where most 3-grams of a language's own texts are too rare to be known, its clean texts stay."""
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(0x1200, 0x1340) if chr(c).isalpha()]  # some hundred letters, not a large script
+    share = 1 / np.arange(1, len(letters) + 1) ** 0.8
+    rows = [(n, "".join(rng.choice(letters, size=800, p=share / share.sum())), "am") for n in range(400)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert learn_filters(docs).usual[0] < 0.2 and corpus_pipeline.language_id(spark, docs, "").count() == len(rows)
+
+
 def test_empty(spark):
     docs = stage(frame(spark, []), "empty")
     for _, function in corpus_pipeline.STAGES:
