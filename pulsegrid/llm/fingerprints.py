@@ -4,7 +4,8 @@ A text is cut into phrases by its own symbols: runs of equal symbols become one,
 symbol and its left neighbour into a label from a tiny alphabet in which neighbours always differ, and a phrase starts
 at every local maximum of the labels. Phrases are named by their content, and the names are the symbols of the next
 level. A boundary depends on a few symbols around it only, so equal passages get equal names inside, wherever they stand.
-The fingerprint samples the names of two levels by minimum hashing into 64 bins.
+The fingerprint samples the names of two levels by minimum hashing into 64 bins; a bin holds 16 scrambled bits of its
+64-bit minimum, so that the minima of long texts, all near zero, do not look alike.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ LEVELS = 3
 SAMPLED = (2, 3)
 BINS = 64
 EMPTY = 0xFFFF
+NO_HASH = np.uint64(2**64 - 1)
 TOSSES = 3  # 64-bit names to labels below 128, below 14, below 8
 _POWERS = np.cumprod(np.concatenate([[1], np.full(63, 0x9E3779B97F4A7C15, dtype=np.uint64)]).astype(np.uint64))
 _DE_BRUIJN = np.uint64(0x03F79D71B4CB0A89)
@@ -89,18 +91,18 @@ def _parse(texts: list[str], levels: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """One row of bins per text: the least hash of the sampled phrase names that fall into each bin."""
+    """One row of bins per text: of the least hash of the sampled phrase names that fall into each bin, 16 scrambled bits."""
     out = np.full((len(texts), BINS), EMPTY, dtype=np.uint16)
     parsed = [p for level, p in enumerate(_parse(texts, LEVELS), 1) if level in SAMPLED]
     names, rows = np.concatenate([p[0] for p in parsed]), np.concatenate([p[1] for p in parsed])
     if len(names):
         mixed = mix64(names)
-        cell = rows.astype(np.uint64) * np.uint64(BINS) + (mixed >> np.uint64(58))
-        value = np.minimum((mixed >> np.uint64(16)) & np.uint64(0xFFFF), np.uint64(EMPTY - 1))
-        packed = np.sort((cell << np.uint64(16)) | value)
-        cell = packed >> np.uint64(16)
-        least = np.concatenate([[True], cell[1:] != cell[:-1]])
-        out.reshape(-1)[cell[least].astype(np.int64)] = (packed[least] & np.uint64(0xFFFF)).astype(np.uint16)
+        cell = rows * BINS + (mixed >> np.uint64(58)).astype(np.int64)
+        least = np.full(len(texts) * BINS, NO_HASH, dtype=np.uint64)
+        np.minimum.at(least, cell, mixed)
+        filled = np.flatnonzero(least != NO_HASH)
+        value = mix64(least[filled]) >> np.uint64(48)
+        out.reshape(-1)[filled] = np.minimum(value, np.uint64(EMPTY - 1)).astype(np.uint16)
     return out
 
 

@@ -38,6 +38,13 @@ def test_texts_of_a_batch_do_not_touch():
     assert len(phrases(["x" * 100_000], 3)[0]) == 1
 
 
+def test_long_strangers_do_not_look_alike():
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 4_000_000).tolist())) for _ in range(2)]
+    prints = signatures(texts)
+    assert likeness(prints[:1], prints[1:])[0] <= 1 / 64 and (prints != 0xFFFF).all()
+
+
 def test_compare_with_next(spark):
     rows = [(n, t) for n, t in documents() if n is not None]
     rows = list(dict(rows).items()) + [(None, "no id")]
