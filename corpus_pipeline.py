@@ -15,13 +15,16 @@ from pulsegrid.llm.common import drop_staged, read_table, stage, staged_into
 from pulsegrid.llm.language_id import UNKNOWN, identify, learn_filters
 from pulsegrid.llm.line_dedup import dedup_lines
 from pulsegrid.llm.ngram_join import Measure, keep_one
-from pulsegrid.llm.packing import pack_documents
+from pulsegrid.llm.packing import Limits, pack_documents
 from pulsegrid.llm.queries import PACK_END, WORD_TOKENIZER, vocabulary
 
 # A text is in none of the learned languages if the share of its grams that its language has is smaller than this part of
 # the usual share, that of the language's own training texts.
 LEAST_KNOWN = 0.2
 NEAR = Measure(words=5, percent=80)
+# Besides the tokens, so that a sequence is not filled with a great many tiny documents. A cost limit below the square of
+# the tokens would cut long documents into smaller pieces, so there is none.
+PACK_LIMITS = Limits(documents=64)
 OWN = "__stage_"  # stands before columns that a stage adds for itself
 
 # Rows of a batch between the JVM and Python: some megabytes of texts, so that workers of several stages fit beside
@@ -79,8 +82,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @tidy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
-    return pack_documents(docs, vocabulary(WORD_TOKENIZER), PACK_END)
+    """The pieces of all documents with their places in sequences of at most 2048 tokens and 64 pieces."""
+    return pack_documents(docs, vocabulary(WORD_TOKENIZER), PACK_END, PACK_LIMITS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]

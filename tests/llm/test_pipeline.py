@@ -52,6 +52,12 @@ def test_run_keeps_clean_documents(spark):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.select("doc_id").distinct().count() > 0.8 * docs.count()
 
 
+def test_packing_binds_documents(spark):
+    docs = stage(spark.createDataFrame([(n, "tiny", "en", "s", 4) for n in range(300)], "doc_id long, text string, lang string, source string, n_chars long"), "tiny")
+    out = corpus_pipeline.packing(spark, docs, "").collect()
+    assert len(out) == 300 and max(Counter(r.sequence_id for r in out).values()) == 64
+
+
 def test_large_alphabet_stays(spark):
     """A language with thousands of letters and over 100,000 grams is kept as one with few; noise goes."""
     rng = np.random.default_rng(4)
