@@ -57,10 +57,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = learn_filters(docs)
     if not filters.languages:
         return docs.where(F.col("text").isNotNull())
-    least = {lang: LEAST_KNOWN * usual for lang, usual in zip(filters.languages, filters.usual.tolist(), strict=True)}
+    # A literal map, not a Python function, which would start more workers beside those of identify.
+    least = F.create_map(*(F.lit(x) for pair in zip(filters.languages, (LEAST_KNOWN * filters.usual).tolist(), strict=True) for x in pair))
     judged = identify(docs, filters, prefix=OWN)
-    enough = F.udf(lambda lang, known: known >= least[lang], "boolean")
-    return judged.where((F.col(f"{OWN}pred") != UNKNOWN) & enough(f"{OWN}pred", f"{OWN}known")).select(*docs.columns)
+    enough = F.col(f"{OWN}known") >= F.element_at(least, F.col(f"{OWN}pred"))
+    return judged.where((F.col(f"{OWN}pred") != UNKNOWN) & enough).select(*docs.columns)
 
 
 @tidy

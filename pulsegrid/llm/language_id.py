@@ -74,9 +74,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(letters) < 3:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), lettered
     large = _large_scripts()[letters]
-    around = np.where(large, np.uint64(BLANK), letters)
+    around = np.where(large, np.uint64(BLANK), letters) if large.any() else letters
     found = (around[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | around[2:]
-    found = np.where(large[1:-1], letters[1:-1], found)
+    np.copyto(found, letters[1:-1], where=large[1:-1])
     inside = letters[1:-1] != BLANK  # grams with a blank in the middle would join words, and texts
     return found[inside], rows[1:-1][inside] - 1, lettered
 
