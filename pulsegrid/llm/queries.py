@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import byte_bpe
 from pulsegrid.llm.common import read_table
+from pulsegrid.llm.conversation_repair import damage_and_repair
 from pulsegrid.llm.fingerprints import compare_with_next
 from pulsegrid.llm.graph_search import nearest
 from pulsegrid.llm.language_id import identify, learn_filters
@@ -16,12 +18,12 @@ from pulsegrid.llm.ngram_join import Measure, ngram_join
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.sentencepiece_spans import encode_digests
 from pulsegrid.llm.sharding import assign_shards
-from pulsegrid.llm.sql import LINE_DEDUP_SQL, NGRAM_JOIN_SQL, SHARDS_SQL
+from pulsegrid.llm.sql import LINE_DEDUP_SQL, NGRAM_JOIN_SQL, REPAIR_SQL, SHARDS_SQL
 from pulsegrid.llm.token_files import token_positions, write_token_files
 from pulsegrid.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
 SHARDS = 40
-WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_TOKENIZER, PIECE_MODEL, BYTE_RANKS = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 RECORD_END, PACK_END = 2, 0
 
 URL_RULES = [
@@ -98,6 +100,16 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by byte ranks, and decoded again."""
+    return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS), with_ids=False, keep=["doc_id"])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by rule, and the cheapest repair of each."""
+    return damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_line_dedup": op2_line_dedup,
@@ -109,10 +121,13 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_nearest": op10_nearest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op1_shards": SHARDS_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
     "op3_ngram_join": NGRAM_JOIN_SQL,
+    "op13_conversation_repair": REPAIR_SQL,
 }

@@ -80,3 +80,96 @@ reach AS (SELECT a AS doc_id, a AS other FROM linked UNION SELECT r.doc_id, b.b
 SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.other), s.doc_id) AS component_id
 FROM sizes s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
 """
+
+
+def _more(state: str, cost: int | str, letter: str) -> str:
+    """A state's text, cost in twelve digits and then the audit, after one more edit; the least text is the best."""
+    return f"lpad((left({state}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({state}, 13) || '{letter}'"
+
+
+def _least(*choices: str) -> str:
+    return f"least({', '.join(choices)})"
+
+
+def _when(condition: str, choice: str) -> str:
+    return f"CASE WHEN {condition} THEN {choice} END"
+
+
+# State 0: at the start, 1: after s, 2: after u, 3: after a. Inserts before a row, then its edit.
+_INSERTED = (
+    "SELECT conv_id, k, c0, c1, c2, least(c3, " + _more("c2", 5, "I") + ") AS c3 FROM ("
+    "SELECT conv_id, k, v0 AS c0, v1 AS c1, " + _least("v2", *(_more(f"v{p}", 5, "I") for p in (0, 1, 3))) + " AS c2, v3 AS c3 FROM {table})"
+)
+_EXTRA = "CASE WHEN r.truncated THEN 5 ELSE 0 END"
+_STAYS = "NOT r.gone"
+_NEXT = ", ".join(
+    [
+        _more("c0", 2, "D") + " AS v0",
+        _least(_more("c1", 2, "D"), _when(f"{_STAYS} AND r.initial = 's'", _more("c0", _EXTRA, "K"))) + " AS v1",
+        _least(
+            _more("c2", 2, "D"),
+            *(_when(f"{_STAYS} AND r.initial = 'u'", _more(f"c{p}", _EXTRA, "K")) for p in (0, 1, 3)),
+            *(_when(_STAYS, _more(f"c{p}", f"1 + {_EXTRA}", "R")) for p in (0, 1, 3)),
+        )
+        + " AS v2",
+        _least(_more("c3", 2, "D"), _when(f"{_STAYS} AND r.initial = 'a'", _more("c2", _EXTRA, "K")), _when(_STAYS, _more("c2", f"1 + {_EXTRA}", "R"))) + " AS v3",
+    ]
+)
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '.'),
+                          lambda h: ('0x' || h)::BIGINT) AS h
+    FROM conversations),
+coded AS (
+    SELECT *, xor(list_reduce(list_transform(range(len(h)), lambda i: h[i + 2 - 2 * (i % 2)]),
+                              lambda a, x: xor(a >> 4, {CRC_TABLE}[(xor(a, x) & 15) + 1]), 4294967295), 4294967295) % 20 AS kind
+    FROM keyed),
+planted AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM coded WHERE kind <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, left(role, 1) AS initial FROM planted),
+marked AS (
+    SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+           NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut_off,
+           k > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed),
+r AS (SELECT *, again AND NOT blank AS duplicate, blank OR again AS gone, cut_off AND NOT blank AND NOT again AS truncated FROM marked),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+           count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(k) AS n
+    FROM r GROUP BY conv_id),
+states AS (
+    SELECT conv_id, 0::BIGINT AS k, '000000000000' AS v0, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, NULL::VARCHAR AS v3 FROM counts
+    UNION ALL
+    SELECT r.conv_id, r.k, {_NEXT} FROM ({_INSERTED.format(table='states')}) c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.k = c.k + 1),
+closed AS ({_INSERTED.format(table='states')}),
+ends AS (
+    SELECT c.conv_id, least(c0, c3) AS found FROM closed c JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id AND n.n = c.k),
+letters AS (
+    SELECT conv_id, generate_subscripts(string_split(substr(found, 13), ''), 1) AS j, unnest(string_split(substr(found, 13), '')) AS edit
+    FROM ends WHERE len(found) > 12),
+edits AS (
+    SELECT *, sum((edit <> 'I')::INTEGER) OVER o AS k, sum((edit <> 'D')::INTEGER) OVER o AS place
+    FROM letters WINDOW o AS (PARTITION BY conv_id ORDER BY j)),
+kept AS (
+    SELECT e.conv_id, e.j, e.edit, e.place, r.role, CASE WHEN e.edit = 'I' THEN '' ELSE r.text END AS text,
+           max((e.place = 1 AND e.edit = 'K' AND r.initial = 's')::INTEGER) OVER (PARTITION BY e.conv_id) AS led
+    FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k WHERE e.edit <> 'D'),
+rebuilt AS (
+    SELECT conv_id, sha256(string_agg(
+               CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS digest
+    FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(left(e.found, 12)::BIGINT, 0) AS cost,
+       coalesce(substr(e.found, 13), '') AS audit, coalesce(b.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN rebuilt b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
