@@ -16,9 +16,10 @@ from pulsegrid.llm.language_id import identify, learn_filters
 from pulsegrid.llm.line_dedup import dedup_lines
 from pulsegrid.llm.ngram_join import Measure, ngram_join
 from pulsegrid.llm.packing import pack_documents
+from pulsegrid.llm.ranked_search import search
 from pulsegrid.llm.sentencepiece_spans import encode_digests
 from pulsegrid.llm.sharding import assign_shards
-from pulsegrid.llm.sql import LINE_DEDUP_SQL, NGRAM_JOIN_SQL, REPAIR_SQL, SHARDS_SQL
+from pulsegrid.llm.sql import LINE_DEDUP_SQL, NGRAM_JOIN_SQL, RANKED_SEARCH_SQL, REPAIR_SQL, SHARDS_SQL
 from pulsegrid.llm.token_files import token_positions, write_token_files
 from pulsegrid.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
@@ -100,6 +101,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item, among all documents."""
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by byte ranks, and decoded again."""
     return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS), with_ids=False, keep=["doc_id"])
@@ -121,6 +127,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_nearest": op10_nearest,
+    "op11_ranked_search": op11_ranked_search,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -129,5 +136,6 @@ LLM_ORACLES: dict[str, str] = {
     "op1_shards": SHARDS_SQL,
     "op2_line_dedup": LINE_DEDUP_SQL,
     "op3_ngram_join": NGRAM_JOIN_SQL,
+    "op11_ranked_search": RANKED_SEARCH_SQL,
     "op13_conversation_repair": REPAIR_SQL,
 }

@@ -134,9 +134,11 @@ planted AS (
 placed AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, left(role, 1) AS initial FROM planted),
 marked AS (
-    SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
-           NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut_off,
+           NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut_off,
            k > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial NOT IN ('su', 'ua', 'au') AS illegal
     FROM placed),
 r AS (SELECT *, again AND NOT blank AS duplicate, blank OR again AS gone, cut_off AND NOT blank AND NOT again AS truncated FROM marked),
@@ -173,3 +175,25 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN rebuilt b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+
+def _terms(table: str, row: str) -> str:
+    folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {row}, unnest(regexp_extract_all({folded}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}"
+
+
+RANKED_SEARCH_SQL = f"""
+WITH terms AS ({_terms('documents', 'doc_id')}),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM counted GROUP BY ALL), whole),
+asked AS (SELECT item_id, term, count(*) AS q FROM ({_terms('benchmark', 'item_id')}) GROUP BY ALL),
+scores AS (
+    SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // len))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN sizes USING (doc_id), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
