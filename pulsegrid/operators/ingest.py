@@ -118,11 +118,22 @@ def insert_if_absent(
     return dedupe_first(batch.join(stored, list(keys), "left_anti"), keys, arrival, numbered)
 
 
+# Days of a batch that are named one by one; a batch that touches more is taken as a span.
+NAMED_DAYS = 1000
+
+
 def recent_target(target: DataFrame, batch: DataFrame, column: str = "timestamp") -> DataFrame:
-    """Part of a date-partitioned table that a batch can collide with, as a static partition filter."""
-    span = batch.agg(F.to_date(F.min(column)).alias("a"), F.to_date(F.max(column)).alias("b")).first()
-    if span is None or span["a"] is None:
+    """Part of a date-partitioned table that a batch can collide with, as a static partition filter.
+
+    Only the batch's own days are opened: one reading from long ago does not open every day since.
+    """
+    day = F.to_date(column).alias("day")
+    days = [r["day"] for r in batch.select(day).where("day IS NOT NULL").distinct().limit(NAMED_DAYS + 1).collect()]
+    if not days:
         return target.limit(0)
+    if len(days) <= NAMED_DAYS:
+        return target.where(F.col("event_date").isin(days))
+    span = batch.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
     return target.where(F.col("event_date").between(F.lit(span["a"]), F.lit(span["b"])))
 
 

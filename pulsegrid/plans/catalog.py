@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas
@@ -18,6 +19,7 @@ from pulsegrid.session import broadcast_if_small, shared_folder
 from pulsegrid.sources import tables
 from pulsegrid.sources.adapters import lineitem_readings
 from pulsegrid.streaming import jobs
+from pulsegrid.streaming.queue_source import drain_queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 SERIES = ("service", "metric")
@@ -640,9 +642,17 @@ def _fitted(w: World) -> tuple[DataFrame, DataFrame]:
 
 
 def _looked_up(readings: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Scores by SQL functions alone: the step of a reading is the number of edges below it."""
+    """Scores by SQL functions alone: the step of a reading is the number of edges below it, found by halving."""
     joined = readings.join(broadcast_if_small(surfaces.select("model_id", "edges", "scores", "offset")), "model_id")
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        right = (at["low"] < at["high"]) & (F.get("edges", middle) < F.col("value"))
+        low = F.when(right, middle + 1).otherwise(at["low"])
+        return F.struct(low.alias("low"), F.when(right, at["high"]).otherwise(F.least(middle, at["high"])).alias("high"))
+
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size("edges") + 1)).cast("int"))
+    below = F.aggregate(halvings, F.struct(F.lit(0).alias("low"), F.size("edges").alias("high")), halve)["low"]
     return joined.select("event_id", *SERIES, (F.get("scores", below) - F.col("offset")).alias("expected"))
 
 
@@ -851,6 +861,47 @@ def stream_ingest(w: World) -> DataFrame:
     return _stored_metrics(w, _ingested(w))
 
 
+@query
+def ingest_torn_write(w: World) -> DataFrame:
+    """The storage fails twice, each time with half of the rows written: every event is there once all the same."""
+    failures = iter((True, True))
+
+    def torn(rows: DataFrame, path: str) -> None:
+        if next(failures, False):
+            tables.write_metrics_table(rows.where(F.crc32("event_id") % 2 == 0), path)
+            raise OSError("the storage went away")
+        tables.write_metrics_table(rows, path)
+
+    store = _ingested(w, write=torn)
+    jobs.compact_metrics(w.spark, store, "one")
+    return _stored_metrics(w, store)
+
+
+@query
+def stream_queue_source(w: World) -> DataFrame:
+    """Messages from a queue in batches of a fourth, broken off once after storing and before acknowledging."""
+    folder, breaks = new_folder(w), iter((False, True))
+    store = jobs.Store(f"{folder}/store")
+    store.prepare(w.spark)
+    w.messages.select("data").repartition(5, "data").write.text(f"{folder}/queue")
+    ingest_one = jobs.ingest_batch(store)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        ingest_one(batch, batch_id)
+        if next(breaks, False):
+            raise RuntimeError("broken off")
+
+    queue, size = f"{folder}/queue", -(-w.messages.count() // 4)
+    try:
+        drain_queue(w.spark, queue, each, f"{folder}/checkpoint", size)
+    except StreamingQueryException:
+        drain_queue(w.spark, queue, each, f"{folder}/checkpoint", size)
+    drain_queue(w.spark, queue, each, f"{folder}/other", size)  # without the checkpoint nothing acknowledged comes again
+    counts = store.load(w.spark, "accounting").agg(*[F.sum(c).alias(c) for c in ("received", "rejected", "inserted", "skipped")])
+    stored = store.metrics(w.spark).agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("event_id").alias("ids"))
+    return _figures(counts).unionByName(_figures(stored))
+
+
 @query
 def stream_ingest_restart(w: World) -> DataFrame:
     """The same messages from a second stream with a checkpoint of its own: nothing is replaced, nothing stored twice."""

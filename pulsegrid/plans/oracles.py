@@ -457,6 +457,10 @@ oracle("stream_ingest_restart", "msg", """
     SELECT unnest(['received', 'rejected', 'inserted', 'skipped', 'stored', 'ids', 'quarantined']) AS what,
            unnest([2 * n, 2 * bad, ids, 2 * (n - bad) - ids, ids, ids, 2 * bad]) AS n
     FROM (SELECT count(*) AS n, count(reason) AS bad, count(DISTINCT event_id) FILTER (reason IS NULL) AS ids FROM msg)""")
+oracle("stream_queue_source", "msg", """
+    SELECT unnest(['received', 'rejected', 'inserted', 'skipped', 'stored', 'ids']) AS what, unnest([n, bad, ids, n - bad - ids, ids, ids]) AS n
+    FROM (SELECT count(*) AS n, count(reason) AS bad, count(DISTINCT event_id) FILTER (reason IS NULL) AS ids FROM msg)""")
+oracle("ingest_torn_write", "msg", "SELECT DISTINCT event_id, service, metric, value, timestamp FROM msg WHERE reason IS NULL")
 oracle("dead_letters", "msg", """
     SELECT unnest(['kept', 'ids', 'inserted', 'dead_lettered']) AS what, unnest([ids, ids, 0, ids]) AS n
     FROM (SELECT count(DISTINCT event_id) FILTER (reason IS NULL) AS ids FROM msg)""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -20,7 +22,7 @@ from pulsegrid.operators.scoring import LoadedSurfaces, load_surfaces
 from pulsegrid.plans.detection import detect
 from pulsegrid.session import broadcast_if_small, pin_small
 from pulsegrid.sources.tables import (
-    ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
+    dated, ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
 )
 
 SERIES = ("service", "metric")
@@ -147,7 +149,24 @@ class Store:
         return load_runs(spark, self.root, table, TABLES[table])
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        return read_metrics_table(spark, self.path("metrics"))
+        """Rows appended directly and those of published attempts; files that no commit row names do not exist for readers."""
+        direct = read_metrics_table(spark, self.path("metrics"))
+        commits = self.load(spark, "published")
+        gone = commits.where(F.col("replaces").isNotNull()).select(F.col("replaces").alias("attempt"))
+        live = commits.select("attempt").distinct().join(gone, "attempt", "left_anti")
+        named = [r["attempt"] for r in live.collect()]  # one a batch since the last compaction
+        return direct.unionByName(self.attempts(spark, named)) if named else direct
+
+    def attempts(self, spark: SparkSession, named: list[str]) -> DataFrame:
+        """Rows of some attempts; the filter is on a partition column, so no other attempt is opened."""
+        schema = T.StructType([*dated(schemas.METRIC_EVENT).fields, T.StructField("attempt", T.StringType())])
+        rows = spark.read.schema(schema).parquet(self.path("metrics_published"))
+        return rows.where(F.col("attempt").isin(named)).drop("attempt")
+
+    def attempt_of(self, spark: SparkSession, run_id: str) -> str | None:
+        """The attempt that a run has published."""
+        found = self.runs(spark, "published").where(F.col("run_id") == run_id).where(F.col("replaces").isNull()).first()
+        return found["attempt"] if found else None
 
 
 QUARANTINE = T.StructType(
@@ -172,8 +191,11 @@ SLOT_PART = T.StructType(
     [T.StructField(name, T.StringType()) for name in SERIES]
     + [T.StructField(name, T.LongType()) for name in ("slot", "first_us", "last_us", "n")]
 )
+PUBLISHED = T.StructType([T.StructField(name, T.StringType()) for name in ("attempt", "replaces")])
 WRITE_ATTEMPTS = 3
+FIRST_PAUSE = 0.2  # seconds before the second attempt; each further pause is twice as long
 TABLES = {
+    "published": PUBLISHED,
     "cycles": CYCLES, "cycle_batches": TAKEN, "dead_letters": DEAD, "rollup_parts": ROLLUP_PART, "slot_parts": SLOT_PART, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
     "fired": FIRED, "quarantine": QUARANTINE, "accounting": COUNTS, "score_surface": schemas.SCORE_SURFACE,
     "model_versions": schemas.MODEL_VERSION, "model_pointers": schemas.POINTER_EVENT,
@@ -267,22 +289,56 @@ def dedup_batch(store: Store) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def _write_or_give_up(write: Callable[[DataFrame, str], None], rows: DataFrame, path: str) -> str | None:
-    """None when written, else the error of the last of some attempts."""
+def _commit(spark: SparkSession, store: Store, run_id: str, attempt: str, replaces: Sequence[str] = ()) -> None:
+    """One small file makes an attempt's rows visible, and those of the attempts it replaces invisible, at once."""
+    rows = [(attempt, None), *((attempt, old) for old in replaces)]
+    save_run(spark.createDataFrame(rows, PUBLISHED).coalesce(1), store.root, "published", run_id)
+
+
+def _publish(write: Callable[[DataFrame, str], None], rows: DataFrame, store: Store, run_id: str) -> str | None:
+    """Append rows once: written under the name of an attempt, then named by a commit row. Error text if all attempts fail.
+
+    What a failed or lost attempt left behind is never read, whole or torn. Between attempts the pause doubles.
+    """
     error = None
-    for _ in range(WRITE_ATTEMPTS):
+    for n in range(WRITE_ATTEMPTS):
+        attempt = uuid.uuid4().hex
+        if n:
+            time.sleep(FIRST_PAUSE * 2 ** (n - 1))
         try:
-            write(rows, path)
-            return None
+            write(rows, f"{store.path('metrics_published')}/attempt={attempt}")
         except Exception as failure:  # whatever the storage says; the events are kept as dead letters
             error = f"{type(failure).__name__}: {str(failure)[:500]}"
+            continue
+        _commit(rows.sparkSession, store, run_id, attempt)
+        return None
     return error
 
 
+def compact_metrics(spark: SparkSession, store: Store, run_id: str) -> int:
+    """Merge the attempts of all completed batches into one, ordered by day and series; returns how many were merged.
+
+    A batch counts as complete by its accounting row, so one that will be repeated keeps its own attempt. Readers see
+    either the old attempts or the new one. A compaction that broke off has published nothing.
+    """
+    complete = store.runs(spark, "accounting").select("run_id").distinct()
+    commits = store.runs(spark, "published")
+    gone = commits.where(F.col("replaces").isNotNull()).select(F.col("replaces").alias("attempt"))
+    merged = commits.where(F.col("run_id").startswith("m-")).select("attempt").distinct()
+    done = commits.join(complete, "run_id", "left_semi").select("attempt").unionByName(merged).distinct().join(gone, "attempt", "left_anti")
+    old = [r["attempt"] for r in done.collect()]  # one a batch since the last compaction
+    if len(old) > 1:
+        attempt = uuid.uuid4().hex
+        write_metrics_table(store.attempts(spark, old).drop("event_date"), f"{store.path('metrics_published')}/attempt={attempt}")
+        _commit(spark, store, f"m-{run_id}", attempt, old)
+    return len(old)
+
+
 def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_metrics_table) -> Callable[[DataFrame, int], None]:
     """Micro-batch: quarantine bad messages, append new events, score them, append new anomalies.
 
-    A replayed batch finds its rows stored and adds nothing; a failed scoring fails the batch, so it
+    New events are published once (see ``_publish``): a repeated batch takes what it has published as its own, so its
+    rollup parts and counts are the same as the first time. A failed scoring fails the batch, so it
     is retried instead of being lost. Events that cannot be written go to the dead letters with the
     error, are counted, and are scored like the others. The registry is read for every batch, so new
     models are used at once; their surfaces are loaded again only when the current models changed.
@@ -298,8 +354,12 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
         parsed = parse_events(_in_arrival_order(batch)).persist()
         valid, rejected = validate_events(parsed)
         events = valid.select(*EVENT_COLUMNS, "arrival")
-        target = recent_target(store.metrics(spark), events)
-        fresh = insert_if_absent(target, events, ["timestamp", "event_id"], ["arrival"], small_batch=True).drop("arrival").persist()
+        published = store.attempt_of(spark, run_id)
+        if published:
+            fresh = store.attempts(spark, [published]).drop("event_date").persist()
+        else:
+            target = recent_target(store.metrics(spark), events)
+            fresh = insert_if_absent(target, events, ["timestamp", "event_id"], ["arrival"], small_batch=True).drop("arrival").persist()
         events = events.drop("arrival")
         current, rows = pin_small(current_models(store.load(spark, "model_pointers")).select(*SERIES, "model_id"))
         surfaces = load_models(spark, store.root, schemas.SCORE_SURFACE)
@@ -319,12 +379,11 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
             save_run(new.select(schemas.ANOMALY.names), store.root, "anomalies", run_id)
             save_run(slot_counts(new, V.GROUPING_SECONDS), store.root, "slot_parts", run_id)
             error = None
-            if inserted:
-                # The parts come first: a batch repeated after its readings were stored finds none of them new.
-                save_run(rollup_parts(fresh), store.root, "rollup_parts", run_id)
-                error = _write_or_give_up(write, fresh, store.path("metrics"))
+            if inserted and not published:
+                error = _publish(write, fresh, store, run_id)
+            # The parts follow from what is published, so a repeated batch writes the same.
+            save_run(rollup_parts(fresh.limit(0) if error else fresh), store.root, "rollup_parts", run_id)
             if error:
-                save_run(rollup_parts(fresh.limit(0)), store.root, "rollup_parts", run_id)
                 save_run(fresh.withColumn("error", F.lit(error)).select(DEAD.names), store.root, "dead_letters", run_id)
             _account(parsed, 0 if error else inserted, inserted if error else 0, store, batch_id, run_id)
         finally:
