@@ -34,7 +34,7 @@ SLOTS_PER_GRAM = 16
 BLANK = 0x20
 # Scripts with thousands of letters: Han, Yi, Hangul, cuneiform, hieroglyphs, Tangut and Khitan, the Han supplements.
 LARGE_SCRIPTS = ((0x3400, 0x4DBF), (0x4E00, 0xA48F), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0x12000, 0x1467F), (0x17000, 0x18DFF), (0x20000, 0x3FFFF))
-TEXT_BYTES = 2 * 1024 * 1024  # of a slice; its grams take about fifty times as much
+TEXT_BYTES = 1024 * 1024  # of a slice; its grams take about fifty times as much
 
 
 @lru_cache(maxsize=1)

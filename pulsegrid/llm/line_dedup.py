@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import BROADCAST_ROWS, slices, stage
+from pulsegrid.llm.common import BROADCAST_ROWS, drop_staged, slices, stage, staged_into
 
 # A chunk ends after a line whose rolling hash is a multiple of this, so short lines form chunks of about as many.
 DIVISOR = 4
@@ -114,6 +114,21 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
 
+def _removed(rows: DataFrame) -> DataFrame:
+    """uid, no, n of the chunks that go: of equal chunks all but the first, compared byte by byte."""
+    hashes = rows.select(F.explode("hashes").alias("hash")).where(F.col("hash").isNotNull())
+    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash")
+    id_type = rows.schema["id"].dataType.simpleString()
+    repeated = stage(repeated, "hashes")
+    parts = rows.select("uid", "id", "text").mapInArrow(_parts(_marks(repeated)), f"uid long, id {id_type}, no int, n long, hash binary, part string")
+    candidates = stage(parts.join(repeated, "hash"), "repeated")
+    place = F.struct("id", "uid", "no")
+    firsts = candidates.groupBy("hash", "part").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    firsts = firsts.select("hash", F.col("part").alias("same"), "first")
+    removed = candidates.join(firsts, "hash").where((F.col("part") == F.col("same")) & (place != F.col("first")))
+    return removed.select("uid", "no", "n")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
     """All columns of every row, the text without repeated chunks, and n_lines, n_chunks, removed_lines, removed_chunks.
 
@@ -138,17 +153,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Stored once, so that row numbers cannot change when a task is repeated; narrow steps read only the hashes.
     rows = stage(numbered.mapInArrow(_hashed, f"{schema}, lines long, hashes array<binary>"), "lines")
 
-    hashes = rows.select(F.explode("hashes").alias("hash")).where(F.col("hash").isNotNull())
-    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    repeated = stage(repeated, "hashes")
-    parts = rows.select("uid", "id", "text").mapInArrow(_parts(_marks(repeated)), f"uid long, id {id_type}, no int, n long, hash binary, part string")
-    candidates = stage(parts.join(repeated, "hash"), "repeated")
-    place = F.struct("id", "uid", "no")
-    firsts = candidates.groupBy("hash", "part").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    firsts = firsts.select("hash", F.col("part").alias("same"), "first")
-    removed = candidates.join(firsts, "hash").where((F.col("part") == F.col("same")) & (place != F.col("first")))
-    removed = stage(removed.select("uid", "no", "n"), "removed")
+    inner: list[str] = []
+    with staged_into(inner):
+        removed = _removed(rows)
+    removed = stage(removed, "removed")
+    drop_staged(docs.sparkSession, inner)  # tables with text that only led to the removed chunks
     gone = removed.groupBy("uid").agg(F.collect_list("no").alias("gone"), F.sum("n").alias("gone_lines"))
     gone = F.broadcast(gone) if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import mix64, slices, small_or_not, stage
+from pulsegrid.llm.common import drop_staged, mix64, slices, small_or_not, stage, staged_into
 from pulsegrid.llm.components import components
 
 GROWTH = 1.3  # sizes of a band's own documents span this factor
@@ -393,9 +393,14 @@ def ngram_join(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc
 def keep_one(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one of each component left: the one with the least id, all columns as they are.
 
-    Rows without words all stay. Of rows alike in id and text one stays.
+    Rows without words, null texts among them, all stay. Of rows alike in id and text one stays. An empty table stays
+    empty. No column is added, and those of ``docs`` may have any name but ``__id``, ``__hash``, ``__kept`` and ``__component``.
     """
-    joined = stage(ngram_join(docs, measure, id_col, text_col).select(F.col(id_col).alias("__id"), "n_shingles", "component_id", F.col("text_hash").alias("__hash")), "components")
+    own: list[str] = []
+    with staged_into(own):
+        joined = ngram_join(docs, measure, id_col, text_col)
+    joined = stage(joined.select(F.col(id_col).alias("__id"), "n_shingles", "component_id", F.col("text_hash").alias("__hash")), "components")
+    drop_staged(docs.sparkSession, own)  # the tables of the join have given their rows
     worded = joined.where(F.col("n_shingles") > 0)
     # A component whose least id has several texts keeps one of them.
     least = F.col("__id").eqNullSafe(F.col("component_id"))

@@ -38,6 +38,8 @@ def test_stages(spark):
     rows = [(r.doc_id, r.text) for r in second.collect()]
     groups = {c for _, n, c in groups_by_hand(rows, corpus_pipeline.NEAR) if n}
     assert set(pairs(third)) <= set(rows) and third.count() == len(groups) + sum(not grams(t, 5) for _, t in rows)
+    kept = {i for i, t in pairs(third) if grams(t, 5)}
+    assert kept == groups  # of each group the row with its least id
 
     last = corpus_pipeline.packing(spark, third, "").collect()
     assert {r.doc_id for r in last} == {i for i, _ in pairs(third)}
@@ -52,6 +54,18 @@ def test_run_keeps_clean_documents(spark):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.select("doc_id").distinct().count() > 0.8 * docs.count()
 
 
+def test_runs_stand_side_by_side(spark):
+    """Each run owns its result, and the session's settings stay as they were."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    two = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert pieces(one) == pieces(two) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+def pieces(df):
+    return Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
+
+
 def test_packing_binds_documents(spark):
     docs = stage(spark.createDataFrame([(n, "tiny", "en", "s", 4) for n in range(300)], "doc_id long, text string, lang string, source string, n_chars long"), "tiny")
     out = corpus_pipeline.packing(spark, docs, "").collect()
