@@ -6,8 +6,6 @@ as Parquet and read again as the next stage's docs. All but the last return the
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,27 +25,7 @@ NEAR = Measure(words=5, percent=80)
 PACK_LIMITS = Limits(documents=64)
 OWN = "__stage_"  # stands before columns that a stage adds for itself
 
-# Rows of a batch between the JVM and Python: some megabytes of texts, so that workers of several stages fit beside
-# each other in an executor.
-BATCH_ROWS = 1000
-
-_left: list[str] = []  # tables that the operator of the last stage left behind
-
-
-def tidy(function):
-    """A stage begins when its predecessor's result is written: what that one had staged can go."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_staged(spark, _left)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        with staged_into(_left):
-            return function(spark, docs, sf_dir)
-
-    return run_stage
-
 
-@tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those in no learned language.
 
@@ -64,7 +42,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col(f"{OWN}pred") != UNKNOWN) & enough).select(*docs.columns)
 
 
-@tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; a document of which all was repeated elsewhere goes. ``n_chars`` follows the text."""
     cleaned = dedup_lines(docs, prefix=OWN)
@@ -75,15 +52,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*docs.columns)
 
 
-@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays, the one with the least id: five-word shingles, similarity 0.8.
+
+    Null texts and texts without words are in no group and stay; of rows alike in id and text one stays. An empty table
+    stays empty. All columns are kept as they are, whatever their names.
+    """
     return keep_one(docs, NEAR)
 
 
-@tidy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens and 64 pieces."""
+    """The pieces of all documents with their places in sequences of at most 2048 tokens and 64 pieces.
+
+    A null or empty text is the one piece that holds the end token; repeated rows are packed each; an empty table has no
+    pieces. Only id and text are read, so other columns' names cannot clash with those of the pieces.
+    """
     return pack_documents(docs, vocabulary(WORD_TOKENIZER), PACK_END, PACK_LIMITS)
 
 
@@ -94,8 +77,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents, each written and read again; the result is a stored table of its own.
+
+    What a stage leaves in the shared folder goes once its result is written, and so does the table it read. Nothing is
+    kept outside the call, so several runs stand side by side, and settings of the session are not touched.
+    """
+    docs, read = read_table(spark, sf_dir, "documents"), []
+    for name, function in STAGES:
+        left: list[str] = []
+        written: list[str] = []
+        try:
+            with staged_into(left):
+                made = function(spark, docs, sf_dir)
+            with staged_into(written):
+                docs = stage(made, name)
+        finally:
+            drop_staged(spark, left)
+            drop_staged(spark, read)
+        read = written
+    return docs
