@@ -240,6 +240,12 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, settin
         pools = stage(rows.repartition("query").sortWithinPartitions("query").mapInArrow(grow, pool_type), "pools")
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row divided by a power of two near its largest component: same directions, and squares that cannot overflow."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, settings: GraphSettings = GraphSettings(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, ``id_col``, score: the ``k`` nearest other rows found for each query row, ties to the smaller id.
 
@@ -281,7 +287,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, settings: GraphSet
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("v", "w"))
+                a, b = (_scaled(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1)) for c in ("v", "w"))
                 # Summed row by row, so equal vectors get equal scores.
                 value = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
                 yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(value)], names=["query", "id", "score"])
