@@ -21,6 +21,8 @@ BLOCK, ALLOW = "block", "allow"
 # The trees are fitted on at most about this many labelled URLs, drawn by hash; statistics and verdicts use all.
 TRAINING_ROWS = 200_000
 SMOOTHING = 5.0
+PRIOR = 0.5  # block rate of a key without labels
+FOLDS = 5  # of labels; a labelled row's statistics come from the other folds
 STATISTICS = ("suffix1", "suffix2", "section")
 LEXICAL = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "upper_ratio", "entropy", "parameters", "hyphens", "has_fragment", "longest_digits",
@@ -92,30 +94,56 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 def with_statistics(rows: DataFrame) -> DataFrame:
-    """Replaces each statistics key by its smoothed block rate among labelled rows, a labelled row's own label left out."""
+    """Replaces each statistics key by its smoothed block rate among labelled rows.
+
+    A labelled row takes the rate of the labels in the other folds, so neither its own label nor those of copies of its
+    URL are in it; other rows take the rate of all labels. Folds are dealt by the URL's hash. Of a key all labels go
+    into one row, combined before the shuffle.
+    """
+    rows = rows.withColumn("__fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
     labelled = rows.where(F.col("label").isNotNull())
-    prior = F.lit(0.5)
     for key in STATISTICS:
-        rates = labelled.groupBy(key).agg(F.count("*").alias("__n"), F.sum("label").alias("__blocked"))
+        of_fold = [F.when(F.col("__fold") == fold, F.col("label")) for fold in range(FOLDS)]
+        rates = labelled.groupBy(key).agg(
+            F.count("*").alias("__n"),
+            F.sum("label").alias("__blocked"),
+            F.array(*(F.count(x) for x in of_fold)).alias("__n_of"),
+            F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in of_fold)).alias("__blocked_of"),
+        )
         rows = rows.join(rates, key, "left")
-        own = F.coalesce(F.col("label"), F.lit(0.0))
-        others = F.coalesce(F.col("__n"), F.lit(0)) - F.when(F.col("label").isNotNull(), 1).otherwise(0)
-        rate = (F.coalesce(F.col("__blocked"), F.lit(0.0)) - own + SMOOTHING * prior) / (others + SMOOTHING)
-        rows = rows.withColumn(key, rate).drop("__n", "__blocked")
-    return rows
+        own = F.col("label").isNotNull()
+        known = F.coalesce("__n", F.lit(0)) - F.when(own, F.get("__n_of", F.col("__fold"))).otherwise(0)
+        blocked = F.coalesce("__blocked", F.lit(0.0)) - F.when(own, F.get("__blocked_of", F.col("__fold"))).otherwise(0.0)
+        rows = rows.withColumn(key, (blocked + SMOOTHING * PRIOR) / (known + SMOOTHING)).drop("__n", "__blocked", "__n_of", "__blocked_of")
+    return rows.drop("__fold")
+
+
+def training_rows(rows: DataFrame, kinds: dict[float, int], max_rows: int) -> DataFrame:
+    """All labelled rows, or of each label that has more than half of ``max_rows`` so many, by the hash of a row number.
+
+    Rows are drawn one by one, so copies of one URL neither fill the sample nor fall out of it together.
+    """
+    if "__row" not in rows.columns:
+        rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    bound, drawn = max(1, max_rows // 2), None
+    for label, n in sorted(kinds.items()):
+        own = rows.where(F.col("label") == label).select("features", "label", "__row")
+        if sum(kinds.values()) > max_rows and n > bound:
+            own = own.orderBy(F.xxhash64("__row"), "__row").limit(bound)
+        drawn = own if drawn is None else drawn.unionByName(own)
+    return drawn.select("features", "label")
 
 
 def fit_trees(rows: DataFrame, max_rows: int = TRAINING_ROWS, seed: int = 7) -> GBTClassificationModel | str:
-    """Boosted trees from rows with a label; a fixed verdict where there is nothing to tell apart.
+    """Boosted trees from at most ``max_rows`` rows with a label; a fixed verdict where there is nothing to tell apart.
 
     Without any label everything is allowed; with one kind of label that verdict holds for all.
     """
     kinds = {r.label: r["count"] for r in rows.where(F.col("label").isNotNull()).groupBy("label").count().collect()}
     if len(kinds) < 2:
         return BLOCK if 1.0 in kinds else ALLOW
-    share = min(1.0, max_rows / sum(kinds.values()))
-    drawn = rows.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, seed=seed).fit(drawn.select("features", "label"))
+    drawn = training_rows(rows, kinds, max_rows)
+    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, seed=seed).fit(drawn)
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", max_rows: int = TRAINING_ROWS) -> DataFrame:
@@ -135,7 +163,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
         matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict).alias("ruled"),
     )
     labelled = ruled.withColumn("label", F.when(F.col("ruled") == BLOCK, 1.0).when(F.col("ruled") == ALLOW, 0.0))
-    rows = stage(with_statistics(with_features(labelled)), "urls")
+    rows = stage(with_statistics(with_features(labelled)).withColumn("__row", F.monotonically_increasing_id()), "urls")
     assembled = VectorAssembler(inputCols=[*LEXICAL, *STATISTICS], outputCol="features").transform(rows)
     model = fit_trees(assembled, max_rows)
     if isinstance(model, str):

@@ -173,6 +173,35 @@ def test_url_trees_on_held_out_labels(spark):
     assert len(judged) > 300 and right >= 0.97
 
 
+def test_own_labels_are_not_in_the_rates(spark):
+    """Rows of one URL have one rate, whatever their own labels; unlabelled rows have the rate of all labels."""
+    from pulsegrid.llm import url_filter as module
+
+    rows = [(f"http://h{n % 40}.example.net/a{n % 7}/", 1.0 if n % 4 == 0 else 0.0 if n % 4 < 3 else None) for n in range(400)]
+    table = spark.createDataFrame([(u, *parts(u), label) for u, label in rows], "url string, host string, path string, label double")
+    made = module.with_statistics(module.with_features(table)).select("url", "label", F.pmod(F.xxhash64("url"), F.lit(module.FOLDS)).alias("fold"), "suffix2").collect()
+    labels = [(r.fold, r.label) for r in made if r.label is not None]
+    for r in made:
+        used = [label for fold, label in labels if r.label is None or fold != r.fold]
+        assert abs(r.suffix2 - (sum(used) + module.SMOOTHING * module.PRIOR) / (len(used) + module.SMOOTHING)) < 1e-12
+    assert len({r.fold for r in made}) == module.FOLDS
+
+
+def test_few_urls_with_many_copies(spark):
+    rows = [(n, ("http://a.net/x", "http://a.example.net/en/x", "http://free.com/")[n % 3]) for n in range(3000)]
+    out = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES, max_rows=100).groupBy("host", "verdict").count().collect()
+    assert len(out) == 3 and {r["count"] for r in out} == {1000}
+
+
+def test_scores_of_extreme_vectors(spark):
+    vectors = {0: [1e200, 2e200], 1: [1e-200, 1e-200], 2: [2.0, 4.0], 3: [-3e-300, 1e-300], 4: [5e307, 1.7e308], 5: [1e200, -1e200]}
+    out = nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in vectors.items()}
+    truth = sorted(((-(unit[0] @ v) / np.sqrt((unit[0] @ unit[0]) * (v @ v)), i) for i, v in unit.items() if i))
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"])] == [i for _, i in truth]
+    assert all(abs(r.score + s) < 1e-12 for r, (s, _) in zip(sorted(out, key=lambda r: r["rank"]), truth, strict=True))
+
+
 @pytest.mark.parametrize("urls", [[], ["http://a.net/x"], ["http://b.com/x", None], ["http://a.net/x", "http://b.org/fr/", "http://c.com/"]])
 def test_urls_with_little_to_learn(spark, urls):
     table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
