@@ -43,6 +43,27 @@ def test_word_cache_is_exact(tokenizer):
             assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [ids_of(tokenizer, t) for t in texts]
 
 
+def test_folded_cuts_are_exact(tokenizer):
+    """Lower-casing and cutting before stop marks give the whole text's ids; odd letters and marks take the other way."""
+    odd = ["Hello, World!! It's THE end...", "J\u030cx X\u0308.", "naïve.É,é;ß:Ÿ!ÀÖ?", "<|ENDOFTEXT|>.A,", "a.b.c'S,'s.'T", "1,2.3;x", "A\u00a0B.\u0085C", "ÿ.×,÷;Ā!", "x.\u0338y"]
+    texts = ODD + odd + [f"{t} {t.upper()}" for t in odd]
+    path = vocabulary(WORD_TOKENIZER)
+    assert word_cache.folds_words(path)
+    ids, starts = word_cache.encode_texts(path, pa.array([*texts, None], pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [ids_of(tokenizer, t) for t in [*texts, None]]
+
+
+def test_memory_of_words_is_bounded():
+    """Long words are never kept, others up to the limits, and what is kept does not change the ids."""
+    encoder = word_cache.WordEncoder(lambda words: [[len(w), ord(w[-1])] for w in words], limit=1000)
+    for n in range(20):
+        long = [f"{'x' * 70}{n}-{i}" for i in range(10_000)]
+        short = [f"w{n}-{i}" for i in range(500)]
+        ids, ends = encoder.encode_flat(pa.array(long + short))
+        assert ids.reshape(-1, 2).tolist() == [[len(w), ord(w[-1])] for w in long + short] and ends[-1] == 2 * len(long + short)
+        assert len(encoder.known) <= 1000 and encoder.used <= 2000 and len(encoder.flat) <= 8192 and not any(len(w) > 32 for w in encoder.known)
+
+
 def test_records():
     for doc_id, ids in [(5, [1, 2, 70000]), (None, []), (-1, [65535])]:
         data = record(doc_id, np.array(ids, dtype=np.int64))
