@@ -18,7 +18,7 @@ from pulsegrid.plans.fixtures import AS_OF, GAP, SIM_START, World
 from pulsegrid.session import broadcast_if_small, shared_folder
 from pulsegrid.sources import tables
 from pulsegrid.sources.adapters import lineitem_readings
-from pulsegrid.streaming import jobs
+from pulsegrid.streaming import jobs, refreshed_rollup
 from pulsegrid.streaming.queue_source import drain_queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -824,6 +824,43 @@ def stream_rollup_fresh(w: World) -> DataFrame:
     return rounded_points(_unzoned(jobs.stored_rollup(w.spark, store, "2024-01-20 12:00:30"), "bucket"))
 
 
+def _refreshed(w: World, of_batch: Column) -> jobs.Store:
+    """The readings as batches 0, 1, ... of one stream, each followed by a refresh of the stored rollup."""
+    store, queue = _store(w), f"{new_folder(w)}/queue"
+    batches = w.readings.withColumn("batch", of_batch)
+    each = jobs.rollup_batch(store)
+    n = batches.agg(F.max("batch")).first()[0]
+    for k in range(n + 1):
+        batches.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(queue)
+        stream = w.spark.readStream.schema(w.readings.schema).parquet(queue)
+        jobs.run_batches(stream, each, f"{store.root}-checkpoint").awaitTermination()
+        refreshed_rollup.refresh_rollup(w.spark, store)
+    return store
+
+
+def _late_third(w: World) -> Column:
+    """The first half of the month, the second one, then readings of both that came late."""
+    half = S.time_literal(w.readings, "timestamp", "2024-01-16 00:00:00")
+    return F.when(F.crc32("event_id") % 7 == 0, 2).when(F.col("timestamp") < half, 0).otherwise(1)
+
+
+@query
+def rollup_refresh(w: World) -> DataFrame:
+    """The stored rollup after three refreshes, the last one for late readings, and after the replaced files are gone."""
+    store = _refreshed(w, _late_third(w))
+    refreshed_rollup.expire_rollup(w.spark, store, keep=1)
+    return rounded_points(_unzoned(refreshed_rollup.read_rollup(w.spark, store).drop("event_date"), "bucket"))
+
+
+@query
+def series_points_auto_stored(w: World) -> DataFrame:
+    """The long route over the stored rollup: the series is read from the days of the range alone."""
+    args = ("svc-2", "view", "2024-01-02 00:00:00", "2024-01-30 00:00:00")
+    store = _refreshed(w, _late_third(w))
+    stored = refreshed_rollup.read_rollup(w.spark, store, *(rollup.as_datetime(a) for a in args[2:]))
+    return rounded_points(rollup.series_points_auto(w.readings, _unzoned(stored, "bucket"), *args))
+
+
 @query
 def stream_incidents(w: World) -> DataFrame:
     store = _store(w)

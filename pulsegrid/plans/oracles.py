@@ -447,6 +447,10 @@ oracle("stream_dedup", "me", "SELECT * EXCLUDE (labels) FROM me")
 oracle("stream_dedup_late", "me", "SELECT * EXCLUDE (labels) FROM me")
 oracle("stream_rollup_1min", "me", rollup_sql("1 minute"))
 oracle("stream_late_data", "me", rollup_sql("1 minute"))
+oracle("rollup_refresh", "me", rollup_sql("1 minute"))
+oracle("series_points_auto_stored", "me", f"""
+    SELECT * EXCLUDE (service, metric) FROM ({rollup_sql('1 minute', where='''service = 'svc-2' AND metric = 'view' ''')})
+    WHERE bucket >= TIMESTAMP '2024-01-02 00:00:00' AND bucket < TIMESTAMP '2024-01-30 00:00:00' ORDER BY bucket LIMIT 500""")
 oracle("stream_rollup_fresh", "me", rollup_sql("1 minute", where="timestamp < TIMESTAMP '2024-01-20 12:00:00'"))
 oracle("stream_incidents", "ses36000", """
     SELECT service, metric, min(timestamp) AS started_at, max(timestamp) AS last_at, count(*) AS n_anomalies

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,15 @@ def load_runs(spark: SparkSession, root: str, table: str, schema: T.StructType)
     return spark.read.schema(full).parquet(f"{root}/{table}")
 
 
+def delete_paths(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Delete folders that nothing reads any more; returns how many there were."""
+    done = 0
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def save_models(surfaces: DataFrame, root: str, run_id: str) -> None:
     save_run(surfaces, root, "score_surface", run_id)
 

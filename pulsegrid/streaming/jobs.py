@@ -24,6 +24,7 @@ from pulsegrid.session import broadcast_if_small, pin_small
 from pulsegrid.sources.tables import (
     dated, ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
 )
+from pulsegrid.streaming.refreshed_rollup import ROLLUP_LOG, ROLLUP_MANIFEST, ROLLUP_PART, read_rollup, store_part
 
 SERIES = ("service", "metric")
 EVENT_COLUMNS = ("event_id", *SERIES, "value", "timestamp", "labels")
@@ -182,11 +183,6 @@ FIRED = T.StructType(
 CYCLES = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("seq", T.LongType())])
 TAKEN = T.StructType([T.StructField("batch_run", T.StringType())])
 DEAD = T.StructType([*schemas.METRIC_EVENT.fields, T.StructField("error", T.StringType())])
-ROLLUP_PART = T.StructType(
-    [T.StructField("bucket", T.TimestampType())] + [T.StructField(name, T.StringType()) for name in SERIES]
-    + [T.StructField(name, T.DoubleType()) for name in ("sum_value", "min_value", "max_value")]
-    + [T.StructField("sample_count", T.LongType())]
-)
 SLOT_PART = T.StructType(
     [T.StructField(name, T.StringType()) for name in SERIES]
     + [T.StructField(name, T.LongType()) for name in ("slot", "first_us", "last_us", "n")]
@@ -196,7 +192,7 @@ WRITE_ATTEMPTS = 3
 FIRST_PAUSE = 0.2  # seconds before the second attempt; each further pause is twice as long
 TABLES = {
     "published": PUBLISHED,
-    "cycles": CYCLES, "cycle_batches": TAKEN, "dead_letters": DEAD, "rollup_parts": ROLLUP_PART, "slot_parts": SLOT_PART, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
+    "cycles": CYCLES, "cycle_batches": TAKEN, "dead_letters": DEAD, "rollup_parts": ROLLUP_PART, "rollup_log": ROLLUP_LOG, "rollup_manifest": ROLLUP_MANIFEST, "slot_parts": SLOT_PART, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
     "fired": FIRED, "quarantine": QUARANTINE, "accounting": COUNTS, "score_surface": schemas.SCORE_SURFACE,
     "model_versions": schemas.MODEL_VERSION, "model_pointers": schemas.POINTER_EVENT,
 }
@@ -212,37 +208,22 @@ def batch_run(stream: str, batch_id: int) -> str:
     return f"b-{stream}-{batch_id:012d}"
 
 
-def rollup_parts(events: DataFrame) -> DataFrame:
-    """Mergeable 1-minute aggregates of some readings."""
-    minute = F.window(F.col("timestamp").cast("timestamp"), "1 minute")["start"]
-    return events.groupBy(minute.alias("bucket"), *SERIES).agg(
-        F.sum("value").alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.count(F.lit(1)).alias("sample_count"),
-    )
-
-
 def rollup_batch(store: Store) -> Callable[[DataFrame, int], None]:
     """Micro-batch of new readings: store its part of each bucket. Late readings count like any other."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        save_run(rollup_parts(batch), store.root, "rollup_parts", batch_run(stream_name(batch.sparkSession), batch_id))
+        stream = stream_name(batch.sparkSession)
+        store_part(store, batch, stream, batch_id, batch_run(stream, batch_id))
 
     return each
 
 
 def stored_rollup(spark: SparkSession, store: Store, as_of: datetime | str | None = None) -> DataFrame:
-    """The 1-minute rollup as stored by now; with ``as_of`` the minute that is not yet over is withheld.
-
-    A bucket has one part per micro-batch that brought readings for it, so merging reads little.
-    """
-    parts = store.load(spark, "rollup_parts")
+    """The 1-minute rollup as stored by now; with ``as_of`` the minute that is not yet over is withheld."""
+    rows = read_rollup(spark, store).drop("event_date")
     if as_of is not None:
-        parts = parts.where(F.col("bucket") + F.expr("INTERVAL 1 MINUTE") <= F.lit(str(as_of)).cast("timestamp"))
-    n = F.sum("sample_count")
-    return parts.groupBy("bucket", *SERIES).agg(
-        (F.sum("sum_value") / n).alias("avg_value"), F.min("min_value").alias("min_value"),
-        F.max("max_value").alias("max_value"), n.alias("sample_count"),
-    )
+        rows = rows.where(F.col("bucket") + F.expr("INTERVAL 1 MINUTE") <= F.lit(str(as_of)).cast("timestamp"))
+    return rows
 
 
 def slots_batch(store: Store, gap_seconds: int = V.GROUPING_SECONDS) -> Callable[[DataFrame, int], None]:
@@ -350,7 +331,8 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        run_id = batch_run(stream_name(spark), batch_id)
+        stream = stream_name(spark)
+        run_id = batch_run(stream, batch_id)
         parsed = parse_events(_in_arrival_order(batch)).persist()
         valid, rejected = validate_events(parsed)
         events = valid.select(*EVENT_COLUMNS, "arrival")
@@ -382,7 +364,7 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
             if inserted and not published:
                 error = _publish(write, fresh, store, run_id)
             # The parts follow from what is published, so a repeated batch writes the same.
-            save_run(rollup_parts(fresh.limit(0) if error else fresh), store.root, "rollup_parts", run_id)
+            store_part(store, fresh.limit(0) if error else fresh, stream, batch_id, run_id)
             if error:
                 save_run(fresh.withColumn("error", F.lit(error)).select(DEAD.names), store.root, "dead_letters", run_id)
             _account(parsed, 0 if error else inserted, inserted if error else 0, store, batch_id, run_id)
