@@ -18,7 +18,7 @@ from pulsegrid.plans.fixtures import AS_OF, GAP, SIM_START, World
 from pulsegrid.session import broadcast_if_small, shared_folder
 from pulsegrid.sources import tables
 from pulsegrid.sources.adapters import lineitem_readings
-from pulsegrid.streaming import jobs, refreshed_rollup
+from pulsegrid.streaming import jobs, refreshed_rollup, suppression
 from pulsegrid.streaming.queue_source import drain_queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -870,6 +870,20 @@ def stream_incidents(w: World) -> DataFrame:
     return _unzoned(jobs.stored_sessions(w.spark, store, GAP), "started_at", "last_at")
 
 
+@query
+def stream_suppress(w: World) -> DataFrame:
+    """The incidents as three batches in order of time; the last firing of each series is state between them."""
+    queue = f"{new_folder(w)}/queue"
+    opened = w.opened.select("incident_id", *SERIES, "started_at")
+    first, second = (S.time_literal(opened, "started_at", f"2024-01-{d} 00:00:00") for d in (11, 21))
+    at = F.col("started_at")
+    for part in (at < first, (at >= first) & (at < second), at >= second):
+        opened.where(part).coalesce(1).write.mode("append").parquet(queue)
+    stream = w.spark.readStream.schema(opened.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+    with suppression.keyed_state(w.spark):
+        return _finish(w, suppression.stream_suppress(stream, 172_800))
+
+
 @query
 def stream_score(w: World) -> DataFrame:
     """Streamed scoring finds what the batch finds."""

@@ -353,6 +353,7 @@ ORACLES["suppress_cooldown"] = ORACLES["suppress_cooldown"].replace("WITH ", "WI
                SELECT min(started_at) FROM opened x WHERE x.service = r.service AND x.metric = r.metric
                AND x.started_at >= r.started_at + INTERVAL 172800 SECOND))
     SELECT incident_id, service, metric, started_at FROM replay JOIN opened USING (service, metric, started_at)"""
+ORACLES["stream_suppress"] = ORACLES["suppress_cooldown"]
 oracle("resolve_incident", "inc", f"""
     SELECT incident_id, service, metric, started_at,
            CASE WHEN started_at >= TIMESTAMP '2024-01-25 00:00:00' THEN 'resolved' ELSE status END AS status,
