@@ -1044,13 +1044,13 @@ def stream_accounting(w: World) -> DataFrame:
     return store.load(w.spark, "accounting").agg(*sums)
 
 
-@query
-def stream_alert_cycle(w: World) -> DataFrame:
+def _cycles(w: World, expire: bool) -> DataFrame:
     store = _ingested(w, with_models=True)
-    counts = [
-        (n, jobs.run_alert_cycle(w.spark, store, at, f"c{n}"))
-        for n, at in enumerate((AS_OF, "2024-01-31 00:04:59", "2024-01-31 00:05:00"))
-    ]
+    counts = []
+    for n, at in enumerate((AS_OF, "2024-01-31 00:04:59", "2024-01-31 00:05:00")):
+        counts.append((n, jobs.run_alert_cycle(w.spark, store, at, f"c{n}")))
+        if expire:
+            jobs.expire_cycles(w.spark, store)
     series = store.load(w.spark, "anomalies").select(*SERIES).distinct().count()
     made = store.load(w.spark, "incidents").count()
     rows = [
@@ -1062,6 +1062,17 @@ def stream_alert_cycle(w: World) -> DataFrame:
     return w.spark.createDataFrame(rows, "cycle int, created_right boolean, waiting_right boolean")
 
 
+@query
+def stream_alert_cycle(w: World) -> DataFrame:
+    return _cycles(w, expire=False)
+
+
+@query
+def alert_cycle_compacted(w: World) -> DataFrame:
+    """The same where only the state of the two newest cycles is kept."""
+    return _cycles(w, expire=True)
+
+
 # --- the ways taken beyond a size, forced on tables of any size ------------------------------------
 
 

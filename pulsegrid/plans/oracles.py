@@ -458,6 +458,7 @@ oracle("stream_incidents", "ses36000", """
     FROM ses36000 GROUP BY service, metric, incident_id""")
 oracle("stream_model_refresh", "", "SELECT h AS half, 0::BIGINT AS n_by_other_models, true AS any FROM (VALUES (0), (1)) AS x(h)")
 oracle("stream_alert_cycle", "", "SELECT c AS cycle, true AS created_right, true AS waiting_right FROM (VALUES (0), (1), (2), (3)) AS x(c)")
+ORACLES["alert_cycle_compacted"] = ORACLES["stream_alert_cycle"]
 oracle("stream_ingest_restart", "msg", """
     SELECT unnest(['received', 'rejected', 'inserted', 'skipped', 'stored', 'ids', 'quarantined']) AS what,
            unnest([2 * n, 2 * bad, ids, 2 * (n - bad) - ids, ids, ids, 2 * bad]) AS n

@@ -22,7 +22,7 @@ from pulsegrid.operators.scoring import LoadedSurfaces, load_surfaces
 from pulsegrid.plans.detection import detect
 from pulsegrid.session import broadcast_if_small, pin_small
 from pulsegrid.sources.tables import (
-    dated, ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
+    dated, delete_paths, ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
 )
 from pulsegrid.streaming.refreshed_rollup import ROLLUP_LOG, ROLLUP_MANIFEST, ROLLUP_PART, read_rollup, store_part
 
@@ -181,7 +181,7 @@ FIRED = T.StructType(
     [T.StructField(name, T.StringType()) for name in SERIES] + [T.StructField("last_fired", T.TimestampType())]
 )
 CYCLES = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("seq", T.LongType())])
-TAKEN = T.StructType([T.StructField("batch_run", T.StringType())])
+CYCLE_MARKS = T.StructType([T.StructField("stream", T.StringType()), T.StructField("taken_to", T.LongType())])
 DEAD = T.StructType([*schemas.METRIC_EVENT.fields, T.StructField("error", T.StringType())])
 SLOT_PART = T.StructType(
     [T.StructField(name, T.StringType()) for name in SERIES]
@@ -192,7 +192,7 @@ WRITE_ATTEMPTS = 3
 FIRST_PAUSE = 0.2  # seconds before the second attempt; each further pause is twice as long
 TABLES = {
     "published": PUBLISHED,
-    "cycles": CYCLES, "cycle_batches": TAKEN, "dead_letters": DEAD, "rollup_parts": ROLLUP_PART, "rollup_log": ROLLUP_LOG, "rollup_manifest": ROLLUP_MANIFEST, "slot_parts": SLOT_PART, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
+    "cycles": CYCLES, "cycle_marks": CYCLE_MARKS, "dead_letters": DEAD, "rollup_parts": ROLLUP_PART, "rollup_log": ROLLUP_LOG, "rollup_manifest": ROLLUP_MANIFEST, "slot_parts": SLOT_PART, "waiting": schemas.ANOMALY, "anomalies": schemas.ANOMALY, "incidents": schemas.INCIDENT, "incident_members": schemas.INCIDENT_MEMBER,
     "fired": FIRED, "quarantine": QUARANTINE, "accounting": COUNTS, "score_surface": schemas.SCORE_SURFACE,
     "model_versions": schemas.MODEL_VERSION, "model_pointers": schemas.POINTER_EVENT,
 }
@@ -387,29 +387,63 @@ def _account(parsed: DataFrame, inserted: int, dead: int, store: Store, batch_id
     save_run(counts, store.root, "accounting", run_id)
 
 
+def complete_to(spark: SparkSession, store: Store, marks: dict[str, int]) -> dict[str, int]:
+    """Per stream the last complete batch above its mark; accounting rows of batches up to the marks are not opened."""
+    rows = store.runs(spark, "accounting").where(F.col("run_id").startswith("b-"))
+    for stream, mark in marks.items():
+        rows = rows.where(~F.col("run_id").between(batch_run(stream, 0), batch_run(stream, mark)))
+    stream = F.expr(f"substring(run_id, 3, length(run_id) - {len(batch_run('', 0))})")
+    found = rows.groupBy(stream.alias("stream")).agg(F.max("batch_id").alias("upto"))
+    return {r["stream"]: r["upto"] for r in found.collect()}  # one row a stream
+
+
+def taken_anomalies(spark: SparkSession, store: Store, marks: dict[str, int], upto: dict[str, int]) -> DataFrame:
+    """Anomalies of the batches above ``marks`` up to ``upto``, as ranges of run ids: no other run is opened."""
+    taken = F.lit(False)
+    for stream, last in upto.items():
+        first = marks.get(stream, -1) + 1
+        taken = taken | F.col("run_id").between(batch_run(stream, first), batch_run(stream, last))
+    return store.runs(spark, "anomalies").where(taken).drop("run_id")
+
+
+def expire_cycles(spark: SparkSession, store: Store, keep: int = 2) -> int:
+    """Delete the state that cycles before the newest ``keep`` left; incidents and members stay. Returns folders deleted.
+
+    The newest cycle may be repeated and then needs its predecessor's state, so at least two are kept.
+    """
+    if keep < 2:
+        raise ValueError("keep at least two cycles")
+    runs = [r["run_id"] for r in store.runs(spark, "cycles").where("seq IS NOT NULL").select("seq", "run_id").orderBy(F.desc("seq"), F.desc("run_id")).collect()]
+    # The cycles rows go last: an expiry that breaks off finds the rest again.
+    state = ("waiting", "fired", "cycle_marks", "cycles")
+    return delete_paths(spark, [f"{store.path(table)}/run_id={run}" for table in state for run in runs[keep:]])
+
+
 def run_alert_cycle(spark: SparkSession, store: Store, now: datetime | str, run_id: str) -> dict[str, int]:
     """One stored alert cycle; returns how many incidents it created and how many groups must wait.
 
-    A cycle reads the anomalies its predecessor left waiting and those of batches that no earlier cycle
-    took, not the whole history. Cycles follow each other by a running number, not by the caller's clock.
+    A cycle reads the state its predecessor left (waiting anomalies, last firing of each series, marks) and the
+    anomalies of the batches above the marks, not the whole history. Batches of a stream follow each other, so one mark
+    a stream says which are taken. Cycles follow each other by a running number, not by the caller's clock.
     A cycle that broke off is repeated under the same run id.
     """
     done = store.runs(spark, "cycles").where(F.col("run_id") != run_id)
     last = done.agg(F.max(F.struct("seq", "run_id")).alias("c")).first()["c"]
-    earlier = store.load(spark, "cycle_batches", run_id)
-    complete = store.runs(spark, "accounting").where(F.col("run_id").startswith("b-")).select(F.col("run_id").alias("batch_run")).distinct()
-    # One row per batch since the last cycle; stored, so that all steps below see the same batches.
-    save_run(complete.join(earlier, "batch_run", "left_anti"), store.root, "cycle_batches", run_id)
-    taken = store.runs(spark, "cycle_batches").where(F.col("run_id") == run_id).select(F.col("batch_run").alias("run_id"))
-    fresh = store.runs(spark, "anomalies").join(broadcast_if_small(taken), "run_id", "left_semi").drop("run_id")
-    left = store.runs(spark, "waiting").where(F.col("run_id") == (last["run_id"] if last else "")).drop("run_id")
-    waiting = left.unionByName(fresh)
+    before = F.col("run_id") == (last["run_id"] if last else "")
+    marks = {r["stream"]: r["taken_to"] for r in store.runs(spark, "cycle_marks").where(before).collect()}
+    new = complete_to(spark, store, marks)
+    fresh = taken_anomalies(spark, store, marks, new)
+    waiting = store.runs(spark, "waiting").where(before).drop("run_id").unionByName(fresh)
+    fired = store.runs(spark, "fired").where(before).drop("run_id")
     nobody = spark.createDataFrame([], schemas.INCIDENT_MEMBER)
-    result = alert_cycle(waiting, nobody, store.load(spark, "fired", run_id), now)
+    result = alert_cycle(waiting, nobody, fired, now)
     members = result.members.select(schemas.INCIDENT_MEMBER.names)
     save_run(members, store.root, "incident_members", run_id)
     save_run(result.incidents.select(schemas.INCIDENT.names), store.root, "incidents", run_id)
-    save_run(result.fired, store.root, "fired", run_id)
+    firings = fired.unionByName(result.fired.select(FIRED.names))
+    save_run(firings.groupBy(*SERIES).agg(F.max("last_fired").alias("last_fired")), store.root, "fired", run_id)
+    taken = spark.createDataFrame(list((marks | new).items()), CYCLE_MARKS).coalesce(1)
+    save_run(taken, store.root, "cycle_marks", run_id)
     stored = store.runs(spark, "incident_members").where(F.col("run_id") == run_id)
     save_run(waiting.join(stored.select("anomaly_id"), "anomaly_id", "left_anti").select(schemas.ANOMALY.names), store.root, "waiting", run_id)
     seq = last["seq"] + 1 if last else 0

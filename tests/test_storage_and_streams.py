@@ -210,6 +210,37 @@ def test_ingest_stores_quarantines_scores_and_alerts(spark, tmp_path, run):
     assert jobs.run_alert_cycle(spark, store, now + timedelta(days=1), "c4") == {"created": 0, "suppressed": 0}
 
 
+def test_a_cycle_opens_only_what_is_above_the_marks(spark, tmp_path, run):
+    store = store_with_models(spark, tmp_path, run)
+    each = jobs.ingest_batch(store)
+    spike = lambda i: spark.createDataFrame([(event(i, 60 * i, 999.0), "f")], "data string, source_file string")
+    seen = []
+    for n in range(3):
+        each(spike(2 * n), 2 * n)
+        each(spike(2 * n + 1), 2 * n + 1)
+        marks = {"direct": 2 * n - 1} if n else {}
+        upto = jobs.complete_to(spark, store, marks)
+        assert upto == {"direct": 2 * n + 1}
+        fresh = jobs.taken_anomalies(spark, store, marks, upto)
+        assert sorted(r["event_id"] for r in fresh.collect()) == [f"e{2 * n}", f"e{2 * n + 1}"]
+        plan = fresh._jdf.queryExecution().sparkPlan()
+        ranges = plan.collectLeaves().apply(0).partitionFilters().toString()
+        assert plan.collectLeaves().size() == 1
+        assert all(f"{sign} {jobs.batch_run('direct', k)}" in ranges for sign, k in ((">=", 2 * n), ("<=", 2 * n + 1)))
+        at = BASE + timedelta(days=n)
+        for _ in range(1 + (n == 1)):  # the second cycle twice, the second time after the expiry
+            seen.append(jobs.run_alert_cycle(spark, store, at, f"c{n}"))
+            jobs.expire_cycles(spark, store)
+        assert {r["taken_to"] for r in store.runs(spark, "cycle_marks").where(F.col("run_id") == f"c{n}").collect()} == {2 * n + 1}
+    # Two spikes an hour apart a cycle, one of which fires; the other waits with what waited before.
+    assert [(c["created"], c["suppressed"]) for c in seen] == [(1, 1), (1, 2), (1, 2), (1, 3)]
+    assert store.load(spark, "incidents").count() == 3 and store.load(spark, "fired").select("service").distinct().count() == 1
+    left = {r["run_id"] for r in store.runs(spark, "cycles").select("run_id").distinct().collect()}
+    assert left == {"c1", "c2"}
+    with pytest.raises(ValueError):
+        jobs.expire_cycles(spark, store, keep=1)
+
+
 def test_a_replayed_batch_adds_nothing(spark, tmp_path, run):
     store = store_with_models(spark, tmp_path, run)
     lines = [event(1, 0, 50.0), event(2, 1, 999.0), "junk"]
