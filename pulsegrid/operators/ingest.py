@@ -93,7 +93,8 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], num
 
     A key with very many copies reaches its reducer as one row per task. With ``numbered``, ``arrival``
     is one number that no two rows share: then only keys and numbers are combined, by hashing and
-    without a sort, and the winners are looked up by both.
+    without a sort, and the winners are looked up by both. That computes ``df`` twice, so it suits stored rows;
+    rows that are parsed on the way take the one pass.
     """
     if numbered:
         first = df.groupBy(*keys).agg(F.min(arrival[0]).alias(arrival[0]))

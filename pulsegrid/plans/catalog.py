@@ -80,7 +80,7 @@ def accept_request(w: World) -> DataFrame:
 @query
 def dedupe_first(w: World) -> DataFrame:
     valid, _ = ingest.validate_events(ingest.parse_events(w.messages))
-    return ingest.dedupe_first(valid.drop("labels", "timestamp"), ["event_id"], ["msg_id"], numbered=True)
+    return ingest.dedupe_first(valid.drop("labels", "timestamp"), ["event_id"], ["msg_id"])
 
 
 @query
@@ -88,7 +88,7 @@ def insert_if_absent(w: World) -> DataFrame:
     stored = w.readings.where(F.col("timestamp") < S.time_literal(w.readings, "timestamp", "2024-01-20 00:00:00"))
     valid, _ = ingest.validate_events(ingest.parse_events(w.messages))
     batch = valid.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    new = ingest.insert_if_absent(stored, batch, ["timestamp", "event_id"], ["msg_id"], numbered=True)
+    new = ingest.insert_if_absent(stored, batch, ["timestamp", "event_id"], ["msg_id"])
     return new.select("msg_id", "event_id", "timestamp", *SERIES, "value")
 
 
@@ -969,7 +969,7 @@ def stream_ingest_restart(w: World) -> DataFrame:
 def insert_first_arrival(w: World) -> DataFrame:
     """Two values under each key, the larger one first: the first arrival is stored, whatever its value."""
     valid, _ = ingest.validate_events(ingest.parse_events(w.messages))
-    firsts = ingest.dedupe_first(valid, ["event_id"], ["msg_id"], numbered=True).drop("labels")
+    firsts = ingest.dedupe_first(valid, ["event_id"], ["msg_id"]).drop("labels")
     twice = firsts.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         (F.col("msg_id") * 2 + F.col("c")).alias("arrival"), "event_id", "timestamp", *SERIES,
         F.when(F.col("c") == 0, F.col("value") + 1000).otherwise(F.col("value")).alias("value"),

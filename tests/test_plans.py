@@ -46,6 +46,15 @@ def test_a_message_is_parsed_once(spark):
     assert plan(valid).count("from_json(StructField(event_id") == 1
 
 
+@pytest.mark.parametrize("name", ["dedupe_first", "insert_if_absent"])
+def test_dedup_parses_and_scans_messages_once(spark, name):
+    w = World(spark, SF)
+    text = plan(queries()[name](spark, SF))
+    assert text.count("from_json(StructField(event_id") == 1
+    stored = text.count("Scan parquet") - plan(w.messages).count("Scan parquet")
+    assert stored == (plan(w.readings).count("Scan parquet") if name == "insert_if_absent" else 0)
+
+
 def test_pages_are_cut_by_top_k(spark):
     assert "TakeOrderedAndProject" in plan(queries()["incident_page"](spark, SF))
     assert "TakeOrderedAndProject" in plan(queries()["model_list"](spark, SF))
