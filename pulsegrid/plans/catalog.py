@@ -15,9 +15,10 @@ from pulsegrid.functions import scalars as S
 from pulsegrid.operators import evaluation, incidents, ingest, overview, registry, rollup, schedule, scoring
 from pulsegrid.plans import detection, training
 from pulsegrid.plans.fixtures import AS_OF, GAP, SIM_START, World
-from pulsegrid.session import broadcast_if_small, shared_folder
+from pulsegrid.session import broadcast_if_small, cut_lineage, shared_folder
 from pulsegrid.sources import tables
 from pulsegrid.sources.adapters import lineitem_readings
+from pulsegrid.sources.key_index import KeyIndex, insert_indexed as insert_by_index
 from pulsegrid.streaming import jobs, refreshed_rollup, suppression
 from pulsegrid.streaming.queue_source import drain_queue
 
@@ -92,6 +93,21 @@ def insert_if_absent(w: World) -> DataFrame:
     return new.select("msg_id", "event_id", "timestamp", *SERIES, "value")
 
 
+@query
+def insert_indexed(w: World) -> DataFrame:
+    """As insert_if_absent into a stored table, whose days are opened only where its key index has a key of the batch."""
+    folder = new_folder(w)
+    early = w.events.where(F.col("timestamp") < S.time_literal(w.events, "timestamp", "2024-01-20 00:00:00"))
+    tables.write_metrics_table(early, f"{folder}/metrics")
+    stored = tables.read_metrics_table(w.spark, f"{folder}/metrics", schemas.T.StructType(w.events.schema.fields))
+    index = KeyIndex(f"{folder}/keys")
+    index.build(w.spark, stored)
+    valid, _ = ingest.validate_events(ingest.parse_events(w.messages))
+    batch = cut_lineage(valid.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("labels"))
+    new = insert_by_index(stored, index, batch, ["timestamp", "event_id"], ["msg_id"])
+    return new.select("msg_id", "event_id", "timestamp", *SERIES, "value")
+
+
 @query
 def insert_anomalies(w: World) -> DataFrame:
     a = w.anomalies
@@ -892,7 +908,7 @@ def stream_score(w: World) -> DataFrame:
     return _detect_check(w, _finish(w, found), run)
 
 
-def _ingested(w: World, with_models: bool = False, write=tables.write_metrics_table) -> jobs.Store:
+def _ingested(w: World, with_models: bool = False, write=tables.write_metrics_table, indexed: bool = False) -> jobs.Store:
     """Messages written as files, then worked off by the ingest stream into the stored tables."""
     folder = new_folder(w)
     store = jobs.Store(f"{folder}/store")
@@ -903,7 +919,10 @@ def _ingested(w: World, with_models: bool = False, write=tables.write_metrics_ta
         tables.save_models(run.surfaces.select(schemas.SCORE_SURFACE.names), store.root, "r1")
         tables.save_run(run.pointers.select(schemas.POINTER_EVENT.names), store.root, "model_pointers", "r1")
     messages = jobs.read_metric_stream(w.spark, f"{folder}/queue")
-    jobs.run_batches(messages, jobs.ingest_batch(store, write), f"{folder}/checkpoint").awaitTermination()
+    index = KeyIndex(store.path("metrics_keys")) if indexed else None
+    if index:
+        index.build(w.spark, store.metrics(w.spark))
+    jobs.run_batches(messages, jobs.ingest_batch(store, write, index), f"{folder}/checkpoint").awaitTermination()
     return store
 
 
@@ -912,6 +931,18 @@ def stream_ingest(w: World) -> DataFrame:
     return _stored_metrics(w, _ingested(w))
 
 
+@query
+def stream_ingest_indexed(w: World) -> DataFrame:
+    """The messages through two streams that ask the key index, which is compacted between them: nothing is stored twice."""
+    store = _ingested(w, indexed=True)
+    index = KeyIndex(store.path("metrics_keys"))
+    done = [r["run_id"] for r in store.runs(w.spark, "accounting").select("run_id").distinct().collect()]
+    index.compact(store.metrics(w.spark), ["base", *done], "merged")
+    again = jobs.read_metric_stream(w.spark, f"{store.root.removesuffix('/store')}/queue")
+    jobs.run_batches(again, jobs.ingest_batch(store, index=index), f"{store.root}-second").awaitTermination()
+    return _stored_metrics(w, store)
+
+
 @query
 def ingest_torn_write(w: World) -> DataFrame:
     """The storage fails twice, each time with half of the rows written: every event is there once all the same."""

@@ -500,3 +500,5 @@ oracle("stream_quarantine", "msg", "SELECT reason, count(*) AS n FROM msg WHERE
 oracle("stream_accounting", "msg", """
     SELECT count(*) AS received, count(reason) AS rejected, count(DISTINCT event_id) FILTER (reason IS NULL) AS inserted,
            count(*) FILTER (reason IS NULL) - count(DISTINCT event_id) FILTER (reason IS NULL) AS skipped FROM msg""")
+ORACLES["insert_indexed"] = ORACLES["insert_if_absent"]
+ORACLES["stream_ingest_indexed"] = ORACLES["stream_ingest"]

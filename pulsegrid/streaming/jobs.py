@@ -21,6 +21,7 @@ from pulsegrid.operators.registry import current_models
 from pulsegrid.operators.scoring import LoadedSurfaces, load_surfaces
 from pulsegrid.plans.detection import detect
 from pulsegrid.session import broadcast_if_small, pin_small
+from pulsegrid.sources.key_index import KeyIndex, insert_indexed
 from pulsegrid.sources.tables import (
     dated, delete_paths, ensure_table, load_models, load_runs, read_metrics_table, save_run, write_metrics_table,
 )
@@ -255,6 +256,14 @@ def _in_arrival_order(batch: DataFrame) -> DataFrame:
     return batch.withColumn("arrival", F.struct(*known, F.monotonically_increasing_id().alias("line")))
 
 
+def _not_stored(store: Store, events: DataFrame, index: KeyIndex | None) -> DataFrame:
+    """Events whose key the metrics do not hold; with an index only days that may hold one are opened."""
+    stored = store.metrics(events.sparkSession)
+    if index is not None:
+        return insert_indexed(stored, index, events, ["timestamp", "event_id"], ["arrival"])
+    return insert_if_absent(recent_target(stored, events), events, ["timestamp", "event_id"], ["arrival"], small_batch=True)
+
+
 def dedup_batch(store: Store) -> Callable[[DataFrame, int], None]:
     """Micro-batch of events: append those whose (timestamp, event_id) is not stored, however late they come.
 
@@ -315,7 +324,9 @@ def compact_metrics(spark: SparkSession, store: Store, run_id: str) -> int:
     return len(old)
 
 
-def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_metrics_table) -> Callable[[DataFrame, int], None]:
+def ingest_batch(
+    store: Store, write: Callable[[DataFrame, str], None] = write_metrics_table, index: KeyIndex | None = None
+) -> Callable[[DataFrame, int], None]:
     """Micro-batch: quarantine bad messages, append new events, score them, append new anomalies.
 
     New events are published once (see ``_publish``): a repeated batch takes what it has published as its own, so its
@@ -323,7 +334,8 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
     is retried instead of being lost. Events that cannot be written go to the dead letters with the
     error, are counted, and are scored like the others. The registry is read for every batch, so new
     models are used at once; their surfaces are loaded again only when the current models changed.
-    Late readings are stored like any other: there is no watermark here. The accounting row
+    Late readings are stored like any other: there is no watermark here. With an ``index`` of the stored keys a batch opens
+    only days that may hold one of its keys, and adds its own. The accounting row
     comes last and marks the batch as complete for the alert cycle.
     """
 
@@ -340,8 +352,7 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
         if published:
             fresh = store.attempts(spark, [published]).drop("event_date").persist()
         else:
-            target = recent_target(store.metrics(spark), events)
-            fresh = insert_if_absent(target, events, ["timestamp", "event_id"], ["arrival"], small_batch=True).drop("arrival").persist()
+            fresh = _not_stored(store, events, index).drop("arrival").persist()
         events = events.drop("arrival")
         current, rows = pin_small(current_models(store.load(spark, "model_pointers")).select(*SERIES, "model_id"))
         surfaces = load_models(spark, store.root, schemas.SCORE_SURFACE)
@@ -362,6 +373,8 @@ def ingest_batch(store: Store, write: Callable[[DataFrame, str], None] = write_m
             save_run(slot_counts(new, V.GROUPING_SECONDS), store.root, "slot_parts", run_id)
             error = None
             if inserted and not published:
+                if index is not None:  # before the rows can be seen, so that no filter ever misses one
+                    index.add(fresh, run_id)
                 error = _publish(write, fresh, store, run_id)
             # The parts follow from what is published, so a repeated batch writes the same.
             store_part(store, fresh.limit(0) if error else fresh, stream, batch_id, run_id)
