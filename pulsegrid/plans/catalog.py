@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas
+from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators import evaluation, incidents, ingest, overview, registry, rollup, schedule, scoring
+from pulsegrid.operators import evaluation, incidents, ingest, overview, registry, rollup, schedule, schedule_index, scoring
 from pulsegrid.plans import detection, training
 from pulsegrid.plans.fixtures import AS_OF, GAP, SIM_START, World
 from pulsegrid.session import broadcast_if_small, cut_lineage, shared_folder
@@ -336,6 +337,31 @@ def score_against_truth(w: World) -> DataFrame:
     return out.select(*SERIES, "tp", "fp", "fn", r("precision"), r("recall"), r("f1"))
 
 
+def _many_windows(w: World) -> DataFrame:
+    """One window for every second reading of a series, overlapping, of up to 55 hours; some rows of a schedule tie."""
+    h = S.hash60("event_id")
+    kind = F.get(F.array(*[F.lit(t) for t in V.ANOMALY_TYPES]), (h % len(V.ANOMALY_TYPES)).cast("int"))
+    start = F.col("timestamp") + F.expr("INTERVAL 1 HOUR")
+    seconds = (h % 200_000).cast("double")
+    return w.readings.where(h % 2 == 0).select(
+        (h % 1009).alias("spec_idx"), *SERIES, kind.alias("anomaly_type"), start.alias("start"),
+        S.shift_seconds(start, seconds).alias("end"), seconds.alias("duration_seconds"), (h % 7 + F.lit(0.25)).alias("magnitude"),
+    )
+
+
+@query
+def schedule_indexed(w: World) -> DataFrame:
+    rows = schedule_index.apply_schedule_indexed(w.readings, _many_windows(w))
+    return rows.select("event_id", "spec_idx", "is_anomalous", "value")
+
+
+@query
+def score_against_truth_indexed(w: World) -> DataFrame:
+    rows = w.scored.withColumn("flag", S.is_anomaly("score", 0.0))
+    out = schedule_index.score_against_truth_indexed(rows, w.windows, "flag")
+    return out.select(*SERIES, "tp", "fp", "fn", r("precision"), r("recall"), r("f1"))
+
+
 @query
 def annotate_buckets_exact(w: World) -> DataFrame:
     at = w.readings.select(*SERIES, F.col("timestamp").alias("bucket"), "event_id")

@@ -89,6 +89,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM me LEFT JOIN win ON me.service = win.service AND me.metric = win.metric
              AND timestamp >= win.start AND timestamp < win."end"
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY spec_idx) = 1"""),
+    "manywin": (("me",), f"""
+        SELECT h % 1009 AS spec_idx, service, metric, timestamp + INTERVAL 1 HOUR AS start,
+               timestamp + INTERVAL 1 HOUR + to_seconds((h % 200000)::DOUBLE) AS "end", h % 200000 AS secs,
+               (['spike', 'dip', 'level_shift', 'gradual_drift'])[CAST(h % 4 AS INTEGER) + 1] AS anomaly_type, h % 7 + 0.25::DOUBLE AS magnitude
+        FROM (SELECT *, {h60('event_id')} AS h FROM me) WHERE h % 2 = 0 AND h % 200000 > 0"""),
+    "manyhit": (("me", "manywin"), """
+        SELECT me.*, m.* EXCLUDE (service, metric)
+        FROM me LEFT JOIN manywin m ON me.service = m.service AND me.metric = m.metric AND timestamp >= m.start AND timestamp < m."end"
+        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY spec_idx, m.start, m."end", anomaly_type, magnitude) = 1"""),
     "ranked": (("me",), """
         SELECT *, row_number() OVER (PARTITION BY service, metric ORDER BY timestamp, md5(event_id)) AS rn,
                count(*) OVER (PARTITION BY service, metric) AS n FROM me"""),
@@ -263,6 +272,12 @@ oracle("apply_anomaly_schedule", "hit", """
              WHEN 'level_shift' THEN value + magnitude
              WHEN 'gradual_drift' THEN value + magnitude * ((epoch_us(timestamp) - epoch_us(start)) / (duration_seconds * 1000000))
              ELSE value END, 4) AS value FROM hit""")
+oracle("schedule_indexed", "manyhit", """
+    SELECT event_id, spec_idx, spec_idx IS NOT NULL AS is_anomalous, round(CASE anomaly_type
+             WHEN 'spike' THEN value * magnitude WHEN 'dip' THEN value * (1.0::DOUBLE - magnitude)
+             WHEN 'level_shift' THEN value + magnitude
+             WHEN 'gradual_drift' THEN value + magnitude * ((epoch_us(timestamp) - epoch_us(start)) / (secs::DOUBLE * 1000000))
+             ELSE value END, 4) AS value FROM manyhit""")
 oracle("first_matching_spec", "hit", "SELECT service, metric, spec_idx, count(*) AS n FROM hit GROUP BY ALL")
 oracle("injected_count", "hit", "SELECT service, metric, count(spec_idx) AS n_injected, count(*) AS n FROM hit GROUP BY ALL")
 oracle("score_against_truth", "scored hit", confusion_sql(
@@ -502,3 +517,4 @@ oracle("stream_accounting", "msg", """
            count(*) FILTER (reason IS NULL) - count(DISTINCT event_id) FILTER (reason IS NULL) AS skipped FROM msg""")
 ORACLES["insert_indexed"] = ORACLES["insert_if_absent"]
 ORACLES["stream_ingest_indexed"] = ORACLES["stream_ingest"]
+ORACLES["score_against_truth_indexed"] = ORACLES["score_against_truth"]
