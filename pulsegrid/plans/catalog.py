@@ -20,7 +20,7 @@ from pulsegrid.session import broadcast_if_small, cut_lineage, shared_folder
 from pulsegrid.sources import tables
 from pulsegrid.sources.adapters import lineitem_readings
 from pulsegrid.sources.key_index import KeyIndex, insert_indexed as insert_by_index
-from pulsegrid.streaming import jobs, refreshed_rollup, suppression
+from pulsegrid.streaming import jobs, merged_sessions, refreshed_rollup, suppression
 from pulsegrid.streaming.queue_source import drain_queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -912,6 +912,22 @@ def stream_incidents(w: World) -> DataFrame:
     return _unzoned(jobs.stored_sessions(w.spark, store, GAP), "started_at", "last_at")
 
 
+@query
+def stream_incident_merge(w: World) -> DataFrame:
+    """The anomalies as three batches in no order of time: sessions grow and merge, and members follow their ids."""
+    root, queue = f"{new_folder(w)}/store", f"{new_folder(w)}/queue"
+    merged_sessions.prepare(w.spark, root)
+    for part in range(3):
+        w.anomalies.where(S.hash60("anomaly_id") % 3 == part).coalesce(1).write.mode("append").parquet(queue)
+    stream = w.spark.readStream.schema(w.anomalies.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+    jobs.run_batches(stream, merged_sessions.session_batch(root, GAP), f"{root}-checkpoint").awaitTermination()
+    merged_sessions.compact_sessions(w.spark, root)
+    members = merged_sessions.session_members(w.spark, root).groupBy("incident_id").agg(F.countDistinct("anomaly_id").alias("n_members"))
+    live = merged_sessions.live_sessions(w.spark, root).join(members, "incident_id", "full")
+    times = {name: F.timestamp_micros(us).cast("timestamp_ntz") for name, us in (("started_at", "first_us"), ("last_at", "last_us"))}
+    return live.withColumns(times).select(*SERIES, *times, F.col("n").alias("n_anomalies"), "n_members")
+
+
 @query
 def stream_suppress(w: World) -> DataFrame:
     """The incidents as three batches in order of time; the last firing of each series is state between them."""

@@ -471,6 +471,9 @@ oracle("stream_rollup_fresh", "me", rollup_sql("1 minute", where="timestamp < TI
 oracle("stream_incidents", "ses36000", """
     SELECT service, metric, min(timestamp) AS started_at, max(timestamp) AS last_at, count(*) AS n_anomalies
     FROM ses36000 GROUP BY service, metric, incident_id""")
+oracle("stream_incident_merge", "ses36000", """
+    SELECT service, metric, min(timestamp) AS started_at, max(timestamp) AS last_at, count(*) AS n_anomalies, count(DISTINCT anomaly_id) AS n_members
+    FROM ses36000 GROUP BY service, metric, incident_id""")
 oracle("stream_model_refresh", "", "SELECT h AS half, 0::BIGINT AS n_by_other_models, true AS any FROM (VALUES (0), (1)) AS x(h)")
 oracle("stream_alert_cycle", "", "SELECT c AS cycle, true AS created_right, true AS waiting_right FROM (VALUES (0), (1), (2), (3)) AS x(c)")
 ORACLES["alert_cycle_compacted"] = ORACLES["stream_alert_cycle"]

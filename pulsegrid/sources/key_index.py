@@ -18,6 +18,7 @@ from pulsegrid.session import broadcast_if_small, pin_small
 from pulsegrid.sources.tables import ensure_table, save_run
 
 KEYS_A_BLOCK = 16  # 16 bits a key: about one unknown key in a thousand is taken for a stored one
+FILE_BLOCKS = 1 << 18
 WORDS = ("w0", "w1", "w2", "w3")
 BLOCK = T.StructType(
     [T.StructField("block", T.LongType())] + [T.StructField(w, T.LongType()) for w in WORDS]
@@ -68,8 +69,8 @@ class KeyIndex:
         sizes, _ = pin_small(keyed.groupBy("event_date").agg(n_blocks.alias("n_blocks")))  # one row a day
         blocks = keyed.join(sizes, "event_date").select("event_date", _block(self.key), *_bits(self.key))
         blocks = blocks.groupBy("event_date", "block").agg(*[F.bit_or(w).alias(w) for w in WORDS])
-        by = ("event_date", "block")
-        laid_out = blocks.repartitionByRange(*by).sortWithinPartitions(*by)
+        # A file holds a run of blocks of one day; a busy day has many runs and so many tasks.
+        laid_out = blocks.repartition("event_date", F.floor(F.col("block") / FILE_BLOCKS)).sortWithinPartitions("event_date", "block")
         laid_out.write.mode("overwrite").partitionBy("event_date").parquet(f"{self.path}/blocks/part={part}")
         named = sizes.select(F.lit(part).alias("part"), "event_date", "n_blocks", F.lit(None).cast("string").alias("retired"))
         save_run(named.coalesce(1), self.path, "parts", part)
