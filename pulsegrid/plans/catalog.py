@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions import scalars as S
-from pulsegrid.operators import evaluation, incidents, ingest, overview, registry, rollup, schedule, schedule_index, scoring
+from pulsegrid.operators import daily_sketches, evaluation, incidents, ingest, overview, registry, rollup, schedule, schedule_index, scoring
 from pulsegrid.plans import detection, training
 from pulsegrid.plans.fixtures import AS_OF, GAP, SIM_START, World
 from pulsegrid.session import broadcast_if_small, cut_lineage, shared_folder
@@ -1161,6 +1161,15 @@ def quantile_narrowed(w: World) -> DataFrame:
     return cut.select(*SERIES, F.round("q", 4).alias("q"))
 
 
+@query
+def quantile_from_daily(w: World) -> DataFrame:
+    """The quantile of each series from sketches stored per day and one scan of the readings."""
+    path = new_folder(w)
+    daily_sketches.save_daily_sketches(w.readings, path)
+    cut = daily_sketches.quantile_from_daily(w.readings, daily_sketches.load_daily_sketches(w.spark, path), 0.95, "q")
+    return cut.select(*SERIES, F.round("q", 4).alias("q"))
+
+
 @query
 def chrono_split_narrowed(w: World) -> DataFrame:
     rows = evaluation.chrono_split(_long(w), direct_rows=500)

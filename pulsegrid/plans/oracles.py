@@ -521,3 +521,4 @@ oracle("stream_accounting", "msg", """
 ORACLES["insert_indexed"] = ORACLES["insert_if_absent"]
 ORACLES["stream_ingest_indexed"] = ORACLES["stream_ingest"]
 ORACLES["score_against_truth_indexed"] = ORACLES["score_against_truth"]
+oracle("quantile_from_daily", "me", "SELECT service, metric, round(quantile_cont(value, 0.95), 4) AS q FROM me GROUP BY ALL")
