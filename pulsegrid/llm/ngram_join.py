@@ -27,6 +27,7 @@ BLOCKS = 1.16  # blocks for each n-gram that may differ, so that most blocks tha
 BITS = 4  # bits of the compact sketch for each n-gram, at least
 BRIEF = 4  # how many times smaller the sketch is that members of a block carry
 PIECE = 1024  # members of a block that are compared in one go
+PIECE_GRAMS = 1 << 20  # n-grams of the members whose sets are compared in one go
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -260,40 +261,95 @@ def _linked(measure: Measure):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], place: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Sorted rows as lists of those that share their ``place``."""
+    at, held = None, []
+    for batch in batches:
+        for *here, row in zip(*(batch.column(c).to_pylist() for c in place), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if here != at:
+                if held:
+                    yield held
+                at, held = here, []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _compare(measure: Measure):
-    """Within each (key, lo, hi) run of sorted rows: pairs of different components that sizes and brief sketches allow."""
+    """Of each (key, lo, hi) run of sorted rows the members that sizes and brief sketches allow a link to another component.
+
+    A member comes out once, however many others it may link with, so the rows never outgrow those read.
+    """
+
+    def judge(rows: list[tuple]) -> pa.RecordBatch:
+        nodes, comps, sizes = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2))
+        words = min(len(r[3]) for r in rows) // 8
+        bits = np.stack([fold(np.frombuffer(r[3], dtype=np.uint64), words) for r in rows])
+        kept = np.zeros(len(rows), dtype=bool)
+        for i in range(len(rows) - 1):
+            rest = slice(i + 1, None)
+            fits = comps[rest] != comps[i]
+            if kept[i]:
+                fits &= ~kept[rest]  # what both are known to be needs no further test
+            fits = np.flatnonzero(fits) + i + 1
+            low, high = np.minimum(sizes[fits], sizes[i]), np.maximum(sizes[fits], sizes[i])
+            fits = fits[high <= measure.largest_partner(low)]
+            differ = np.bitwise_count(bits[fits] ^ bits[i]).sum(axis=1)
+            near = fits[differ <= measure.may_differ(sizes[fits], sizes[i])]
+            if len(near):
+                kept[near] = kept[i] = True
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(kept.sum()), rows[0][4], dtype=np.int64)), pa.array(nodes[kept])], names=["head", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(judge, _runs(batches, ("key", "lo", "hi"), ("node", "component", "n", "brief", "head")))
+
+    return run
 
-    def judge(run: list[tuple]) -> list[tuple[int, int]]:
-        nodes, comps, sizes = (np.array([r[k] for r in run], dtype=np.int64) for k in (0, 1, 2))
-        words = min(len(r[3]) for r in run) // 8
-        bits = np.stack([fold(np.frombuffer(r[3], dtype=np.uint64), words) for r in run])
+
+def _forest(measure: Measure):
+    """Within each (head, lo, hi) run of sorted rows: links between components, as many as join those that hang together.
+
+    The sets themselves are compared, so pairs that miss the similarity leave no row, and links inside a component that
+    hangs together by then are not looked for.
+    """
+
+    def judge(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes, comps = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+        sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        full = sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes)
+        words = min(len(x) for x in full) // 8
+        bits = np.stack([fold(np.frombuffer(x, dtype=np.uint64), words) for x in full])
         out = []
-        for i in range(len(run) - 1):
+        for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
             fits = np.flatnonzero(comps[rest] != comps[i]) + i + 1
             low, high = np.minimum(sizes[fits], sizes[i]), np.maximum(sizes[fits], sizes[i])
             fits = fits[high <= measure.largest_partner(low)]
             differ = np.bitwise_count(bits[fits] ^ bits[i]).sum(axis=1)
             for j in fits[differ <= measure.may_differ(sizes[fits], sizes[i])]:
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                if comps[j] == comps[i]:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= measure.percent * (sizes[i] + sizes[j] - common):
+                    out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    comps[comps == comps[j]] = comps[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
-        for batch in batches:
-            found = []
-            for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "component", "n", "brief")), strict=True):
-                if (key, lo, hi) != place:
-                    found += judge(held) if held else []
-                    place, held = (key, lo, hi), []
-                held.append(row)
-            yield _pairs(found)
-        if held:
-            yield _pairs(judge(held))
+        yield from map(_pairs, map(judge, _runs(batches, ("head", "lo", "hi"), ("node", "component", "grams"))))
 
     return run
 
 
+def _cells(members: DataFrame, group: str) -> DataFrame:
+    """Members in each cell (lo, hi) of their group: any two members meet in one cell, which holds two pieces at most."""
+    members = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("pieces")).cast("int"))
+    rest = [c for c in members.columns if c not in (group, "own", "pieces")]
+    spread = members.select(group, *rest, "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    return spread.select(group, *rest, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 class NgramJoin:
     """The join over one table; each step is a stored table in the shared folder."""
 
@@ -318,9 +374,8 @@ class NgramJoin:
             pairs = pairs.join(side.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}")), name)
         return stage(pairs.mapInArrow(_near(self.measure), "a long, b long").distinct(), "near")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sets, built again from the texts, reach the similarity."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node, grams of the nodes in ``wanted``, built again from the texts."""
         wanted = stage(self.rows.where(F.col("uid") == F.col("node")).select("node", F.col("id").alias("own"), F.col("th").alias("own_th")).join(wanted, "node", "left_semi"), "wanted")
         texts = self.docs.join(small_or_not(wanted), F.col("id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("node", "text")
         words = self.measure.words
@@ -333,11 +388,27 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
 
         # A row that repeats with its id gives its node's set more than once.
-        sets = stage(texts.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"]), "sets")
+        return stage(texts.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"]), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets reach the similarity."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         for name in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("node").alias(name), F.col("grams").alias(f"grams_{name}")), name)
         return stage(pairs.mapInArrow(_linked(self.measure), "a long, b long"), "links")
 
+    def forest(self, kept: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between components among the members that share a head (head, node), compared by their sets.
+
+        Copies meet in many blocks but under few heads, so members are gathered by head. A piece has a bounded number
+        of members and of grams.
+        """
+        sized = kept.join(self.nodes.select("node", "n"), "node")
+        pieces = sized.groupBy("head").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("n") / PIECE_GRAMS)).cast("int").alias("pieces"))
+        members = kept.join(pieces, "head").join(labels, "node", "left").select("head", "node", F.coalesce("component", "node").alias("component"), "pieces")
+        cells = _cells(members, "head").join(self.sets(kept.select("node").distinct()), "node")
+        return stage(cells.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi", "node").mapInArrow(_forest(self.measure), "a long, b long"), "forest")
+
     def components(self) -> DataFrame:
         """node, component of the nodes that have a link."""
         keyed = self.nodes.select("node", F.explode("keys").alias("key"))
@@ -348,22 +419,18 @@ class NgramJoin:
         first = self.links(self.near(others.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
         labels = components(first)
         # Then, where a block still holds several components, the members besides its first node among themselves.
-        placed = others.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        placed = others.join(labels, "node", "left").select("key", "head", "node", F.coalesce("component", "node").alias("component"))
         open_keys = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(2**31))).alias("y")
         )
         open_keys = open_keys.where(F.col("low") != F.col("high")).groupBy("size", "x", "y").agg(F.min("key").alias("key"))  # equal member lists once
         pieces = open_keys.select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
-        members = placed.join(pieces, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("pieces")).cast("int"))
-        spread = members.select("key", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-        spread = spread.select("key", "node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        spread = spread.join(self.nodes.select("node", "n", "brief"), "node")
-        compared = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_compare(self.measure), "a long, b long")
-        second = self.near(stage(compared.distinct(), "pairs"))
-        if second.isEmpty():
+        spread = _cells(placed.join(pieces, "key"), "key").join(self.nodes.select("node", "n", "brief"), "node")
+        compared = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_compare(self.measure), "head long, node long")
+        kept = stage(compared.distinct(), "kept")
+        if kept.isEmpty():
             return labels
-        more = self.links(second)
-        return components(first.unionByName(more))
+        return components(first.unionByName(self.forest(kept, labels)))
 
 
 def ngram_join(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

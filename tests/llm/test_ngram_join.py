@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, frame
 from compare import compare, open_tables
@@ -74,6 +76,31 @@ def test_second_round_with_small_pieces(spark, monkeypatch):
     assert found(spark, rows, Measure(4, 85)) == Counter(by_hand(rows, Measure(4, 85)))
 
 
+def test_second_round_rows_follow_the_members():
+    """Copies that may all link with each other: one row for each member, and links as many as join the components."""
+    rng, n = random.Random(4), 200
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(rng.choice(base) if rng.random() < 0.01 else w for w in base) for _ in range(n)]
+    measure = Measure()
+    found, rows = module.ngrams(texts, measure.words)
+    sizes = np.bincount(rows, minlength=n)
+    ends = np.cumsum(sizes).tolist()
+    grams = [found[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+    full = module.sketches(found, rows, sizes)
+    brief = [module.fold(np.frombuffer(x, dtype=np.uint64), max(1, len(x) // 8 // module.BRIEF)).tobytes() for x in full]
+    place = {"key": [7] * n, "head": [-1] * n, "lo": [0] * n, "hi": [0] * n, "node": range(n), "component": range(n)}
+    batch = pa.RecordBatch.from_pydict({**place, "n": sizes, "brief": brief, "grams": [g.tobytes() for g in grams]})
+    kept = [row for out in module._compare(measure)(iter([batch])) for row in out.to_pylist()]
+    assert len(kept) == len({r["node"] for r in kept}) <= n
+    links = [(r["a"], r["b"]) for out in module._forest(measure)(iter([batch])) for r in out.to_pylist()]
+    groups = {c for _, _, c in by_hand(list(enumerate(texts)), measure)}
+    assert len(links) == n - len(groups) > 100
+    linked = {frozenset(link) for link in links}
+    for a, b in map(tuple, linked):
+        common = len(np.intersect1d(grams[a], grams[b]))
+        assert 100 * common >= 80 * (sizes[a] + sizes[b] - common)
+
+
 def test_keep_one(spark):
     rows = documents()
     kept = Counter((r.doc_id, r.text) for r in keep_one(frame(spark)).select("doc_id", "text").collect())
