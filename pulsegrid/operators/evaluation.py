@@ -32,11 +32,9 @@ def min_sample_gate(metrics: DataFrame, min_samples: int = V.MIN_SAMPLES) -> Dat
     return metrics.join(sizes.table.select(*SERIES), list(SERIES), "left_semi")
 
 
-def _ordered(df: DataFrame, text: str, first: Column | None = None) -> tuple[DataFrame, list[str]]:
-    order = {"_o1": hash60(text), "_o2": hash60(text, 15)}
-    if first is not None:
-        order = {"_o0": first, **order}
-    return df.withColumns(order), list(order)
+def _order(text: str) -> list[Column]:
+    """By the md5 of a text, in two halves."""
+    return [hash60(text), hash60(text, 15)]
 
 
 def n_train(n: Column, holdout: float = V.HOLDOUT_FRACTION) -> Column:
@@ -51,9 +49,9 @@ def chrono_split(
 
     Equal times are ordered by the md5 of the event id.
     """
-    df, order = _ordered(metrics, "event_id", micros("timestamp"))
-    marked = mark_first_k(df, SERIES, order, lambda n: n_train(n, holdout), "_train", sizes, direct_rows)
-    return marked.withColumn("part", F.when(F.col("_train"), "train").otherwise("holdout")).drop("_train", *order)
+    order = [micros("timestamp"), *_order("event_id")]
+    marked = mark_first_k(metrics, SERIES, order, lambda n: n_train(n, holdout), "_train", sizes, direct_rows)
+    return marked.withColumn("part", F.when(F.col("_train"), "train").otherwise("holdout")).drop("_train")
 
 
 def sample_rows(
@@ -62,11 +60,10 @@ def sample_rows(
 ) -> DataFrame:
     """Flag max(1, floor(n * fraction)) rows per series, in md5 order of seed and event id."""
     keyed = df.withColumn("_key", F.concat_ws(":", F.lit(str(seed)), "event_id"))
-    keyed, order = _ordered(keyed, "_key")
     marked = mark_first_k(
-        keyed, SERIES, order, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), flag, sizes, direct_rows
+        keyed, SERIES, _order("_key"), lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), flag, sizes, direct_rows
     )
-    return marked.drop("_key", *order)
+    return marked.drop("_key")
 
 
 def inject_anomalies(

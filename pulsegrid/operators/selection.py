@@ -6,7 +6,8 @@ own window or ``percentile`` is used, on the ordering columns alone. Beyond that
 narrowed down: Spark's mergeable quantile sketch gives cut points of the remaining rows, exact counts
 tell which of them enclose the rank, and so on until few enough rows are left to be ranked directly.
 Cut points follow the rows and not the value range, so any distribution narrows, infinite values
-included; where copies of one value stop it, the last step counts those per value anyway.
+included. The last step counts copies per value, so few different values need no narrowing, however
+many rows they have.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import cut_lineage, pin_small
+from pulsegrid.session import broadcast_if_small, cut_lineage, pin_small
 
 CUT_POINTS = 200
 SKETCH_ACCURACY = 20_000
@@ -29,12 +30,12 @@ RankRule = Callable[[Column], Sequence[Column]]
 
 
 def _pin(state: DataFrame) -> tuple[DataFrame, int]:
-    """State as a checked small table, with the largest number of rows still in a range."""
+    """State as a checked small table, with the largest number of values still in a range, as far as estimated."""
     pinned, rows = pin_small(state)
     if rows is not None:
-        widest = pc.max(rows.column("left")).as_py() if rows.num_rows else 0
+        widest = pc.max(pc.min_element_wise(rows.column("left"), rows.column("kinds"))).as_py() if rows.num_rows else 0
     else:
-        widest = pinned.agg(F.max("left")).first()[0]
+        widest = pinned.agg(F.max(F.least("left", "kinds"))).first()[0]
     return pinned, widest or 0
 
 
@@ -51,7 +52,8 @@ def select_ranks(
     keys = list(keys)
     rows = df.select(*keys, value).where(F.col(value).isNotNull())
     extent = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        F.approx_count_distinct(value).alias("kinds"),  # says only when to stop narrowing; the ranks are exact
     )
     if rule is None:
         extent = extent.join(wanted, keys)
@@ -61,8 +63,8 @@ def select_ranks(
     targets = F.array(
         *[F.struct(F.lit(i).alias("target"), r.cast("bigint").alias("rank")) for i, r in enumerate(ranks)]
     )
-    state = extent.select(*keys, "n", "lo", "hi", F.explode(targets).alias("t")).select(
-        *keys, "n", "lo", "hi", "t.target", "t.rank", F.lit(0).cast("bigint").alias("base"),
+    state = extent.select(*keys, "n", "lo", "hi", "kinds", F.explode(targets).alias("t")).select(
+        *keys, "n", "lo", "hi", "kinds", "t.target", "t.rank", F.lit(0).cast("bigint").alias("base"),
         # A group of one repeated value needs no narrowing however many rows it has.
         F.when(F.col("hi") > F.col("lo"), F.col("n")).otherwise(F.lit(1).cast("bigint")).alias("left"),
     )
@@ -81,13 +83,14 @@ def select_ranks(
         first = F.greatest(F.floor(at * CUT_POINTS / F.col("left")).cast("int") - 1, F.lit(0))
         last = F.least(F.ceil(at * CUT_POINTS / F.col("left")).cast("int") + 1, F.lit(CUT_POINTS))
         near = state.join(cuts, [*keys, "target"], "left").select(
-            *keys, "n", "lo", "hi", "target", "rank", "base", "left",
+            *keys, "n", "lo", "hi", "kinds", "target", "rank", "base", "left",
             F.coalesce(F.get("cuts", first), "lo").alias("a"), F.coalesce(F.get("cuts", last), "hi").alias("b"),
         )
         near = _pin(near)[0]
         v = F.col(value)
         counted = _in_range(rows, near, keys, value).groupBy(*keys, "target").agg(
-            F.count_if(v < F.col("a")).alias("below"), F.count_if((v >= F.col("a")) & (v <= F.col("b"))).alias("within")
+            F.count_if(v < F.col("a")).alias("below"), F.count_if((v >= F.col("a")) & (v <= F.col("b"))).alias("within"),
+            F.approx_count_distinct(F.when((v >= F.col("a")) & (v <= F.col("b")), v)).alias("kinds_within"),
         )
         below, within = F.coalesce("below", F.lit(0)), F.coalesce("within", F.lit(0))
         # A sketch that missed the rank narrows nothing.
@@ -97,6 +100,7 @@ def select_ranks(
             F.when(good, F.col("b")).otherwise(F.col("hi")).alias("hi"), "target", "rank",
             (F.col("base") + F.when(good, below).otherwise(0)).alias("base"),
             F.when(good & (F.col("a") == F.col("b")), F.lit(1).cast("bigint")).when(good, within).otherwise(F.col("left")).alias("left"),
+            F.when(good, F.col("kinds_within")).otherwise(F.col("kinds")).alias("kinds"),
         )
         state, widest = _pin(state)
 
@@ -181,19 +185,26 @@ def weighted_quantile(counts: DataFrame, keys: Sequence[str], value: str, weight
     return ranked.groupBy(*keys).agg((low + (high - low) * part).alias(name))
 
 
+def _up_to(value: Column, cut: Column, tied: Column) -> Column:
+    """Below the cut, or at it where ``tied`` holds. Only a CASE keeps Spark from computing ``tied`` for every row."""
+    return F.when(value < cut, True).when(value == cut, tied).otherwise(False)
+
+
 def mark_first_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: Callable[[Column], Column], flag: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rank: Callable[[Column], Column], flag: str,
     sizes: GroupSizes | None = None, direct_rows: int | None = None,
 ) -> DataFrame:
     """Add ``flag``: true for the first ``rank(n)`` rows of each group in the order of numeric columns.
 
+    An expression in ``order`` is computed only for the rows that the ones before it leave tied at the cut.
+
     ``rank(n)`` must lie in 1..n, and ``order`` must make rows unique. The last row that is in, one per
     group, is found from the ordering columns alone; it is a small table, computed once, and the flag
     is a comparison with it, so whole rows are never shuffled. In large groups the cut is found on the
     first column; only where it falls inside a run of equal values do those rows, and no others, go on
-    to the next column. With ``sizes`` given, only the groups listed there remain.
+    to the next column; they are stored, so the table is not scanned again for them. With ``sizes`` given, only the groups listed there remain.
     """
-    keys = list(keys)
+    keys, order = list(keys), [F.col(c) if isinstance(c, str) else c for c in order]
     if sizes is not None:
         df = df.join(sizes.table.select(*keys), keys, "left_semi")
     else:
@@ -203,20 +214,20 @@ def mark_first_k(
         return df.withColumn(flag, F.lit(True))
     if sizes.widest <= (DIRECT_ROWS if direct_rows is None else direct_rows):
         ranked = F.broadcast(ranked) if sizes.rows is not None else ranked
-        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        last = df.select(*keys, *order).withColumn("_at", at).join(ranked, keys).where(F.col("_at") == F.col("_rank"))
-        last = pin_small(last.select(*keys, *[F.col(c).alias(f"_last{i}") for i, c in enumerate(order)]))[0]
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*[f"_by{i}" for i in range(len(order))]))
+        last = df.select(*keys, *[c.alias(f"_by{i}") for i, c in enumerate(order)]).withColumn("_at", at).join(ranked, keys).where(F.col("_at") == F.col("_rank"))
+        last = pin_small(last.select(*keys, *[F.col(f"_by{i}").alias(f"_last{i}") for i in range(len(order))]))[0]
         inside: Column = F.lit(True)
         for i, c in reversed(list(enumerate(order))):
-            inside = (F.col(c) < F.col(f"_last{i}")) | ((F.col(c) == F.col(f"_last{i}")) & inside)
+            inside = _up_to(c, F.col(f"_last{i}"), inside)
         marked = df.join(last, keys, "left").withColumn(flag, F.coalesce(inside, F.lit(False)))
         return marked.drop(*[f"_last{i}" for i in range(len(order))])
-    marked, tied = df, df.select(*keys, *order)
+    marked, tied, left = df, df, list(order)
     rule: RankRule | None = lambda n: [rank(n)]
     wanted: DataFrame | None = None
     levels = 0
-    for column in order:
-        found = select_ranks(tied, keys, column, rule, wanted, direct_rows).select(
+    while left:
+        found = select_ranks(tied.select(*keys, left[0].alias("_by")), keys, "_by", rule, wanted, direct_rows).select(
             *keys,
             F.col("value").alias(f"_cut{levels}"),
             (F.col("n_below") + F.col("n_equal") <= F.col("rank")).alias(f"_whole{levels}"),
@@ -229,11 +240,14 @@ def mark_first_k(
             break
         split = cut.where(~F.col(f"_whole{levels - 1}")).select(*keys, F.col(f"_cut{levels - 1}").alias("_cut"), "rank")
         wanted, rule = split.drop("_cut"), None
-        tied = tied.join(split.drop("rank"), keys).where(F.col(column) == F.col("_cut")).drop("_cut")
+        tied = tied.join(broadcast_if_small(split.drop("rank")), keys).where(left[0] == F.col("_cut"))
+        names = [f"_by{i}" for i in range(levels, len(order))]
+        tied = cut_lineage(tied.select(*keys, *[c.alias(name) for c, name in zip(left[1:], names, strict=True)]))
+        left = [F.col(name) for name in names]
     inside = F.lit(True)
     for level in reversed(range(levels)):
-        value, cut_value = F.col(order[level]), F.col(f"_cut{level}")
-        inside = (value < cut_value) | ((value == cut_value) & (F.col(f"_whole{level}") | inside))
+        value, cut_value = order[level], F.col(f"_cut{level}")
+        inside = _up_to(value, cut_value, F.col(f"_whole{level}") | inside)
     helpers = [f"_{part}{level}" for level in range(levels) for part in ("cut", "whole")]
     return marked.withColumn(flag, F.coalesce(inside, F.lit(False))).drop(*helpers)
 

@@ -111,3 +111,13 @@ def test_small_table_check(spark):
     assert pin_small(df, 50)[1].num_rows == 50
     big, rows = pin_small(df, 49)
     assert rows is None and big.count() == 50
+
+
+def test_later_order_columns_are_computed_for_ties_alone(spark):
+    """A thousand rows in ten runs of equal values: the second column is asked for the run that holds the cut, no other."""
+    df = spark.range(1000, numPartitions=4).select(F.lit("a").alias("service"), (F.col("id") % 10).alias("v"), F.col("id").alias("i"))
+    # Rows outside that run would fail the query.
+    second = F.when(F.col("v") != 3, F.raise_error(F.lit("not tied")).cast("bigint")).otherwise(F.col("i"))
+    got = sel.mark_first_k(df, KEYS, [F.col("v"), second], lambda n: F.lit(350), "first", direct_rows=20).collect()
+    want = sorted(range(1000), key=lambda i: (i % 10, i))[:350]
+    assert sorted(r["i"] for r in got if r["first"]) == sorted(want)
