@@ -26,6 +26,7 @@ from pulsegrid.streaming.queue_source import drain_queue
 Query = Callable[[SparkSession, str], DataFrame]
 SERIES = ("service", "metric")
 QUERIES: dict[str, Query] = {}
+SEGMENT_MESSAGES = 200_000  # messages that are written as one segment of a queue, where there are many
 
 
 def query(build: Callable[[World], DataFrame]) -> Callable[[World], DataFrame]:
@@ -1007,7 +1008,8 @@ def stream_queue_source(w: World) -> DataFrame:
     folder, breaks = new_folder(w), iter((False, True))
     store = jobs.Store(f"{folder}/store")
     store.prepare(w.spark)
-    w.messages.select("data").repartition(5, "data").write.text(f"{folder}/queue")
+    messages = w.messages.count()
+    w.messages.select("data").repartition(max(5, messages // SEGMENT_MESSAGES), "data").write.text(f"{folder}/queue")
     ingest_one = jobs.ingest_batch(store)
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -1015,7 +1017,7 @@ def stream_queue_source(w: World) -> DataFrame:
         if next(breaks, False):
             raise RuntimeError("broken off")
 
-    queue, size = f"{folder}/queue", -(-w.messages.count() // 4)
+    queue, size = f"{folder}/queue", -(-messages // 4)
     try:
         drain_queue(w.spark, queue, each, f"{folder}/checkpoint", size)
     except StreamingQueryException:

@@ -13,12 +13,14 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 BATCH_MESSAGES = 500
+PIECE_MESSAGES = 50_000  # lines that one task reads at most
 MARKER = "_acknowledged"
 START = {"segment": "", "line": 0}  # everything up to this line of this segment is done
 
@@ -30,6 +32,8 @@ class Lines(InputPartition):
     segment: str
     first: int
     last: int  # past the end
+    at: int = 0  # byte at which the line ``seen`` starts, from where on the segment is read
+    seen: int = 0
 
 
 class MessageQueue:
@@ -43,9 +47,11 @@ class MessageQueue:
         found = self.files.get_file_info(FileSelector(self.place, allow_not_found=True))
         return sorted(f.base_name for f in found if f.type == FileType.File and f.base_name[0] not in "._" and f.base_name >= after)
 
-    def lines(self, segment: str, first: int = 0, last: int | None = None) -> Iterator[str]:
-        with self.files.open_input_stream(f"{self.place}/{segment}") as stream:
-            rest, number = b"", 0
+    def lines(self, segment: str, first: int = 0, last: int | None = None, at: int = 0, seen: int = 0) -> Iterator[str]:
+        """Lines ``first`` to ``last``; what lies before byte ``at``, where the line ``seen`` starts, is not read."""
+        with self.files.open_input_file(f"{self.place}/{segment}") as stream:
+            stream.seek(at)
+            rest, number = b"", seen
             while chunk := stream.read(1 << 20):
                 *whole, rest = (rest + chunk).split(b"\n")
                 for line in whole:
@@ -57,6 +63,24 @@ class MessageQueue:
             if rest and first <= number and (last is None or number < last):
                 yield rest.decode()
 
+    def pieces(self, segment: str, first: int, last: int | None) -> list[Lines]:
+        """The lines ``first`` to ``last`` in pieces of a bounded size. Line ends are counted, lines are not taken apart."""
+        starts, number, at, tail = [(first, 0, 0)] if not first else [], 0, 0, b""
+        with self.files.open_input_stream(f"{self.place}/{segment}") as stream:
+            while (last is None or number < last) and (chunk := stream.read(1 << 20)):
+                ends = np.flatnonzero(np.frombuffer(chunk, dtype=np.uint8) == 10)
+                # Line k of the segment starts behind its k-th line end.
+                k = max(0, first - number - 1)
+                k += -(number + 1 + k - first) % PIECE_MESSAGES
+                starts += [(number + 1 + j, at + int(ends[j]) + 1, number + 1 + j) for j in range(k, len(ends), PIECE_MESSAGES)]
+                number, at, tail = number + len(ends), at + len(chunk), chunk[-1:]
+        if tail not in (b"", b"\n") and (last is None or number < last):
+            number += 1  # a last line without an end
+        stop = number if last is None else min(number, last)
+        starts = [s for s in starts if s[0] < stop]
+        ends = [*(s[0] for s in starts), stop][1:]
+        return [Lines(segment, line, end, at, seen) for (line, at, seen), end in zip(starts, ends, strict=True)]
+
     def put(self, name: str, data: str) -> None:
         """A file that appears whole or not at all."""
         self.files.create_dir(self.place, recursive=True)
@@ -87,9 +111,10 @@ class MessageQueue:
             last = end["line"] if end is not None and segment == end["segment"] else None
             if left is not None:
                 last = first + left if last is None else min(last, first + left)
-            size = sum(1 for _ in self.lines(segment, first, last))
-            if size:
-                found.append(Lines(segment, first, first + size))
+            pieces = self.pieces(segment, first, last)
+            if pieces:
+                found += pieces
+                size = pieces[-1].last - first
                 stop = {"segment": segment, "line": first + size}
                 left = left - size if left is not None else None
         return found, stop
@@ -118,7 +143,7 @@ class QueueReader(DataSourceStreamReader):
         return MessageQueue(self.folder).parts(start, end=end)[0]
 
     def read(self, partition: Lines) -> Iterator[tuple]:
-        lines = MessageQueue(self.folder).lines(partition.segment, partition.first, partition.last)
+        lines = MessageQueue(self.folder).lines(partition.segment, partition.first, partition.last, partition.at, partition.seen)
         for number, line in enumerate(lines, partition.first):
             yield line, partition.segment, number
 

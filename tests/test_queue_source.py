@@ -5,8 +5,8 @@ from pyspark.errors import StreamingQueryException
 
 from pulsegrid.operators.ingest import recent_target
 from pulsegrid.sources.tables import write_metrics_table
-from pulsegrid.streaming import jobs
-from pulsegrid.streaming.queue_source import START, MessageQueue, drain_queue
+from pulsegrid.streaming import jobs, queue_source
+from pulsegrid.streaming.queue_source import START, MessageQueue, QueueReader, drain_queue
 
 
 def test_positions(tmp_path):
@@ -85,3 +85,17 @@ def test_only_the_batchs_days_are_opened(spark, tmp_path):
     target = recent_target(spark.read.parquet(path), rows.where("id IN (0, 29)"))
     assert sorted(r["id"] for r in target.collect()) == [0, 29]
     assert recent_target(spark.read.parquet(path), rows.where("id < 0")).isEmpty()
+
+
+def test_a_segment_is_read_in_pieces(tmp_path, monkeypatch):
+    """One segment is many partitions, each of which starts at its own byte; together they give every line once."""
+    monkeypatch.setattr(queue_source, "PIECE_MESSAGES", 10)
+    queue = MessageQueue(str(tmp_path / "q"))
+    lines = [f"é{n}" * (1 + n % 3) for n in range(95)]
+    queue.put("s", "\n".join(lines))  # the last line has no end
+    reader = QueueReader(str(tmp_path / "q"), 500)
+    for first, last in ((0, 95), (7, 95), (10, 41), (94, 95)):
+        parts = reader.partitions({"segment": "s", "line": first}, {"segment": "s", "line": last})
+        assert len(parts) == -(-(last - first) // 10) and all(p.last - p.first <= 10 for p in parts)
+        assert [row for p in parts for row in reader.read(p)] == [(lines[n], "s", n) for n in range(first, last)]
+        assert all(p.at == len("".join(f"{x}\n" for x in lines[: p.first]).encode()) for p in parts)
