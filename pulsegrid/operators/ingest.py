@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import deterministic_id, micros, parse_event_time, time_literal
 from pulsegrid.schemas import WIRE_EVENT
-from pulsegrid.session import broadcast_if_small
+from pulsegrid.session import small_or_none
 
 SERIES = ("service", "metric")
 
@@ -110,12 +110,12 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows of ``batch`` to append to ``target``: new keys only, first arrival of each, stored row wins.
 
-    With ``small_batch`` the keys of the batch are counted and, when few, broadcast: the target is then
-    only scanned for them and not shuffled.
+    With ``small_batch`` the rows of the batch are counted and, when few, their keys are broadcast: the target
+    is then only scanned for them and not shuffled. A batch of more rows meets the target in one shuffled join.
     """
     stored = target.select(*keys)
-    if small_batch:
-        stored = stored.join(broadcast_if_small(batch.select(*keys).distinct()), list(keys), "left_semi")
+    if small_batch and (named := small_or_none(batch.select(*keys))) is not None:
+        stored = stored.join(named, list(keys), "left_semi")
     return dedupe_first(batch.join(stored, list(keys), "left_anti"), keys, arrival, numbered)
 
 

@@ -845,10 +845,10 @@ def stream_dedup_late(w: World) -> DataFrame:
     store, queue = _store(w), f"{new_folder(w)}/queue"
     half = S.time_literal(w.readings, "timestamp", "2024-01-16 00:00:00")
     events = w.events.withColumn("labels", F.create_map().cast("map<string,string>"))
-    for part in (events.where(F.col("timestamp") >= half), events):
-        part.coalesce(1).write.mode("append").parquet(queue)
-    stream = w.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(queue)
-    jobs.run_batches(stream, jobs.dedup_batch(store), f"{store.root}-checkpoint").awaitTermination()
+    for part in (events.where(F.col("timestamp") >= half), events):  # a batch each, of as many files as tasks wrote
+        part.write.mode("append").parquet(queue)
+        stream = w.spark.readStream.schema(events.schema).parquet(queue)
+        jobs.run_batches(stream, jobs.dedup_batch(store), f"{store.root}-checkpoint").awaitTermination()
     return _stored_metrics(w, store)
 
 
@@ -1097,7 +1097,7 @@ def stream_model_refresh(w: World) -> DataFrame:
         tables.save_models(run.surfaces.select(schemas.SCORE_SURFACE.names), store.root, f"r{n}")
         tables.save_run(run.pointers.select(schemas.POINTER_EVENT.names), store.root, "model_pointers", f"r{n}")
         rows = w.events.where(days).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).coalesce(1).write.mode("append").text(queue)
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(queue)
         jobs.run_batches(jobs.read_metric_stream(w.spark, queue), each, checkpoint).awaitTermination()
         seen.append(run.surfaces.select("model_id", F.lit(n).alias("trained")))
     found = store.load(w.spark, "anomalies").withColumn("half", F.when(F.col("timestamp").cast("timestamp_ntz") < half, 0).otherwise(1))

@@ -67,6 +67,14 @@ def pin_small(df: DataFrame, bound: int = SMALL_ROWS) -> tuple[DataFrame, pa.Tab
     return cut_lineage(df), None
 
 
+def small_or_none(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame | None:
+    """``pin_small`` for a table that is of no use unless it is small: a larger one is neither read whole nor stored."""
+    rows = df.limit(bound + 1).toArrow()
+    if rows.num_rows <= bound and rows.nbytes <= SMALL_BYTES:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    return None
+
+
 def broadcast_if_small(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     """``pin_small`` without the rows."""
     return pin_small(df, bound)[0]

@@ -3,6 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from pulsegrid import session
 from pulsegrid.operators import ingest
 
 GOOD = '{"event_id":"a","service":"s","metric":"m","value":42.5,"timestamp":"2024-01-01T12:00:00Z","labels":{"region":"us"}}'
@@ -136,3 +137,15 @@ def test_only_whole_requests_pass(spark):
     rows = [(1, text.format(1)), (1, "junk"), (2, text.format(2)), (2, text.format(3))]
     parsed = ingest.parse_events(spark.createDataFrame(rows, "request int, data string"))
     assert sorted(r["event_id"] for r in ingest.accepted_events(parsed, "request").collect()) == ["e2", "e3"]
+
+
+def test_a_large_batch_is_not_stored_for_its_keys(spark, monkeypatch):
+    """Beyond the bound the keys of a batch are no filter worth having: batch and target meet in one join."""
+
+    def stored(df):
+        raise AssertionError("a large batch was stored")
+
+    monkeypatch.setattr(session, "cut_lineage", stored)
+    batch = spark.range(session.SMALL_ROWS + 10).select(F.col("id").alias("k"), F.col("id").alias("at"))
+    new = ingest.insert_if_absent(batch.where("k % 2 = 0"), batch.union(batch), ["k"], ["at"], small_batch=True)
+    assert new.agg(F.count("k"), F.countDistinct("k"), F.sum(F.col("k") % 2)).first() == (100_005, 100_005, 100_005)
