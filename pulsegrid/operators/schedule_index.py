@@ -7,48 +7,117 @@ readings are neither multiplied nor combined again, and no array of windows is s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.scalars import micros, perturb
 from pulsegrid.operators.evaluation import confusion_scores
-from pulsegrid.operators.selection import number_rows
-from pulsegrid.session import broadcast_if_small, cut_lineage
+from pulsegrid.session import broadcast_if_small, cut_lineage, small_or_none
 
 SERIES = ("service", "metric")
+SLOT_BOUNDS = 20_000  # window bounds in a slot, while a series has at most MOST_SLOTS slots
+MOST_SLOTS = 1_024  # a power of two
+NO_RANK = np.iinfo(np.int64).max
 
 
 def flat_segments(windows: DataFrame) -> DataFrame:
     """Series, from_us, to_us and the winning ``spec``: disjoint pieces of time, without those no window covers.
 
     The least (spec_idx, start, end, type, magnitude) wins, as in ``apply_anomaly_schedule``. Windows that are empty or
-    lack a bound cover nothing; a window listed twice counts once. The bounds of a series are numbered by a range sort.
-    A window covers a run of numbers and is split into the nodes of a binary tree over them, at most two a level; a
-    piece asks its ancestors. So n windows need n log n rows, however they nest.
+    lack a bound cover nothing; a window listed twice counts once. Windows are numbered in that order by a range sort, so
+    that the rest only looks for least numbers. A series is cut into slots of equally many bounds. A window is a part of
+    its first and its last slot; the slots between are covered by two runs of 2^k slots each, of which a series has at
+    most ``MOST_SLOTS`` * log ``MOST_SLOTS`` different ones. So n windows need at most 4 n small rows, however they nest.
     """
-    spec = F.struct("spec_idx", micros("start").alias("start_us"), micros("end").alias("end_us"), "anomaly_type", "magnitude")
-    specs = windows.select(*SERIES, spec.alias("spec")).where(F.col("spec.start_us") < F.col("spec.end_us")).distinct()
-    bounds = specs.select(*SERIES, F.explode(F.array("spec.start_us", "spec.end_us")).alias("us")).distinct()
-    places = number_rows(bounds, SERIES, ["us"], "at")
-    first, last = (places.select(*SERIES, F.col("us").alias(f"spec_{b}"), F.col("at").alias(b)) for b in ("a", "b"))
-    keyed = specs.withColumn("spec_a", F.col("spec.start_us")).withColumn("spec_b", F.col("spec.end_us"))
-    covered = keyed.join(first, [*SERIES, "spec_a"]).join(last, [*SERIES, "spec_b"])
-    # At level k the window holds the whole nodes a..b-1; those without a sibling inside stand for themselves.
-    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("b") - F.col("a"))).cast("int") + 1)  # one more, as log2 may fall short
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
-    split = covered.select(*SERIES, "spec", "a", "b", F.explode(levels).alias("level"))
-    split = split.withColumn("lo", F.ceil(F.col("a") / size).cast("bigint")).withColumn("hi", F.floor(F.col("b") / size).cast("bigint"))
-    left = F.when(F.col("lo") % 2 == 1, F.col("lo"))
-    right = F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)
-    nodes = split.where("lo < hi").select(*SERIES, "spec", "level", F.explode(F.array_compact(F.array(left, right))).alias("node"))
-    best = cut_lineage(nodes.groupBy(*SERIES, "level", "node").agg(F.min("spec").alias("spec")))
-    top = best.groupBy(*SERIES).agg(F.max("level").alias("top"))
-    after = places.select(*SERIES, (F.col("at") - 1).alias("at"), F.col("us").alias("to_us"))
-    pieces = places.withColumnRenamed("us", "from_us").join(after, [*SERIES, "at"]).join(top, list(SERIES))
-    asking = pieces.select(*SERIES, "at", "from_us", "to_us", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
-    node = F.expr("shiftright(at, level)")
-    won = asking.withColumn("node", node).join(best, [*SERIES, "level", "node"])
-    return won.groupBy(*SERIES, "from_us", "to_us").agg(F.min("spec").alias("spec"))
+    order = ["spec_idx", "start_us", "end_us", "anomaly_type", "magnitude"]
+    kept = windows.withColumn("start_us", micros("start")).withColumn("end_us", micros("end")).where("start_us < end_us")
+    sorted_specs = kept.select(*SERIES, *order).distinct().repartitionByRange(*order, *SERIES).sortWithinPartitions(*order)
+    specs = cut_lineage(sorted_specs.withColumn("rank", F.monotonically_increasing_id()))
+    cuts = broadcast_if_small(_slot_cuts(specs))
+    placed = _placed(specs.select(*SERIES, "start_us", "end_us", "rank").join(cuts, list(SERIES)))
+    parts = _edges(placed).unionByName(_whole_slots(placed, cuts))
+    parts = parts.groupBy(*SERIES, "slot", "from_us", "to_us").agg(F.min("rank").alias("rank"))
+    schema = T.StructType([*windows.select(*SERIES).schema, *(T.StructField(c, T.LongType()) for c in ("from_us", "to_us", "rank"))])
+    segments = cut_lineage(parts.groupBy(*SERIES, "slot").applyInArrow(_least_covering, schema))
+    few = small_or_none(segments)
+    named = (segments if few is None else few).join(specs.select("rank", F.struct(*order).alias("spec")), "rank")
+    return named.select(*SERIES, "from_us", "to_us", "spec")
+
+
+def _slot_cuts(specs: DataFrame) -> DataFrame:
+    """Series and ``cuts``, the times at which all its slots but the first begin: quantiles of its windows' bounds."""
+    bounds = specs.select(*SERIES, F.explode(F.array("start_us", "end_us")).alias("us"))
+    shares = [i / MOST_SLOTS for i in range(1, MOST_SLOTS)]
+    sketched = bounds.groupBy(*SERIES).agg(
+        F.percentile_approx("us", shares, 10 * MOST_SLOTS).alias("cuts"), F.count(F.lit(1)).alias("n")
+    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(MOST_SLOTS * SLOT_BOUNDS) / F.col("n")))
+    return sketched.select(*SERIES, F.array_distinct(F.filter("cuts", lambda _, i: (i + 1) % step == 0)).alias("cuts"))
+
+
+def _placed(specs: DataFrame) -> DataFrame:
+    """With ``a`` and ``b``, the slots of a window's first and last microsecond, by a binary search of the cuts."""
+    steps = F.array(*[F.lit(MOST_SLOTS >> k) for k in range(1, MOST_SLOTS.bit_length())])
+
+    def slot(us: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) <= us, at + step).otherwise(at))
+
+    # As generated rows both are computed once, whatever filters follow.
+    found = F.struct(slot(F.col("start_us")).alias("a"), slot(F.col("end_us") - 1).alias("b"))
+    return specs.withColumn("slots", F.explode(F.array(found))).select(*specs.columns, "slots.*")
+
+
+def _edges(placed: DataFrame) -> DataFrame:
+    """The parts of windows in their first and last slot."""
+    first_ends, last_begins = F.get("cuts", F.col("a")), F.get("cuts", F.col("b") - 1)
+
+    def part(slot: str, start: Column, end: Column) -> Column:
+        return F.struct(F.col(slot).alias("slot"), start.alias("from_us"), end.alias("to_us"))
+
+    inside = F.array(part("a", F.col("start_us"), F.col("end_us")))
+    two = F.array(part("a", F.col("start_us"), first_ends), part("b", last_begins, F.col("end_us")))
+    parts = placed.select(*SERIES, "rank", F.explode(F.when(F.col("a") == F.col("b"), inside).otherwise(two)).alias("part"))
+    return parts.select(*SERIES, "part.*", "rank")
+
+
+def _whole_slots(placed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The least rank over each slot that lies between the first and the last of some window."""
+    level = F.floor(F.log2(F.col("b") - F.col("a") - 1)).cast("int")  # where log2 falls short, two halves still cover a power of two
+    runs = placed.where("b - a > 1").select(*SERIES, "rank", "a", "b", level.alias("level"))
+    size = F.call_function("shiftleft", F.lit(1), F.col("level"))
+    runs = runs.select(*SERIES, "rank", "level", F.explode(F.array(F.col("a") + 1, F.col("b") - size)).alias("run"))
+    least = runs.groupBy(*SERIES, "level", "run").agg(F.min("rank").alias("rank"))
+    slots = least.select(*SERIES, "rank", F.explode(F.sequence(F.col("run"), F.col("run") + size - 1)).alias("slot"))
+    slots = slots.groupBy(*SERIES, "slot").agg(F.min("rank").alias("rank")).join(cuts, list(SERIES))
+    return slots.select(*SERIES, "slot", F.get("cuts", F.col("slot") - 1).alias("from_us"), F.get("cuts", F.col("slot")).alias("to_us"), "rank")
+
+
+def _least_covering(key: tuple, parts: pa.Table) -> pa.Table:
+    """Disjoint pieces of one slot with the least rank that covers each; neighbours of one rank are one piece.
+
+    A part is two runs of 2^k pieces; from the longest runs on, each hands its least rank to its halves.
+    """
+    start, end, rank = (parts[c].to_numpy() for c in ("from_us", "to_us", "rank"))
+    at = np.unique(np.concatenate([start, end]))
+    a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+    level = np.frexp(b - a)[1] - 1
+    least = np.full(len(at) - 1, NO_RANK)
+    for k in range(level.max(), -1, -1):
+        here = level == k
+        np.minimum.at(least, a[here], rank[here])
+        np.minimum.at(least, b[here] - (1 << k), rank[here])
+        if k:
+            half = 1 << (k - 1)
+            least[half:] = np.minimum(least[half:], least[:-half])
+    begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(begins[1:], len(least))
+    held = least[begins] != NO_RANK
+    begins, ends = begins[held], ends[held]
+    columns = [pa.repeat(k, len(begins)) for k in key[: len(SERIES)]]
+    return pa.table([*columns, at[begins], at[ends], least[begins]], names=[*SERIES, "from_us", "to_us", "rank"])
 
 
 def slotted(segments: DataFrame) -> tuple[DataFrame, DataFrame]:

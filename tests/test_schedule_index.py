@@ -74,3 +74,24 @@ def test_no_window_array_in_the_plan(spark):
     out = schedule_index.apply_schedule_indexed(readings(spark, range(9)), windows(spark, [(1, 0, 5), (2, 3, 9)]))
     text = plan(out)
     assert "specs" not in text and "filter(" not in text and "BroadcastNestedLoopJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_many_slots_in_a_series(spark, monkeypatch):
+    monkeypatch.setattr(schedule_index, "SLOT_BOUNDS", 4)
+    draw = np.random.default_rng(7)
+    start, length = draw.integers(0, 400, 90), draw.integers(0, 120, 90)
+    start[:30], length[80:] = 50, 400  # many begin at one time, some cover nearly all
+    rows = [(int(k), int(a), int(a + d)) for k, a, d in zip(draw.integers(0, 9, 90), start, length, strict=True)]
+    base, w = readings(spark, [0.0] * 830), windows(spark, rows)
+    short, indexed = schedule.apply_anomaly_schedule(base, w), schedule_index.apply_schedule_indexed(base, w)
+    assert sorted(map(str, indexed.collect())) == sorted(map(str, short.select(*indexed.columns).collect()))
+    held = sorted((r["from_us"], r["to_us"]) for r in schedule_index.flat_segments(w).collect())
+    assert all(a < b for a, b in held) and all(b <= a for (_, b), (a, _) in zip(held, held[1:], strict=False))
+    specs = w.select(*schedule_index.SERIES, *[F.unix_micros(c).alias(f"{c}_us") for c in ("start", "end")])
+    assert len(schedule_index._slot_cuts(specs).first()["cuts"]) > 20
+
+
+def test_pieces_without_a_change_of_winner_are_one(spark):
+    rows = [(0, 0, 2000)] + [(1 + n % 9, 2 * n, 2 * n + 3) for n in range(500)]
+    held = schedule_index.flat_segments(windows(spark, rows)).collect()
+    assert [(r["to_us"] - r["from_us"], r["spec"]["spec_idx"]) for r in held] == [(2_000_000_000, 0)]
